@@ -42,7 +42,7 @@ HELD = 2_000_000
 
 
 def tokenized(docs: DataFrame, target: DataFrame, model: bytes) -> DataFrame:
-    """doc_id, target (boolean), ids (uint16 or uint32 as bytes) of every row, written to the shared folder."""
+    """doc_id, target (boolean), ids (uint32 as bytes) of every row, written to the shared folder."""
     spark = docs.sparkSession
     prepare(spark)
     sent = spark.sparkContext.broadcast(model)
@@ -50,7 +50,7 @@ def tokenized(docs: DataFrame, target: DataFrame, model: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(sent.value)
         for b in batches:
-            ids = [np.array(e.ids_text(t).split(","), np.uint32).tobytes() if t else b"" for t in texts_of(b)]
+            ids = [np.fromstring(e.ids_text(t), np.uint32, sep=",").tobytes() if t else b"" for t in texts_of(b)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("target"), pa.array(ids, pa.binary())], ["doc_id", "target", "ids"])
 
     good = target.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("_good", F.lit(True))
