@@ -91,7 +91,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
-    """The signed documents (doc_id, text_key) and the texts (text_key, node, copies, class_id, n_links)."""
+    """The signed documents (doc_id, text_key) and the texts (text_key, node, copies, class_id, class_key, n_links);
+    class_id and class_key are the id and text of the class's first document."""
     spark = docs.sparkSession
     path = fresh_path(spark, "signed")
     signed(docs, bands, rows).write.parquet(path)
@@ -103,10 +104,10 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> tuple[Data
     tied = materialize(pairs.join(heads, "key").select("node", "text_key", "head"), "tied")
     links = tied.groupBy("text_key").agg(F.count("*").alias("n_links"))
     edges = tied.select(F.struct("node", "text_key").alias("a"), F.col("head").alias("b"))
-    found = components(edges).select(F.col("node.text_key").alias("text_key"), F.col("class.node").alias("class_id"))
+    found = components(edges).select(F.col("node.text_key").alias("text_key"), F.col("class.node").alias("class_id"), F.col("class.text_key").alias("class_key"))
     known = links.join(found, "text_key")
     out = texts.drop("keys").join(known, "text_key", "left")
-    out = out.select("text_key", "node", "copies", F.coalesce("class_id", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    out = out.select("text_key", "node", "copies", F.coalesce("class_id", "node").alias("class_id"), F.coalesce("class_key", "text_key").alias("class_key"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     return s.select("doc_id", "text_key"), materialize(out, "classes")
 
 
@@ -126,9 +127,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     s, texts = classes(docs)
     rows = s.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).join(texts, "text_key")
-    # of a class, the text with the smallest key stays where one id has several
-    best = texts.where("node = class_id").groupBy("class_id").agg(F.min("text_key").alias("best"))
-    rows = rows.join(best, "class_id").select("doc_id", "text_key", "n", ((F.col("doc_id") != F.col("class_id")) | (F.col("text_key") != F.col("best"))).alias("out"))
+    out = (F.col("doc_id") != F.col("class_id")) | (F.col("text_key") != F.col("class_key"))
+    rows = rows.select("doc_id", "text_key", "n", out.alias("out"))
     rows = materialize(rows, "verdicts")
     gone = rows.where("out").select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_key"))
     many = rows.where("not out and n > 1").select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_key"))

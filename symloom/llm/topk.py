@@ -36,7 +36,7 @@ PIVOT_SAMPLE = 4096
 #: Rows of one sorted run that is bounded as a whole, and queries that a task holds at once.
 ANNULUS = 256
 QUERY_BLOCK = 2048
-#: Index rows of one partition, and the rows of an Arrow batch of them.
+#: Index rows of one partition, and of what a task holds at once.
 PARTITION_ROWS = 40_000
 
 
@@ -168,10 +168,19 @@ def search(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     index.select("vec_id", "v", is_query.alias("ask")).mapInArrow(first, "vec_id long, v array<long>, floor long").write.parquet(path)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += len(b)
+            if n >= PARTITION_ROWS:
+                yield from meet(pa.Table.from_batches(held))
+                held, n = [], 0
+        if n:
+            yield from meet(pa.Table.from_batches(held))
+
+    def meet(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        """A slab of the index against all queries."""
         space = sent.value
-        rows = pa.Table.from_batches(list(batches))  # one partition of the index, PARTITION_ROWS or so
-        if not len(rows):
-            return
         v, vid = _dense(rows["v"], dim), rows["vec_id"].to_numpy()
         pivot, dist = rows["pivot"].to_numpy(), rows["dist"].to_numpy()
         cut = np.flatnonzero(np.diff(pivot)) + 1
