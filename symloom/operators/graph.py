@@ -126,14 +126,14 @@ def blast_transitive(E: DataFrame, R: DataFrame, depth: int = 3) -> DataFrame:
     """(name, transitive_callers): distinct callers within ``depth`` hops, the name itself never counted.
 
     Once for each distinct name. Frontiers are distinct (seed, caller) pairs; what was seen before drops out by an anti
-    join, so each hop only carries news.
+    join, so each hop only carries news. Hops are written to the shared folder, since each is read twice.
     """
-    back = R.where("caller is not null").select(F.col("name").alias("at"), "caller").distinct()
+    back = _stored(R.where("caller is not null").select(F.col("name").alias("at"), "caller").distinct(), "calls")
     seeds = E.select("name").distinct()
     front = seeds.select(F.col("name").alias("seed"), F.col("name").alias("at"))
     seen = front
     for _ in range(depth):
-        front = front.join(back, "at").select("seed", F.col("caller").alias("at")).distinct().join(seen, ["seed", "at"], "left_anti")
+        front = _stored(front.join(back, "at").select("seed", F.col("caller").alias("at")).distinct().join(seen, ["seed", "at"], "left_anti"), "hop")
         seen = seen.unionByName(front)
     n = seen.groupBy("seed").agg((F.count("*") - 1).cast("long").alias("transitive_callers"))
     return n.select(F.col("seed").alias("name"), "transitive_callers")
