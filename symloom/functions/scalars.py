@@ -12,8 +12,8 @@ LANGUAGES = {
 }
 EXTENSION_LANGUAGE = {e: lang for lang, exts in LANGUAGES.items() for e in exts.split()}
 
-DEFINITION_KINDS = ("class", "struct", "enum", "trait", "interface", "function", "fn", "method", "type_alias", "module")
-OUTLINE_KINDS = ("class", "struct", "enum", "trait", "interface", "function", "fn", "module", "section", "type_alias", "impl")
+DEFINITION_KINDS = tuple("class enum fn function interface method module struct trait type_alias".split())
+OUTLINE_KINDS = tuple("class enum fn function impl interface module section struct trait type_alias".split())
 
 _SUFFIXES = r"(_test\.(rs|go|py|ts|js)|\.(test|spec)\.(ts|tsx|js|jsx)|Tests?\.java|_spec\.rb)$"
 #: One pattern for all rules; ``[^/]*`` keeps a rule inside the file name.

@@ -19,8 +19,8 @@ SYMBOL, PREFIX, FILE = "blue_widget_1", "src/Brand#1", "src/Brand#11/STANDARD.rs
 TAIL = r"regexp_extract(name, '([^:.]*)$', 1)"
 DIR = "regexp_extract(file, '^(?s)(.*)/[^/]*$', 1)"
 LANG = "CASE regexp_extract(file, '[^.]*$') WHEN 'rs' THEN 'rust' WHEN 'py' THEN 'python' END"
-_DEFS = "('class','struct','enum','trait','interface','function','fn','method','type_alias','module')"
-_TOP = "parent IS NULL AND kind IN ('class','struct','enum','trait','interface','function','fn','module','section','type_alias','impl')"
+_DEFS = "(" + ", ".join(f"'{k}'" for k in S.DEFINITION_KINDS) + ")"
+_TOP = "parent IS NULL AND kind IN (" + ", ".join(f"'{k}'" for k in S.OUTLINE_KINDS) + ")"
 
 
 def reg(name: str, oracle: str | None = None) -> Callable:

@@ -6,7 +6,7 @@ import json
 import re
 from collections.abc import Iterator
 
-IDENTITY = ("id", "key", "name", "text", "type")
+IDENTITY = tuple("id key name text type".split())
 Item = tuple[str, str, str | None, int, int, str | None, list[str] | None]
 
 

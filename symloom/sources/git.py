@@ -78,7 +78,7 @@ class _Reader(DataSourceReader):
             out = _git(self.repo, "log", f"-n{int(self.o.get('commits', 500))}", "--name-only", "--pretty=---%H", "--no-renames")
             yield from parse_log(out.decode("utf-8", "replace"))
         elif self.what == "changes":
-            out = _git(self.repo, "diff", "--name-status", "--no-renames", self.o["base"], self.o["head"]).decode("utf-8", "replace")
+            out = _git(self.repo, "diff", "--no-renames", "--name-status", self.o["base"], self.o["head"]).decode("utf-8", "replace")
             for line in out.splitlines():
                 status, _, file = line.partition("\t")
                 if status in ("A", "M", "D"):
