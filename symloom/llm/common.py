@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 32 << 20
 #: Rows of text that one Arrow batch carries to a Python worker.
 BATCH_ROWS = 512
+#: Bytes of such a batch, so that very long texts come a few at a time.
+BATCH_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,6 +44,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def prepare(spark: SparkSession) -> None:
     """Small Arrow batches, and this package on the workers' path where the environment doesn't put it there."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     root = str(Path(__file__).resolve().parents[2])
     sc = spark.sparkContext
     if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_symloom_shipped", False):
