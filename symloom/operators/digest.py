@@ -113,11 +113,13 @@ def map_entities(E: DataFrame, focus: str | None = None, boost: float = 2.0, dep
 def pack(rows: DataFrame, tokens: Column, order: list[Column | str], budget: int = 4000, start: int = 100) -> DataFrame:
     """M8: the longest prefix that fits the budget; the first row always does.
 
-    A prefix is short, at most ``budget`` rows of a token each and a few of none, so the running sum needs the top rows
-    only; rows without tokens can't be bounded that way and are added up in full.
+    A row of at least one token takes one from the budget, so only the top ``budget`` such rows can be in the prefix: a
+    bounded top-k comes before the running sum. Rows without tokens aren't bounded that way and are all looked at.
     """
+    rows = rows.withColumn("_t", F.coalesce(tokens.cast("long"), F.lit(0)))
+    top = rows.where("_t > 0").orderBy(*order).limit(max(1, budget - start + 1))
     w = Window.orderBy(*order)
-    running = rows.withColumn("_t", tokens).withColumns({"total": F.sum("_t").over(w.rowsBetween(Window.unboundedPreceding, 0)) + start, "place": F.row_number().over(w)})
+    running = top.unionByName(rows.where("_t <= 0")).withColumns({"total": F.sum("_t").over(w.rowsBetween(Window.unboundedPreceding, 0)) + start, "place": F.row_number().over(w)})
     return running.where((F.col("total") <= budget) | (F.col("place") == 1)).drop("_t")
 
 

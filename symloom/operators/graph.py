@@ -222,18 +222,18 @@ def partners(pairs: DataFrame, file: str) -> DataFrame:
 
 
 def duplicates(E: DataFrame, min_lines: int = 3, max_group: int = 0) -> DataFrame:
-    """(body_hash, size, lines, members) of equal bodies, largest first.
+    """Members of groups of equal bodies, a row each: (body_hash, size, lines, file, line_start, line_end, name, kind,
+    parent, seq), largest groups first; ``lines`` is that of the group's first member.
 
-    Group sizes come first, from a combinable count; only groups that are reported collect their members.
+    Sizes and first members are combinable, so a body that a third of all rows share is never gathered in one place.
     """
     rows = E.where(~F.col("kind").isin(*IMPORT_KINDS) & F.col("body_hash").isNotNull() & (S.body_length(F.col("line_start"), F.col("line_end")) >= min_lines))
-    n = rows.groupBy("body_hash").agg(F.count("*").alias("size")).where("size > 1")
+    n = rows.groupBy("body_hash").agg(F.count("*").alias("size"), F.min(F.struct("file", "line_start", "seq", "line_end")).alias("first")).where("size > 1")
     n = n.where(F.col("size") <= max_group) if max_group else n
-    member = F.struct("file", "line_start", "seq", "line_end", "name", "kind", "parent")
-    groups = rows.join(n, "body_hash").groupBy("body_hash").agg(F.first("size").alias("size"), F.array_sort(F.collect_list(member)).alias("members"))
-    first = F.col("members")[0]
-    groups = groups.withColumn("lines", S.body_length(first["line_start"], first["line_end"]))
-    return groups.select("body_hash", "size", "lines", "members").orderBy(F.desc("size"), F.desc("lines"), first["file"], first["line_start"], first["seq"])
+    n = n.select("body_hash", "size", S.body_length(F.col("first.line_start"), F.col("first.line_end")).alias("lines"), "first")
+    out = rows.select("body_hash", "file", "line_start", "line_end", "name", "kind", "parent", "seq").join(n, "body_hash")
+    out = out.orderBy(F.desc("size"), F.desc("lines"), "first", "file", "line_start", "seq")
+    return out.select("body_hash", "size", "lines", "file", "line_start", "line_end", "name", "kind", "parent", "seq")
 
 
 def duplicates_totals(E: DataFrame, min_lines: int = 3, max_group: int = 0) -> DataFrame:

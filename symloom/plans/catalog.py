@@ -278,9 +278,10 @@ def _(s, d):
 _DUP = "kind NOT IN ('import','use','package') AND body_hash IS NOT NULL AND line_end - line_start + 1 >= 3"
 
 
-@reg("g14_duplicates", f"WITH {P.E} SELECT body_hash, count(*) AS size, max_by(n, -ord) AS lines, string_agg(file || ':' || line_start, ',' ORDER BY ord) AS members FROM (SELECT *, line_end - line_start + 1 AS n, row_number() OVER (PARTITION BY body_hash ORDER BY file, line_start, seq) AS ord FROM E WHERE {_DUP}) GROUP BY body_hash HAVING count(*) > 1")
+@reg("g14_duplicates", f"""WITH {P.E}, m AS (SELECT *, line_end - line_start + 1 AS n, count(*) OVER (PARTITION BY body_hash) AS size FROM E WHERE {_DUP})
+SELECT body_hash, size, first_value(n) OVER (PARTITION BY body_hash ORDER BY file, line_start, seq) AS lines, file, line_start, line_end, name, kind, parent, seq FROM m WHERE size > 1""")
 def _(s, d):
-    return graph.duplicates(P.entities(s, d)).withColumn("members", F.expr("array_join(transform(members, x -> x.file || ':' || x.line_start), ',')"))
+    return graph.duplicates(P.entities(s, d))
 
 
 @reg("g15_duplicates_totals", f"WITH {P.E}, g AS (SELECT count(*) AS n FROM E WHERE {_DUP} GROUP BY body_hash HAVING count(*) > 1) SELECT (SELECT count(*) FROM E) AS scanned, count(*) AS groups, CAST(coalesce(sum(n), 0) AS BIGINT) AS total_clones FROM g")
