@@ -363,7 +363,7 @@ def _(s, d):
 @reg("m09_subsystems")
 def _(s, d):
     e = P.entities(s, d)
-    shown = digest.map_files(e, _ranks(s, d)).limit(40)
+    shown = digest.pack(digest.map_files(e, _ranks(s, d)), S.token_estimate(F.col("file")) + 40, [F.desc("score"), "file"])
     return digest.subsystems(graph.communities(e, P.sparse_refs(s, d)), shown).select("community", "file_count", F.array_join("top", ",").alias("top"))
 
 
@@ -478,7 +478,7 @@ def _versions_of_text(s, d):
     """Documents as a file each, and an edited copy of them."""
     old = P.table(s, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id")).alias("file"), F.replace("text", F.lit(". "), F.lit(".\n")).alias("text"))
     new = old.withColumn("text", F.regexp_replace("text", r"\bthe\b", "The"))
-    e = F.struct(F.col("file"), F.lit(1).cast("long").alias("line_start"), F.lit(6).cast("long").alias("line_end"))
+    e = F.struct(F.col("file"), F.lit(1).cast("long").alias("line_start"), F.size(F.split("text", "\n")).cast("long").alias("line_end"))
     return old.select(e.alias("old"), e.alias("new"), "file"), old, new
 
 

@@ -359,7 +359,9 @@ def test_text_functions():
     assert textdiff.entity_text("a\nb\nc\n", 2, 3) == "b\nc"
 
 
-def test_edit_scripts_rebuild_both_sides():
+@pytest.mark.parametrize("cells", [4_000_000, 6])
+def test_edit_scripts_rebuild_both_sides(monkeypatch, cells):
+    monkeypatch.setattr(textdiff, "TABLE_CELLS", cells)
     rng = random.Random(3)
     for _ in range(150):
         a, b = ([rng.choice("abc") for _ in range(rng.randrange(9))] for _ in range(2))
