@@ -84,23 +84,31 @@ class Model:
         return best, score
 
 
-def solve(x: np.ndarray, y: list[str], ridge: float = 1e-2) -> Model:
-    """Nystroem kernel ridge regression on presence rows ``x`` with languages ``y`` (in a fixed order)."""
+def solve(bits: np.ndarray, y: list[str], ridge: float = 1e-2) -> Model:
+    """Nystroem kernel ridge regression on bit sets (uint8 rows) with languages ``y``, in a fixed order.
+
+    Sets are unpacked 256 at a time, so the driver holds kernel rows and landmarks only.
+    """
+
+    def unit(some: np.ndarray) -> np.ndarray:
+        x = np.unpackbits(some, axis=1).astype(np.float32)
+        x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+        return x
+
     langs = sorted(set(y))
     of = np.array([langs.index(v) for v in y])
     per = max(4, LANDMARKS // len(langs))
     marks = np.concatenate([np.flatnonzero(of == k)[:per] for k in range(len(langs))])
-    unit = x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
-    lm = np.ascontiguousarray(unit[marks].T)
-    km, kn = (unit[marks] @ lm).astype(np.float64), (unit @ lm).astype(np.float64)
-    val, vec = np.linalg.eigh(km)
+    lm = np.ascontiguousarray(unit(bits[marks]).T)
+    kn = np.concatenate([unit(bits[a : a + 256]) @ lm for a in range(0, len(bits), 256)]).astype(np.float64)
+    val, vec = np.linalg.eigh(kn[marks])
     good = val > 1e-6 * val.max()
     root = vec[:, good] / np.sqrt(val[good])
     z = kn @ root
     target = np.where(of[:, None] == np.arange(len(langs)), 1.0, -1.0)
     w = 1.0 / np.bincount(of, minlength=len(langs))[of]  # every language weighs the same
     a = (z * w[:, None]).T @ z + ridge * np.eye(z.shape[1]) / len(langs)
-    return Model(langs, lm.astype(np.float32), (root @ np.linalg.solve(a, (z * w[:, None]).T @ target)).astype(np.float32))
+    return Model(langs, lm, (root @ np.linalg.solve(a, (z * w[:, None]).T @ target)).astype(np.float32))
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,8 +135,7 @@ def fit(docs: DataFrame) -> Model | None:
     if not rows:
         return None
     rows.sort(key=lambda r: (r["lang"], r["doc_id"]))
-    x = np.stack([np.unpackbits(np.frombuffer(r["bits"], np.uint8)) for r in rows]).astype(np.float32)
-    return solve(x, [r["lang"] for r in rows])
+    return solve(np.stack([np.frombuffer(r["bits"], np.uint8) for r in rows]), [r["lang"] for r in rows])
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
