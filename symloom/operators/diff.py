@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from symloom.functions import scalars as S
 from symloom.functions import textdiff
-from symloom.operators.graph import _stored
+from symloom.operators.graph import stored
 
 FUZZY = 0.6
 _ENTITY = ("file", "name", "kind", "line_start", "line_end", "parent", "sig", "meta", "body_hash", "sig_hash", "struct_hash", "visibility", "seq")
@@ -76,18 +76,18 @@ def match(old: DataFrame, new: DataFrame, fuzzy: bool = True, least: float = FUZ
     old, new = old.select(*_ENTITY), new.select(*_ENTITY)
     found = []
     one = F.lit(1.0)
-    exact = _stored(_pass(old, new, ["file", "parent", "name"]), "match")
+    exact = stored(_pass(old, new, ["file", "parent", "name"]), "match")
     found.append(exact.where("old.struct_hash <> new.struct_hash").select(F.lit("exact").alias("match"), "old", "new", one.alias("confidence")))
     old, new = _left(old, exact, "old"), _left(new, exact, "new")
-    moved = _stored(_pass(old, new, ["parent", "name"]), "match")
+    moved = stored(_pass(old, new, ["parent", "name"]), "match")
     found.append(moved.select(F.lit("moved").alias("match"), "old", "new", one.alias("confidence")))
     old, new = _left(old, moved, "old"), _left(new, moved, "new")
     body = "body_hash is not null and kind <> 'import'"
-    renamed = _stored(_pass(old.where(body), new.where(body), ["body_hash"]), "match")
+    renamed = stored(_pass(old.where(body), new.where(body), ["body_hash"]), "match")
     found.append(renamed.select(F.lit("renamed").alias("match"), "old", "new", one.alias("confidence")))
     old, new = _left(old, renamed, "old"), _left(new, renamed, "new")
     if fuzzy:
-        near = _stored(_fuzzy(old, new, least), "match")
+        near = stored(_fuzzy(old, new, least), "match")
         found.append(near.select(F.lit("renamed").alias("match"), "old", "new", "confidence"))
         old, new = _left(old, near, "old"), _left(new, near, "new")
     e = F.struct(*_ENTITY)

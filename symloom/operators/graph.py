@@ -46,7 +46,8 @@ def nodes(E: DataFrame, R: DataFrame) -> DataFrame:
     return E.select("file").union(R.select("file")).distinct()
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and reread: it isn't computed again and survives lost executors."""
     spark = df.sparkSession
     home = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not home:
@@ -66,7 +67,7 @@ def pagerank(E: DataFrame, R: DataFrame, damping: float = 0.85, rounds: int = 50
     iteration; beyond that the loop stays distributed, written to the shared folder every ``cut`` rounds, where
     convergence is looked at as well. ``tolerance`` 0 runs all rounds.
     """
-    edges, files = _stored(file_edges(E, R), "edges"), _stored(nodes(E, R), "files")
+    edges, files = stored(file_edges(E, R), "edges"), stored(nodes(E, R), "files")
     n = files.count()
     if not n:
         return files.select("file", F.lit(None).cast("double").alias("rank"))
@@ -99,16 +100,16 @@ def _pagerank_compact(edges: DataFrame, files: DataFrame, damping: float, rounds
 
 def pagerank_loop(edges: DataFrame, files: DataFrame, n: int, damping: float = 0.85, rounds: int = 50, tolerance: float = 1e-6, cut: int = 5) -> DataFrame:
     total = edges.groupBy("src").agg(F.sum("w").alias("total"))
-    share = _stored(edges.join(total, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("p")), "shares")
+    share = stored(edges.join(total, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("p")), "shares")
     heads = share.select(F.col("src").alias("file")).distinct().withColumn("linked", F.lit(True))
-    rank = _stored(files.join(heads, "file", "left").select("file", F.coalesce("linked", F.lit(False)).alias("linked"), F.lit(1.0 / n).alias("rank")), "rank")
+    rank = stored(files.join(heads, "file", "left").select("file", F.coalesce("linked", F.lit(False)).alias("linked"), F.lit(1.0 / n).alias("rank")), "rank")
     for i in range(1, rounds + 1):
         lost = rank.agg(F.sum(F.when(~F.col("linked"), F.col("rank")).otherwise(0.0)).alias("lost"))
         flow = share.join(rank.select(F.col("file").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("file")).agg(F.sum(F.col("rank") * F.col("p")).alias("flow"))
         new = rank.withColumnRenamed("rank", "old").join(flow, "file", "left").crossJoin(F.broadcast(lost))  # lost is one row
         new = new.select("file", "linked", ((1 - damping) / n + damping * (F.coalesce("flow", F.lit(0.0)) + F.col("lost") / n)).alias("rank"), "old")
         if i % cut == 0 or i == rounds:
-            new = _stored(new, "rank")
+            new = stored(new, "rank")
             if tolerance and new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] < tolerance:
                 return new.select("file", "rank")
         rank = new.drop("old")
@@ -128,12 +129,12 @@ def blast_transitive(E: DataFrame, R: DataFrame, depth: int = 3) -> DataFrame:
     Once for each distinct name. Frontiers are distinct (seed, caller) pairs; what was seen before drops out by an anti
     join, so each hop only carries news. Hops are written to the shared folder, since each is read twice.
     """
-    back = _stored(R.where("caller is not null").select(F.col("name").alias("at"), "caller").distinct(), "calls")
+    back = stored(R.where("caller is not null").select(F.col("name").alias("at"), "caller").distinct(), "calls")
     seeds = E.select("name").distinct()
     front = seeds.select(F.col("name").alias("seed"), F.col("name").alias("at"))
     seen = front
     for _ in range(depth):
-        front = _stored(front.join(back, "at").select("seed", F.col("caller").alias("at")).distinct().join(seen, ["seed", "at"], "left_anti"), "hop")
+        front = stored(front.join(back, "at").select("seed", F.col("caller").alias("at")).distinct().join(seen, ["seed", "at"], "left_anti"), "hop")
         seen = seen.unionByName(front)
     n = seen.groupBy("seed").agg((F.count("*") - 1).cast("long").alias("transitive_callers"))
     return n.select(F.col("seed").alias("name"), "transitive_callers")

@@ -211,7 +211,7 @@ tot AS MATERIALIZED (SELECT src, sum(w) AS t FROM W GROUP BY src), {", ".join(st
 
 @reg("g03_pagerank", _pagerank_oracle())
 def _(s, d):
-    return _ROUND6(graph.pagerank(P.entities(s, d), P.refs(s, d), rounds=20, tolerance=0), "rank")
+    return _ROUND6(graph.pagerank(P.entities(s, d), graph.stored(P.refs(s, d), "refs"), rounds=20, tolerance=0), "rank")
 
 
 @reg("g04_blast_direct", f"WITH {P.E}, {P.R} SELECT e.name, count(R.name) AS direct_callers, count(DISTINCT R.file) AS direct_files FROM (SELECT DISTINCT name FROM E) e LEFT JOIN R ON R.name = e.name GROUP BY e.name")
@@ -235,7 +235,7 @@ _BLAST = f"{_BFS}, D AS MATERIALIZED (SELECT e.name, count(R.name) AS dc, count(
 
 def _with_blast(s, d):
     e = P.entities(s, d)
-    return graph.apply_blast(e, graph.blast(e, P.sparse_refs(s, d)))
+    return graph.apply_blast(e, graph.blast(e, graph.stored(P.sparse_refs(s, d), "refs")))  # read twice
 
 
 @reg("g06_blast_applied", f"WITH {P.E}, {P.SPARSE}, {_BLAST} SELECT file, E.name, seq, dc AS direct_callers, df AS direct_files, transitive_callers FROM E JOIN D ON D.name = E.name JOIN T ON T.name = E.name")
