@@ -2,13 +2,16 @@
 
 A text is the multiset of its adjacent word pairs (words lower-cased, without punctuation; a single word is its own
 pair), weighted by count. Its 64 keys each hash ``ROWS`` of 256 signature coordinates; a coordinate serves in two keys, once
-with its neighbours and once across. Two texts are linked if they share a key: with similarity s that happens with a
-probability of about 1 - (1 - s**8)**64, which is 0.98 at 0.7, 0.9999 at 0.8, 0.004 at 0.3 and 1e-6 at 0.1. Classes are the connected components of all links; nothing is capped.
+with its neighbours and once across. Two texts that share a key are candidates: with similarity s that happens with a
+probability of about 1 - (1 - s**8)**64, which is 0.98 at 0.7, 0.9999 at 0.8, 0.004 at 0.3 and 1e-6 at 0.1. A candidate
+pair is a link if the similarity that the whole signatures estimate is SIMILARITY or more (256 coordinates, standard
+error 0.03). Classes are the connected components of all links; nothing is capped.
 
-No pair is ever formed inside a group: copies of a text collapse first (a combinable minimum), then each key keeps
-its smallest member, and every other member is tied to that one, which leaves the components as they are. Components
-come from alternating large-star and small-star steps; both are combinable minima plus a join, each round is written
-to the shared folder, and rounds grow with the logarithm of the longest chain.
+A signature is kept as one byte a coordinate, of which the keys are made too. Copies of a text collapse first (a
+combinable minimum). The members of each key come sorted to one task, which compares every pair of them and ties each
+member to the smallest one that links lead to; so pairs aren't written, but the comparisons grow with the square of
+a key's members. Components come from alternating large-star and small-star steps; both are combinable minima plus a
+join, each round is written to the shared folder, and rounds grow with the logarithm of the longest chain.
 
 Defined results: a null text counts as empty; texts without any word are linked only to equal texts. Documents with
 a null id take no part (class null, no links). Rows that repeat an id and a text are copies of each other. One id with
@@ -28,6 +31,10 @@ from symloom.llm.common import DIGIT, OTHER, char_classes, codes, fresh_path, ma
 from symloom.llm.dartminhash import signatures
 
 BANDS, ROWS = 32, 8  # of neighbouring coordinates; as many again go across
+#: Estimated similarity from which a candidate pair is a link.
+SIMILARITY = 0.6
+#: Rows of key members that are compared together (whole keys, so more where one key has more), and pairs in one step.
+MEMBERS, PAIRS = 8192, 16_384
 
 
 def elements(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -55,17 +62,72 @@ def text_key() -> Column:
 
 
 def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, text_key, keys (an empty array for a text without words) of documents with an id."""
+    """doc_id, text_key, keys (an empty array for a text without words) and sketch of documents with an id."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sigs = signatures([elements(t) for t in texts_of(b)], bands * rows)
-            keys = [[] if s is None else band_keys(s, bands, rows) for s in sigs]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "text_key", "keys"])
+            sketches = [None if s is None else s.astype(np.uint8) for s in sigs]
+            keys = [[] if s is None else band_keys(s.astype(np.uint64), bands, rows) for s in sketches]
+            made = [pa.array(keys, pa.list_(pa.int64())), pa.array([None if s is None else s.tobytes() for s in sketches], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), *made], ["doc_id", "text_key", "keys", "sketch"])
 
     rows_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("text_key")).where("doc_id is not null")
-    return rows_.mapInArrow(run, "doc_id long, text_key binary, keys array<long>")
+    return rows_.mapInArrow(run, "doc_id long, text_key binary, keys array<long>, sketch binary")
+
+
+def compare(key: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    """For each row of ``sketch`` (rows of equal ``key`` are neighbours) the first row of its key that links lead to."""
+    start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    size = np.diff(np.append(start, len(key)))
+    first = np.repeat(start, size)
+    place, end, root = np.arange(len(key)) - first, first + np.repeat(size, size), np.arange(len(key))
+    least, lag = SIMILARITY * sketch.shape[1], 1
+    late = np.flatnonzero(place >= lag)
+    while len(late):
+        for i in range(0, len(late), PAIRS):
+            b = late[i : i + PAIRS]
+            b = b[(sketch[b] == sketch[b - lag]).sum(1) >= least]
+            for y in b[root[b] != root[b - lag]].tolist():
+                low, high = sorted((root[y - lag], root[y]))
+                own = root[first[y] : end[y]]
+                own[own == high] = low
+        lag += 1
+        late = late[place[late] >= lag]
+    return root
+
+
+def linked(members: DataFrame) -> DataFrame:
+    """node, text_key, head_node, head_key: the members (key, node, text_key, sketch) that have links in a key, and the
+    smallest member of that key which their links lead to."""
+    prepare(members.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def of(t: pa.Table) -> pa.RecordBatch:
+            root = compare(t.column("key").to_numpy(), np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(t), -1))
+            at = np.flatnonzero(root != np.arange(len(t)))
+            ids = [t.column(c).combine_chunks() for c in ("node", "text_key")]
+            return pa.RecordBatch.from_arrays([c.take(pa.array(x, pa.int64())) for x in (at, root[at]) for c in ids], ["node", "text_key", "head_node", "head_key"])
+
+        held, n = [], 0
+        for b in batches:
+            if not len(b):
+                continue
+            key = b.column("key").to_numpy()
+            n += len(b)
+            held.append(b)
+            if n >= MEMBERS and (key[0] != key[-1] or held[:-1] and held[-2].column("key")[-1].as_py() != key[0]):
+                cut = int(np.searchsorted(key, key[-1]))  # the last key may go on
+                held[-1] = b.slice(0, cut)
+                t = pa.Table.from_batches(held)
+                held, n = [b.slice(cut)], len(b) - cut
+                yield of(t)
+        if held:
+            yield of(pa.Table.from_batches(held))
+
+    rows = members.repartition("key").sortWithinPartitions("key", "node", "text_key")
+    return rows.mapInArrow(run, "node long, text_key binary, head_node long, head_key binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -97,16 +159,16 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> tuple[Data
     path = fresh_path(spark, "signed")
     signed(docs, bands, rows).write.parquet(path)
     s = spark.read.parquet(path)
-    texts = materialize(s.groupBy("text_key").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.any_value("keys").alias("keys")), "texts")
+    texts = materialize(s.groupBy("text_key").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.any_value(F.struct("keys", "sketch")).alias("signed")).select("text_key", "node", "copies", "signed.*"), "texts")
     # one id may stand for several texts, so a node is (smallest id, text)
     pairs = texts.select(F.explode("keys").alias("key"), "node", "text_key")
-    heads = pairs.groupBy("key").agg(F.min(F.struct("node", "text_key")).alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head")
-    tied = materialize(pairs.join(heads, "key").select("node", "text_key", "head"), "tied")
-    links = tied.groupBy("text_key").agg(F.count("*").alias("n_links"))
-    edges = tied.select(F.struct("node", "text_key").alias("a"), F.col("head").alias("b"))
+    shared = pairs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    members = materialize(pairs.join(shared, "key"), "members")
+    links = members.groupBy("text_key").agg(F.count("*").alias("n_links"))
+    tied = materialize(linked(members.join(texts.select("text_key", "sketch"), "text_key")), "tied")
+    edges = tied.select(F.struct("node", "text_key").alias("a"), F.struct(F.col("head_node").alias("node"), F.col("head_key").alias("text_key")).alias("b"))
     found = components(edges).select(F.col("node.text_key").alias("text_key"), F.col("class.node").alias("class_id"), F.col("class.text_key").alias("class_key"))
-    known = links.join(found, "text_key")
-    out = texts.drop("keys").join(known, "text_key", "left")
+    out = texts.drop("keys", "sketch").join(links, "text_key", "left").join(found, "text_key", "left")
     out = out.select("text_key", "node", "copies", F.coalesce("class_id", "node").alias("class_id"), F.coalesce("class_key", "text_key").alias("class_key"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     return s.select("doc_id", "text_key"), materialize(out, "classes")
 

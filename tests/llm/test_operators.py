@@ -129,6 +129,19 @@ def test_classes_against_all_pairs(spark):
     assert kept == sorted({find(i) for i, _ in rows})
 
 
+def test_texts_of_one_template_stay_apart(spark):
+    rng = random.Random(11)
+    template = prose(rng, 60)
+    rows = [(i, template + " " + prose(rng, 40)) for i in range(400)]
+    rows += [(1000 + i, edited(rng, rows[i][1], 0.01)) for i in range(20)]
+    assert 0.3 < weighted_jaccard(rows[0][1], rows[1][1]) < 0.5
+    keys = [set(dedup.band_keys(s, dedup.BANDS, dedup.ROWS).tolist()) for s in dartminhash.signatures([dedup.elements(t) for _, t in rows[:400]], 256)]
+    assert any(a & b for a, b in itertools.combinations(keys, 2))  # candidates that aren't near-duplicates
+    got = {r["doc_id"]: r["class_id"] for r in dedup.near_duplicates(docs(spark, [(i, t, None) for i, t in rows])).collect()}
+    assert got == {i: i % 1000 for i, _ in rows}
+    assert dedup.keep_one(docs(spark, [(i, t, None) for i, t in rows])).count() == 400
+
+
 def test_components_of_a_long_chain(spark):
     pairs = [(i, i + 1) for i in range(60) if i != 30] + [(90, 80), (80, 85)]
     random.Random(1).shuffle(pairs)
