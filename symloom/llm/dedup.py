@@ -77,38 +77,46 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     return rows_.mapInArrow(run, "doc_id long, text_key binary, keys array<long>, sketch binary")
 
 
-def compare(key: np.ndarray, sketch: np.ndarray) -> np.ndarray:
-    """For each row of ``sketch`` (rows of equal ``key`` are neighbours) the first row of its key that links lead to."""
+def compare(key: np.ndarray, group: np.ndarray, sketch: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of ``sketch`` (rows of equal ``key`` are neighbours) the first row of its key that links lead to, and
+    the number of its links. A pair counts in the first of the keys that it shares, which ``group`` says."""
     start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     size = np.diff(np.append(start, len(key)))
     first = np.repeat(start, size)
     place, end, root = np.arange(len(key)) - first, first + np.repeat(size, size), np.arange(len(key))
-    least, lag = SIMILARITY * sketch.shape[1], 1
+    least, lag, links = SIMILARITY * sketch.shape[1], 1, np.zeros(len(key), np.int64)
     late = np.flatnonzero(place >= lag)
     while len(late):
         for i in range(0, len(late), PAIRS):
             b = late[i : i + PAIRS]
-            b = b[(sketch[b] == sketch[b - lag]).sum(1) >= least]
+            same = sketch[b] == sketch[b - lag]
+            near = same.sum(1) >= least
+            b, same = b[near], same[near]
+            shared = np.concatenate([same.reshape(-1, bands, rows).all(2), same.reshape(-1, rows, bands).all(1)], 1)
+            counts = b[shared.argmax(1) == group[b]]
+            links[counts] += 1  # no row comes twice at one distance
+            links[counts - lag] += 1
             for y in b[root[b] != root[b - lag]].tolist():
                 low, high = sorted((root[y - lag], root[y]))
                 own = root[first[y] : end[y]]
                 own[own == high] = low
         lag += 1
         late = late[place[late] >= lag]
-    return root
+    return root, links
 
 
-def linked(members: DataFrame) -> DataFrame:
-    """node, text_key, head_node, head_key: the members (key, node, text_key, sketch) that have links in a key, and the
-    smallest member of that key which their links lead to."""
+def linked(members: DataFrame, bands: int, rows: int) -> DataFrame:
+    """node, text_key, head_node, head_key, n: the members (key, group, node, text_key, sketch) that have links in a key,
+    the smallest member of that key which their links lead to, and how many links count there."""
     prepare(members.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def of(t: pa.Table) -> pa.RecordBatch:
-            root = compare(t.column("key").to_numpy(), np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(t), -1))
-            at = np.flatnonzero(root != np.arange(len(t)))
+            sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(t), -1)
+            root, n = compare(t.column("key").to_numpy(), t.column("group").to_numpy(), sketch, bands, rows)
+            at = np.flatnonzero((root != np.arange(len(t))) | (n > 0))
             ids = [t.column(c).combine_chunks() for c in ("node", "text_key")]
-            return pa.RecordBatch.from_arrays([c.take(pa.array(x, pa.int64())) for x in (at, root[at]) for c in ids], ["node", "text_key", "head_node", "head_key"])
+            return pa.RecordBatch.from_arrays([*(c.take(pa.array(x, pa.int64())) for x in (at, root[at]) for c in ids), pa.array(n[at])], ["node", "text_key", "head_node", "head_key", "n"])
 
         held, n = [], 0
         for b in batches:
@@ -126,8 +134,8 @@ def linked(members: DataFrame) -> DataFrame:
         if held:
             yield of(pa.Table.from_batches(held))
 
-    rows = members.repartition("key").sortWithinPartitions("key", "node", "text_key")
-    return rows.mapInArrow(run, "node long, text_key binary, head_node long, head_key binary")
+    sorted_ = members.repartition("key").sortWithinPartitions("key", "node", "text_key")
+    return sorted_.mapInArrow(run, "node long, text_key binary, head_node long, head_key binary, n long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -153,7 +161,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
-    """The signed documents (doc_id, text_key) and the texts (text_key, node, copies, class_id, class_key, n_links);
+    """The signed documents (doc_id, text_key) and the texts (text_key, node, copies, class_id, class_key, n_links, n_shared_keys);
     class_id and class_key are the id and text of the class's first document."""
     spark = docs.sparkSession
     path = fresh_path(spark, "signed")
@@ -161,24 +169,25 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> tuple[Data
     s = spark.read.parquet(path)
     texts = materialize(s.groupBy("text_key").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.any_value(F.struct("keys", "sketch")).alias("signed")).select("text_key", "node", "copies", "signed.*"), "texts")
     # one id may stand for several texts, so a node is (smallest id, text)
-    pairs = texts.select(F.explode("keys").alias("key"), "node", "text_key")
+    pairs = texts.select(F.posexplode("keys").alias("group", "key"), "node", "text_key")
     shared = pairs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members = materialize(pairs.join(shared, "key"), "members")
-    links = members.groupBy("text_key").agg(F.count("*").alias("n_links"))
-    tied = materialize(linked(members.join(texts.select("text_key", "sketch"), "text_key")), "tied")
+    shares = members.groupBy("text_key").agg(F.count("*").alias("n_shared_keys"))
+    tied = materialize(linked(members.join(texts.select("text_key", "sketch"), "text_key"), bands, rows), "tied")
+    links = tied.groupBy("text_key").agg(F.sum("n").alias("n_links"))
     edges = tied.select(F.struct("node", "text_key").alias("a"), F.struct(F.col("head_node").alias("node"), F.col("head_key").alias("text_key")).alias("b"))
     found = components(edges).select(F.col("node.text_key").alias("text_key"), F.col("class.node").alias("class_id"), F.col("class.text_key").alias("class_key"))
-    out = texts.drop("keys", "sketch").join(links, "text_key", "left").join(found, "text_key", "left")
-    out = out.select("text_key", "node", "copies", F.coalesce("class_id", "node").alias("class_id"), F.coalesce("class_key", "text_key").alias("class_key"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    out = texts.drop("keys", "sketch").join(shares, "text_key", "left").join(links, "text_key", "left").join(found, "text_key", "left")
+    out = out.select("text_key", "node", "copies", F.coalesce("class_id", "node").alias("class_id"), F.coalesce("class_key", "text_key").alias("class_key"), *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_links", "n_shared_keys")))
     return s.select("doc_id", "text_key"), materialize(out, "classes")
 
 
 def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row for each document: doc_id, class_id (smallest id of its class), n_links (signature keys that its text
-    shares with other texts), n_copies (documents with the same text)."""
+    """One row for each document: doc_id, class_id (smallest id of its class), n_links (different texts that its text is
+    linked with), n_copies (documents with the same text), n_shared_keys (signature keys that its text shares with others)."""
     s, texts = classes(docs, bands, rows)
-    out = s.join(texts, "text_key").select("doc_id", "class_id", "n_links", F.col("copies").alias("n_copies"))
-    none = docs.where(F.col("doc_id").isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
+    out = s.join(texts, "text_key").select("doc_id", "class_id", "n_links", F.col("copies").alias("n_copies"), "n_shared_keys")
+    none = docs.where(F.col("doc_id").isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_shared_keys"))
     return out.unionByName(none)
 
 

@@ -142,6 +142,23 @@ def test_texts_of_one_template_stay_apart(spark):
     assert dedup.keep_one(docs(spark, [(i, t, None) for i, t in rows])).count() == 400
 
 
+def test_links_are_counted_as_texts(spark):
+    rng = random.Random(13)
+    base = prose(rng, 150)
+    rows = [(i, edited(rng, base, 0.01)) for i in range(150)] + [(500, one := prose(rng, 100)), (501, one + " " + prose(rng, 1)), (502, prose(rng, 90))]
+    texts = sorted({t for _, t in rows})
+    sketch = [s.astype(np.uint8) for s in dartminhash.signatures([dedup.elements(t) for t in texts], 256)]
+    keys = [set(dedup.band_keys(s.astype(np.uint64), dedup.BANDS, dedup.ROWS).tolist()) for s in sketch]
+    want = dict.fromkeys(texts, 0)
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if keys[i] & keys[j] and (sketch[i] == sketch[j]).mean() >= dedup.SIMILARITY:
+            want[texts[i]] += 1
+            want[texts[j]] += 1
+    got = {r["doc_id"]: r for r in dedup.near_duplicates(docs(spark, [(i, t, None) for i, t in rows])).collect()}
+    assert {i: got[i]["n_links"] for i, _ in rows} == {i: want[t] for i, t in rows}
+    assert got[0]["n_links"] > 64 and got[500]["n_links"] == 1 < got[500]["n_shared_keys"] <= 64 and got[502]["n_links"] == 0
+
+
 def test_components_of_a_long_chain(spark):
     pairs = [(i, i + 1) for i in range(60) if i != 30] + [(90, 80), (80, 85)]
     random.Random(1).shuffle(pairs)
