@@ -4,12 +4,13 @@ A document's length is its number of tokens (maximal runs of non-blanks, or a co
 above ``max_len`` are cut into pieces of that length, so the global histogram of piece lengths has at most
 ``max_len`` bars. Dynamic programming over it finds the ``buckets`` upper bounds for which padding every piece to its
 bucket's bound wastes least (ties: the smaller bounds). Inside a bucket, batches hold as many padded pieces as the
-token budget allows; all but the last are full. Positions in a bucket come from ranks inside hashed shards plus the
-shards' offsets, so a bucket that holds most rows is still numbered by many tasks.
+token budget allows; all but the last are full. A bucket's order is that of (doc_id, piece, n_tokens) at every size.
+Positions in it come from ranks inside ranges of doc_id plus the ranges' offsets, so a bucket that holds most rows is
+still numbered by many tasks; where the ranges are cut changes no position.
 
 Defined results: documents without a token (also null texts) have one row of 0 tokens with no bucket, batch or slot.
 Rows that repeat are packed each by itself, next to one another. With fewer distinct lengths than buckets, every
-length is a bucket. Up to SHARD_ROWS pieces there is one shard, and a bucket's order is that of (doc_id, piece).
+length is a bucket. Null ids come first. There is about one range for SHARD_ROWS pieces; all pieces of one id are in one range.
 """
 
 from __future__ import annotations
@@ -58,6 +59,16 @@ def bounds(lengths: list[int], counts: list[int], buckets: int) -> list[int]:
     return out[::-1]
 
 
+def _range(lens: DataFrame, ranges: int) -> Column:
+    """The number of the range of ids that a row is in; ascending with doc_id, nulls first. Ids of documents cut them evenly."""
+    cuts = lens.where("n > 0").approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.1 / ranges) if ranges > 1 else []
+    cuts = sorted({min(int(c), (1 << 63) - 1) for c in cuts})
+    if not cuts:
+        return F.lit(0)
+    at = F.array(*(F.lit(c).cast("long") for c in cuts))
+    return F.coalesce(F.size(F.filter(at, lambda c: c < F.col("doc_id"))), F.lit(0))
+
+
 def pack(docs: DataFrame, buckets: int = BUCKETS, max_len: int = MAX_LEN, budget: int = TOKEN_BUDGET, length: Column | None = None) -> DataFrame:
     """doc_id, piece, n_tokens, bucket, bucket_len, batch, slot: a row for each piece of each document."""
     n = tokens(F.col("text")) if length is None else length.cast("long")
@@ -72,7 +83,7 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, max_len: int = MAX_LEN, budget
         bucket = bucket + (F.col("n_tokens") > e).cast("int")
     for e in reversed(ends):
         bound = F.when(F.col("n_tokens") <= e, F.lit(e).cast("long")).otherwise(bound)
-    full = pieces.where("n_tokens > 0").select("*", bucket.alias("bucket"), bound.alias("bucket_len"), F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).alias("shard"))
+    full = pieces.where("n_tokens > 0").select("*", bucket.alias("bucket"), bound.alias("bucket_len"), _range(lens, shards).alias("shard"))
     counted = full.groupBy("bucket", "shard").agg(F.count("*").alias("rows"))
     order = Window.partitionBy("bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     before = counted.select("bucket", "shard", F.coalesce(F.sum("rows").over(order), F.lit(0)).alias("before"))
@@ -85,7 +96,7 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, max_len: int = MAX_LEN, budget
 
 
 def oracle(buckets: int = BUCKETS, max_len: int = MAX_LEN, budget: int = TOKEN_BUDGET) -> str:
-    """DuckDB SQL for ``pack`` over ``documents`` (up to SHARD_ROWS pieces): the same recurrence, one CTE a bucket."""
+    """DuckDB SQL for ``pack`` over ``documents``: the same recurrence, one CTE a bucket."""
     steps = ["f1 AS MATERIALIZED (SELECT i AS j, l * c AS cost, [l] AS ends FROM h)"]
     for k in range(2, buckets + 1):
         steps.append(
