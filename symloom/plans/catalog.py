@@ -233,9 +233,9 @@ def _(s, d):
 _BLAST = f"{_BFS}, D AS MATERIALIZED (SELECT e.name, count(R.name) AS dc, count(DISTINCT R.file) AS df FROM (SELECT DISTINCT name FROM E) e LEFT JOIN R ON R.name = e.name GROUP BY e.name)"
 
 
-def _with_blast(s, d):
+def _with_blast(s, d, refs=P.sparse_refs):
     e = P.entities(s, d)
-    return graph.apply_blast(e, graph.blast(e, graph.stored(P.sparse_refs(s, d), "refs")))  # read twice
+    return graph.apply_blast(e, graph.blast(e, graph.stored(refs(s, d), "refs")))  # read twice
 
 
 @reg("g06_blast_applied", f"WITH {P.E}, {P.SPARSE}, {_BLAST} SELECT file, E.name, seq, dc AS direct_callers, df AS direct_files, transitive_callers FROM E JOIN D ON D.name = E.name JOIN T ON T.name = E.name")
@@ -250,7 +250,7 @@ def _(s, d):
 
 @reg("g08_communities")
 def _(s, d):
-    return graph.communities(P.entities(s, d), P.sparse_refs(s, d))
+    return graph.communities(P.entities(s, d), P.refs(s, d))
 
 
 def _pairs_sql(cap: int, support: int = 2) -> str:
@@ -289,6 +289,29 @@ def _(s, d):
     return graph.duplicates_totals(P.entities(s, d))
 
 
+# The queries whose SQL reads the sparse references, over all of them. The impact search has no SQL here.
+
+
+@reg("g02_file_edges_all", f"WITH {P.E}, {P.R}, {_EDGES} SELECT src, dst, round(w, 6) AS w FROM W")
+def _(s, d):
+    return _ROUND6(graph.file_edges(P.entities(s, d), P.refs(s, d)), "w")
+
+
+@reg("g05_blast_transitive_all")
+def _(s, d):
+    return graph.blast_transitive(P.entities(s, d), P.refs(s, d))
+
+
+@reg("g06_blast_applied_all")
+def _(s, d):
+    return _with_blast(s, d, P.refs).select("file", "name", "seq", "blast_radius.*")
+
+
+@reg("g07_undirected_edges_all", f"WITH {P.E}, {P.R}, {_EDGES} SELECT least(src, dst) AS lo, greatest(src, dst) AS hi, round(sum(w), 6) AS w FROM W GROUP BY 1, 2")
+def _(s, d):
+    return _ROUND6(graph.undirected_edges(P.entities(s, d), P.refs(s, d)), "w")
+
+
 # --- M: digests
 
 _RANKS = "RK AS (SELECT file, 1.0e0 / (1 + strlen(file) + count(*)) AS rank FROM E GROUP BY file)"
@@ -311,6 +334,11 @@ def _(s, d):
     return _ROUND6(digest.ranked_callers(P.refs(s, d), _ranks(s, d), _any(s, d)).select("file", "line", "rank", "skipped"), "rank")
 
 
+@reg("m01_blast_candidates_all")
+def _(s, d):
+    return digest.blast_candidates(_with_blast(s, d, P.refs), _any(s, d)).select("file", "name", "line_start", "place")
+
+
 @reg("m02_resolve", f"WITH {P.E} SELECT file, name, line_start FROM E WHERE name = {_ANY} AND kind <> 'import'")
 def _(s, d):
     return digest.resolve(P.entities(s, d), _any(s, d)).select("file", "name", "line_start")
@@ -352,6 +380,11 @@ def _(s, d):
     return _ROUND6(digest.map_entities(_with_blast(s, d), PREFIX).select("file", "name", "line_start", "score"), "score")
 
 
+@reg("m07_map_entities_all")
+def _(s, d):
+    return _ROUND6(digest.map_entities(_with_blast(s, d, P.refs), PREFIX).select("file", "name", "line_start", "score"), "score")
+
+
 @reg("m08_map_packed", """WITH t AS (SELECT conv_id, turn, (strlen(text) + 3) // 4 AS tokens FROM conversations),
 r AS (SELECT conv_id, turn, tokens, 100 + sum(tokens) OVER w AS total, row_number() OVER w AS place FROM t WINDOW w AS (ORDER BY conv_id, turn, tokens))
 SELECT conv_id, turn, CAST(total AS BIGINT) AS total FROM r WHERE total <= 4000 OR place = 1""")
@@ -364,7 +397,7 @@ def _(s, d):
 def _(s, d):
     e = P.entities(s, d)
     shown = digest.pack(digest.map_files(e, _ranks(s, d)), S.token_estimate(F.col("file")) + 40, [F.desc("score"), "file"])
-    return digest.subsystems(graph.communities(e, P.sparse_refs(s, d)), shown).select("community", "file_count", F.array_join("top", ",").alias("top"))
+    return digest.subsystems(graph.communities(e, P.refs(s, d)), shown).select("community", "file_count", F.array_join("top", ",").alias("top"))
 
 
 @reg("m10_token_estimate", "SELECT doc_id, CAST((strlen(text) + 3) // 4 AS BIGINT) AS tokens FROM documents")
@@ -383,6 +416,11 @@ def _(s, d):
     return digest.hot_symbol(_with_blast(s, d)).select("file", "name", "line_start")
 
 
+@reg("m13_hot_symbol_all")
+def _(s, d):
+    return digest.hot_symbol(_with_blast(s, d, P.refs)).select("file", "name", "line_start")
+
+
 # --- V: version diff
 
 
