@@ -449,8 +449,8 @@ SV AS MATERIALIZED (SELECT * EXCLUDE (change), CASE WHEN change = 'moved' AND NO
 _DIFF = f"WITH {P.VERSIONS}, {_match_oracle()}"
 
 
-def _diffs(s, d):
-    return diff.classify(diff.match(P.entities(s, d), P.newer(s, d), fuzzy=False))
+def _diffs(s, d, fuzzy=False):
+    return diff.classify(diff.match(P.entities(s, d), P.newer(s, d), fuzzy=fuzzy))
 
 
 @reg("v05_entity_match", _DIFF + " SELECT match, old.file AS old_file, old.seq AS old_seq, new.file AS new_file, new.seq AS new_seq FROM M")
@@ -512,6 +512,51 @@ def _(s, d):
     return m.where("match = 'renamed'").select(F.col("old.name").alias("old_name"), F.col("new.name").alias("new_name"), F.round("confidence", 6).alias("confidence"))
 
 
+# The queries above without the fuzzy pass are those that SQL can say; these run the matching whole.
+
+
+@reg("v05_entity_match_fuzzy")
+def _(s, d):
+    m = diff.match(P.entities(s, d), P.newer(s, d))
+    return m.select("match", F.col("old.file").alias("old_file"), F.col("old.seq").alias("old_seq"), F.col("new.file").alias("new_file"), F.col("new.seq").alias("new_seq"))
+
+
+@reg("v07_classified_fuzzy")
+def _(s, d):
+    return _diffs(s, d, True).select(*_CLASS)
+
+
+@reg("v09_summary_fuzzy")
+def _(s, d):
+    return diff.summary(_diffs(s, d, True))
+
+
+@reg("v10_patterns_fuzzy")
+def _(s, d):
+    return diff.patterns(_diffs(s, d, True))
+
+
+@reg("v16_file_sections_fuzzy")
+def _(s, d):
+    return diff.file_sections(diff.visible(_diffs(s, d, True)))
+
+
+@reg("v16_moves_fuzzy")
+def _(s, d):
+    return diff.moves(diff.visible(_diffs(s, d, True)))
+
+
+@reg("v21_breaking_callers_fuzzy")
+def _(s, d):
+    return diff.breaking_callers(diff.visible(_diffs(s, d, True)), P.refs(s, d))
+
+
+@reg("v22_groups_fuzzy")
+def _(s, d):
+    d_ = _diffs(s, d, True)
+    return diff.groups(diff.visible(d_), diff.patterns(d_))
+
+
 def _versions_of_text(s, d):
     """Documents as a file each, and an edited copy of them."""
     old = P.table(s, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id")).alias("file"), F.replace("text", F.lit(". "), F.lit(".\n")).alias("text"))
@@ -536,8 +581,8 @@ def _(s, d):
 # --- W: review
 
 
-def _enriched(s, d):
-    return review.enrich(diff.visible(_diffs(s, d)), _ranks(s, d), _with_blast(s, d))
+def _enriched(s, d, fuzzy=False, refs=P.sparse_refs):
+    return review.enrich(diff.visible(_diffs(s, d, fuzzy)), _ranks(s, d), _with_blast(s, d, refs))
 
 
 _ENRICH = f"""WITH {P.VERSIONS}, {_match_oracle()}, {P.SPARSE}, {_BLAST}, {_RANKS}, bk AS MATERIALIZED (SELECT file, E.name, parent, any_value(dc) AS dc, any_value(df) AS df FROM E JOIN D ON D.name = E.name GROUP BY 1, 2, 3),
@@ -562,6 +607,21 @@ def _(s, d):
     return _ROUND6(review.file_deltas(_enriched(s, d)), "rank")
 
 
+@reg("w01_review_enriched_all")
+def _(s, d):
+    return _ROUND6(_enriched(s, d, True, P.refs).select("change", "name", "file", "line", "direct_files", "direct_callers", "impact"), "impact")
+
+
+@reg("w02_most_impactful_all")
+def _(s, d):
+    return _ROUND6(review.most_impactful(_enriched(s, d, True, P.refs)).select("change", "name", "file", "line", "impact"), "impact")
+
+
+@reg("w03_file_deltas_all")
+def _(s, d):
+    return _ROUND6(review.file_deltas(_enriched(s, d, True, P.refs)), "rank")
+
+
 @reg("w04_cochange_misses", f"""WITH {P.COMMITS}, {_pairs_sql(30)}, t AS (SELECT DISTINCT file FROM C WHERE CAST(substr(file, 2) AS BIGINT) % 3 = 0),
 b AS (SELECT a AS file, b AS partner, weight, support FROM PW UNION ALL SELECT b, a, weight, support FROM PW),
 top AS (SELECT * FROM b WHERE file IN (SELECT file FROM t) QUALIFY row_number() OVER (PARTITION BY file ORDER BY round(weight, 12) DESC, partner) <= 3)

@@ -27,3 +27,15 @@ def test_graph_queries_read_all_references(spark):
     got = {r["name"]: (r["direct_callers"], r["direct_files"], r["transitive_callers"]) for r in catalog.QUERIES["g06_blast_applied_all"](spark, DATA).collect()}
     assert got == want and sum(count.values()) == P.table(spark, DATA, "lineitem").count()
     assert {r["name"]: r["transitive_callers"] for r in catalog.QUERIES["g05_blast_transitive_all"](spark, DATA).collect()} == {n: x[2] for n, x in want.items()}
+
+
+def test_version_queries_run_the_fuzzy_pass(spark):
+    fuzzy = sorted((r["old_name"], r["new_name"]) for r in catalog.QUERIES["v04_fuzzy_renames"](spark, DATA).collect())
+    classified = catalog.QUERIES["v07_classified_fuzzy"](spark, DATA).collect()
+    renamed = sorted((r["old_name"], r["name"]) for r in classified if r["change"] == "renamed")
+    plain = [r for r in catalog.QUERIES["v07_classified"](spark, DATA).collect() if r["change"] == "renamed"]
+    assert renamed == fuzzy and len(plain) < len(fuzzy)
+    summary = catalog.QUERIES["v09_summary_fuzzy"](spark, DATA).first()
+    for kind in ("added", "removed", "modified", "moved", "renamed", "formatting_only"):
+        assert summary[kind] == sum(r["change"] == kind for r in classified)
+    assert {r["name"] for r in catalog.QUERIES["w01_review_enriched_all"](spark, DATA).collect() if r["change"] == "renamed"} == {n for _, n in fuzzy}
