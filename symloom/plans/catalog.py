@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symloom.functions import scalars as S
 from symloom.operators import diff, digest, fingerprint, graph, query, review
 from symloom.plans import project as P
-from symloom.sources import extract
+from symloom.sources import documents, extract
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -656,6 +657,11 @@ def _(s, d):
     return P.table(s, d, "documents").where(plain).select("doc_id", fingerprint.body_hash(F.col("text")).alias("body_hash"))
 
 
+@reg("h02_body_hash_all")
+def _(s, d):
+    return P.table(s, d, "documents").select("doc_id", fingerprint.body_hash(F.col("text")).alias("body_hash"))
+
+
 @reg("h04_sig_hash", f"WITH {P.E} SELECT seq, substr(sha256(trim(regexp_replace(sig, '{_WS}', ' ', 'g'))), 1, 16) AS sig_hash FROM E")
 def _(s, d):
     return P.entities(s, d).select("seq", fingerprint.sig_hash(F.col("sig")).alias("sig_hash"))
@@ -702,6 +708,16 @@ def _(s, d):
     return src.select("page_id", F.coalesce(F.regexp_count("text", F.lit("<script")), F.lit(0)).cast("long").alias("blocks"))
 
 
+@reg("x11_script_blocks_all")
+def _(s, d):
+    def run(batches):
+        for b in batches:
+            rows = [(i, language, before + 1) for i, t in zip(b.column("page_id").to_pylist(), b.column("html").to_pylist()) for language, _, before in documents.script_blocks(t or "", "html")]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.int64()))], ["page_id", "language", "line"])
+
+    return P.table(s, d, "pages").select(F.col("page_id").cast("long").alias("page_id"), "html").mapInArrow(run, "page_id long, language string, line long")
+
+
 @reg("x11_sfc_refs")
 def _(s, d):
     src = P.table(s, d, "pages").select(F.concat(F.lit("p"), F.col("page_id"), F.lit(".html")).alias("file"), F.col("html").alias("text"))

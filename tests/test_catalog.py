@@ -2,6 +2,9 @@
 
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
+from symloom.operators import fingerprint
 from symloom.plans import catalog
 from symloom.plans import project as P
 
@@ -39,3 +42,18 @@ def test_version_queries_run_the_fuzzy_pass(spark):
     for kind in ("added", "removed", "modified", "moved", "renamed", "formatting_only"):
         assert summary[kind] == sum(r["change"] == kind for r in classified)
     assert {r["name"] for r in catalog.QUERIES["w01_review_enriched_all"](spark, DATA).collect() if r["change"] == "renamed"} == {n for _, n in fuzzy}
+
+
+def test_no_document_is_left_out_of_the_body_hash(spark, tmp_path):
+    texts = [(1, 'a = 1\n"""doc\nstring"""\nb = 2'), (2, "a = 1\nb = 2"), (3, "x '\'\'' y")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["body_hash"] for r in catalog.QUERIES["h02_body_hash_all"](spark, str(tmp_path)).collect()}
+    assert got == {r[0]: r[1] for r in df.select("doc_id", fingerprint.body_hash(F.col("text"))).collect()} and sorted(got) == [1, 2, 3] and got[1] == got[2]
+
+
+def test_script_blocks_are_the_extractors(spark, tmp_path):
+    pages = [(1, "<p>\n<SCRIPT lang='ts'>\nlet a\n</SCRIPT>\n<script>b()</script>"), (2, "<scripted>no</scripted>"), (3, None)]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(map(tuple, catalog.QUERIES["x11_script_blocks_all"](spark, str(tmp_path)).collect()))
+    assert got == [(1, "javascript", 5), (1, "typescript", 2)]
