@@ -42,7 +42,7 @@ def _pieces(model: str | None) -> bytes:
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
     """``model`` is the path of a SentencePiece model file."""
-    return spieces.digests(_table(spark, sf_dir, "documents"), _pieces(model))
+    return spieces.digests(_table(spark, sf_dir, "documents"), _pieces(model), with_spans=True)
 
 
 def op7_lmscore(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:

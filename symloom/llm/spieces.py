@@ -21,6 +21,7 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -139,14 +140,29 @@ class Normalizer:
         return out.decode("utf-8", "replace"), [*source, end]
 
 
+    def aligned(self, text: str) -> tuple[str, np.ndarray]:
+        """``normalize``; where the model's map is empty and nothing is squeezed, without a step for each character:
+        all bytes of a character come from its first one."""
+        data = text.encode("utf-8", "replace")
+        if not self.identity or not data:
+            norm, source = self.normalize(text)
+            return norm, np.array(source, np.int64)
+        b = np.frombuffer(data, np.uint8)
+        first = np.maximum.accumulate(np.where(b & 0xC0 != 0x80, np.arange(len(b)), 0))
+        source = np.repeat(first, np.where(b == 32, 3, 1))
+        norm = data.replace(b" ", SPACE.encode()).decode()
+        head = [0, 0, 0] if self.dummy_prefix else []
+        return SPACE * bool(head) + norm, np.concatenate([head, source, [len(data)]]).astype(np.int64)
+
+
 class _Memo(dict):
-    """chunk -> ids as text, in two generations."""
+    """chunk -> what ``make`` says, in two generations."""
 
     def __init__(self, make):
         self.make, self.old = make, {}
 
-    def __missing__(self, chunk: str) -> str:
-        ids = self.old.get(chunk) or ",".join(map(str, self.make(chunk)))
+    def __missing__(self, chunk: str):
+        ids = self.old.get(chunk) or self.make(chunk)
         if len(chunk) <= 48:
             if len(self) >= CHUNKS:
                 self.old = dict(self)
@@ -187,7 +203,8 @@ class Encoder:
         apart = all(SPACE not in p.lstrip(SPACE) for p in longer)
         line = "" if any("\n" in p for p in longer) else "\n"
         self.chunks = re.compile(f"{SPACE}*[^{SPACE}{line}]+|{SPACE}+" + (f"|{line}" if line else "") if apart else "(?s:.+)").findall
-        self.memo = _Memo(self._ids)
+        self.memo = _Memo(lambda chunk: ",".join(map(str, self._ids(chunk))))
+        self.placed_memo = _Memo(self._placed)
         # decimal id -> its text; a byte above 127 is kept as a lone surrogate until all of its character is there
         self.texts = {str(i): p.replace(SPACE, " ") if k == NORMAL else bytes([int(p[3:5], 16)]).decode("ascii", "surrogateescape") if k == BYTE else " ⁇ " if k == UNKNOWN else "" for i, (p, k) in enumerate(zip(self.pieces, self.types))}
 
@@ -268,6 +285,28 @@ class Encoder:
                 at = end
         return out
 
+    def _placed(self, chunk: str) -> tuple[str, np.ndarray, np.ndarray, int]:
+        """The ids of a chunk as text, first and past-last byte of each piece inside it, and the chunk's bytes."""
+        ids, begin, end, at = [], [], [], 0
+        for p in self.merge(chunk):
+            to, units = at + len(p.encode("utf-8", "replace")), self._units(p)
+            ids += units
+            begin += [at] * len(units)
+            end += [to] * len(units)
+            at = to
+        return ",".join(map(str, ids)), np.array(begin, np.int64), np.array(end, np.int64), at
+
+    def placed(self, text: str) -> tuple[str, np.ndarray]:
+        """The ids of ``encode`` as decimals with commas, and its spans (pieces x 2), with the memory of chunks."""
+        norm, source = self.normalizer.aligned(text)
+        parts = list(map(self.placed_memo.__getitem__, self.chunks(norm)))
+        if not parts:
+            return "", np.zeros((0, 2), np.int64)
+        size = [len(p[1]) for p in parts]
+        base = np.repeat(np.cumsum([0, *(p[3] for p in parts[:-1])]), size)
+        at = np.stack([np.concatenate([p[k] for p in parts]) + base for k in (1, 2)], 1)
+        return ",".join(p[0] for p in parts), source[at]
+
     def decode_text(self, ids: str) -> str:
         """``decode`` of decimals with commas; text without broken characters takes the short way."""
         if not ids:
@@ -355,20 +394,23 @@ def spans(docs: DataFrame, model: bytes) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, pieces array<struct<id int, piece string, begin long, end long>>")
 
 
-def digests(docs: DataFrame, model: bytes) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row."""
+def digests(docs: DataFrame, model: bytes, with_spans: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; with_spans: also spans_sha256, of the pieces' first and
+    past-last source bytes as little-endian 64-bit numbers."""
     prepare(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(sent.value)
         for b in batches:
-            n, ids, back = [], [], []
+            n, ids, back, spans_ = [], [], [], []
             for t in texts_of(b):
-                x = e.ids_text(t)
+                x, at = e.placed(t)
+                spans_.append(hashlib.sha256(at.astype("<i8").tobytes()).hexdigest())
                 n.append(x.count(",") + 1 if x else 0)
                 ids.append(hashlib.sha256(x.encode()).hexdigest())
                 back.append(hashlib.sha256(e.decode_text(x).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids), pa.array(back)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids), pa.array(back), pa.array(spans_)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string")
+    return out if with_spans else out.drop("spans_sha256")

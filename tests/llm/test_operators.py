@@ -412,6 +412,22 @@ def test_sentencepiece_query(spark, library):
     assert spieces.digests(empty(spark), _pieces(None)).count() == 0
 
 
+def test_sentencepiece_query_has_the_spans(spark):
+    e = spieces.Encoder(_pieces(None))
+    rows = spark.read.parquet(DATA + "/documents.parquet").select("doc_id", "text").limit(60).collect()
+    for t in TRICKY + [r["text"] or "" for r in rows]:
+        norm, source = e.normalizer.normalize(t)
+        got = e.normalizer.aligned(t)
+        assert (got[0], got[1].tolist()) == (norm, source)
+        ids, at = e.placed(t)
+        want = e.encode(t)
+        assert ids == ",".join(str(p[0]) for p in want) == e.ids_text(t) and at.tolist() == [[p[2], p[3]] for p in want]
+    out = {r["doc_id"]: r["spans_sha256"] for r in QUERIES["op6_sentencepiece"](spark, DATA).collect()}
+    for r in rows:
+        at = np.array([[p[2], p[3]] for p in e.encode(r["text"] or "")], "<i8")
+        assert out[r["doc_id"]] == hashlib.sha256(at.tobytes()).hexdigest()
+
+
 # --- 7 LM scoring
 
 
