@@ -13,26 +13,27 @@ from pyspark.sql import functions as F
 
 from symloom.functions import scalars as S
 from symloom.functions import textdiff
-from symloom.operators.graph import stored
+from symloom.storage import stored
 
 FUZZY = 0.6
 _ENTITY = ("file", "name", "kind", "line_start", "line_end", "parent", "sig", "meta", "body_hash", "sig_hash", "struct_hash", "visibility", "seq")
 
 
 def _side(rows: DataFrame, key: list[str], last: bool) -> DataFrame:
-    order = [F.desc(c) if last else F.asc(c) for c in ("file", "seq")] if "file" not in key else [F.desc("seq") if last else F.asc("seq")]
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
+    """(key columns as _k0.., row): the last or first row of each key; a combinable aggregate, so a frequent key is no hot task."""
+    order = F.struct(*(["seq"] if "file" in key else ["file", "seq"]))
+    pick = F.max_by if last else F.min_by
+    return rows.groupBy(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(key))).agg(pick(F.struct(*_ENTITY), order).alias("row"))
 
 
 def _pass(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     o, n = _side(old, key, True), _side(new, key, False)
-    o = o.select(*(F.col(c).alias(f"_{c}") for c in key), F.struct(*_ENTITY).alias("old"))
-    n = n.select(*(F.col(c).alias(f"_n{c}") for c in key), F.struct(*_ENTITY).alias("new"))
+    n = n.select(*(F.col(f"_k{i}").alias(f"_n{i}") for i in range(len(key))), F.col("row").alias("new"))
     on = None
-    for c in key:
-        one = F.col(f"_{c}").eqNullSafe(F.col(f"_n{c}"))
+    for i in range(len(key)):
+        one = F.col(f"_k{i}").eqNullSafe(F.col(f"_n{i}"))
         on = one if on is None else on & one
-    return o.join(n, on).select("old", "new")
+    return o.join(n, on).select(F.col("row").alias("old"), "new")
 
 
 def _left(rows: DataFrame, pairs: DataFrame, side: str) -> DataFrame:

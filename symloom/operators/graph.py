@@ -1,20 +1,19 @@
 """Graph analytics over references.
 
-Edges come from one equi-join on the name; partial sums combine before the shuffle. PageRank and label propagation
-work on the file graph: PageRank as a DataFrame loop whose state is written to the shared folder every few rounds, label
-propagation by one grouped function, since its updates are sequential by definition.
+Edges come from one equi-join on the name; partial sums combine before the shuffle. PageRank goes through the names and
+never expands file pairs; label propagation needs them and is one grouped function, since its updates are sequential
+by definition.
 """
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symloom.functions import scalars as S
 from symloom.schema import IMPORT_KINDS
+from symloom.storage import stored
 
 
 def name_index(E: DataFrame) -> DataFrame:
@@ -46,74 +45,99 @@ def nodes(E: DataFrame, R: DataFrame) -> DataFrame:
     return E.select("file").union(R.select("file")).distinct()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and reread: it isn't computed again and survives lost executors."""
-    spark = df.sparkSession
-    home = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not home:
-        import tempfile
+#: Rows of the bipartite graph that one task may iterate over, about 40 bytes each.
+COMPACT_ROWS = 4_000_000
+#: Ranks are whole numbers of this unit, so sums are exact and don't depend on the order or the number of tasks.
+UNIT = float(1 << 60)
 
-        home = "file://" + tempfile.mkdtemp(prefix="symloom-graph-")
-        spark.conf.set("spark.checkpoint.dir", home)
-    path = f"{home.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
+def bipartite(E: DataFrame, R: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The file graph through name nodes: (src, name, share, own) and (name, dst).
 
-def pagerank(E: DataFrame, R: DataFrame, damping: float = 0.85, rounds: int = 50, tolerance: float = 1e-6, cut: int = 5, compact_edges: int = 2_000_000) -> DataFrame:
+    A file gives each name that others define the share of its references that name it; the name passes it on to each
+    owner but the file itself, ``share`` being divided by their number already. ``own`` says that the file is an owner.
+    So a name that m files use and n define is m + n rows, not m x n edges.
+    """
+    uses = R.groupBy(F.col("file").alias("src"), "name").agg(F.count("*").alias("uses"))
+    index = name_index(E)
+    owners = index.groupBy("name").agg(F.count("*").alias("owners"))
+    own = index.select("name", F.col("file").alias("src"), F.lit(True).alias("own"))
+    n = uses.join(owners, "name").join(own, ["name", "src"], "left").withColumn("own", F.coalesce("own", F.lit(False)))
+    n = n.withColumn("n", F.col("owners") - F.col("own").cast("long")).where("n > 0")
+    total = n.groupBy("src").agg(F.sum("uses").alias("total"))  # each reference spreads 1
+    out = n.join(total, "src").select("src", "name", (F.col("uses") / (F.col("n") * F.col("total"))).alias("share"), "own")
+    return out, index.select("name", F.col("file").alias("dst"))
+
+
+def pagerank(E: DataFrame, R: DataFrame, damping: float = 0.85, rounds: int = 50, tolerance: float = 1e-6, compact_rows: int = COMPACT_ROWS) -> DataFrame:
     """(file, rank). The mass of files without outgoing edges is shared by all and damped.
 
-    The edges are built distributed and written once. Up to ``compact_edges`` of them one grouped task runs the power
-    iteration; beyond that the loop stays distributed, written to the shared folder every ``cut`` rounds, where
-    convergence is looked at as well. ``tolerance`` 0 runs all rounds.
+    Convergence is looked at after every round; ``tolerance`` 0 runs all rounds. Up to ``compact_rows`` rows of the
+    bipartite graph one task runs them; beyond that the loop is distributed and each round is written to the shared
+    folder. Ranks are exact multiples of 1 / UNIT, so both ways give the same numbers.
     """
-    edges, files = stored(file_edges(E, R), "edges"), stored(nodes(E, R), "files")
+    out, index = bipartite(E, R)
+    out, index, files = stored(out, "shares"), stored(index, "owners"), stored(nodes(E, R), "files")
     n = files.count()
     if not n:
         return files.select("file", F.lit(None).cast("double").alias("rank"))
-    if edges.limit(compact_edges + 1).count() <= compact_edges and n <= compact_edges:
-        return _pagerank_compact(edges, files, damping, rounds, tolerance)
-    return pagerank_loop(edges, files, n, damping, rounds, tolerance, cut)
+    if out.count() + index.count() + n <= compact_rows:
+        return _pagerank_compact(out, index, files, damping, rounds, tolerance)
+    return _pagerank_loop(out, index, files, n, damping, rounds, tolerance)
 
 
-def _pagerank_compact(edges: DataFrame, files: DataFrame, damping: float, rounds: int, tolerance: float) -> DataFrame:
+def _pagerank_compact(out: DataFrame, index: DataFrame, files: DataFrame, damping: float, rounds: int, tolerance: float) -> DataFrame:
     import numpy as np
 
+    def add(at: np.ndarray, x: np.ndarray, size: int) -> np.ndarray:
+        sums = np.zeros(size, np.int64)
+        np.add.at(sums, at, x)
+        return sums
+
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        names = np.sort(g.loc[g["dst"].isna(), "src"].to_numpy(dtype=object))
-        e = g[g["dst"].notna()]
+        side = g["side"].to_numpy()
+        names = np.sort(g.loc[side == 0, "file"].to_numpy(dtype=object))
         n = len(names)
-        src, dst, w = np.searchsorted(names, e["src"].to_numpy(dtype=object)), np.searchsorted(names, e["dst"].to_numpy(dtype=object)), e["w"].to_numpy(dtype=float)
-        out = np.bincount(src, w, n)
-        dangling, rank = out == 0, np.full(n, 1.0 / n)
+        words, word = np.unique(g.loc[side > 0, "name"].to_numpy(dtype=object).astype(str), return_inverse=True)
+        up = side[side > 0] == 1
+        file = np.searchsorted(names, g.loc[side > 0, "file"].to_numpy(dtype=object))
+        src, via, dst, of = file[up], word[up], file[~up], word[~up]
+        share, own = g.loc[side == 1, "share"].to_numpy(dtype=float), g.loc[side == 1, "own"].to_numpy(dtype=bool)
+        linked = np.zeros(n, bool)
+        linked[src] = True
+        rank = np.full(n, int(UNIT) // n, np.int64)
         for _ in range(rounds):
-            flow = np.bincount(dst, rank[src] * w / out[src], n)
-            new = (1 - damping) / n + damping * (flow + rank[dangling].sum() / n)
-            delta, rank = np.abs(new - rank).sum(), new
-            if delta < tolerance:
+            given = np.rint(rank[src] * share).astype(np.int64)
+            flow = add(dst, add(via, given, len(words))[of], n) - add(src[own], given[own], n)
+            new = np.rint((1 - damping) * UNIT / n + damping * (flow + rank[~linked].sum() / n)).astype(np.int64)
+            delta, rank = int(np.abs(new - rank).sum()), new
+            if delta / UNIT < tolerance:
                 break
-        return pd.DataFrame({"file": names, "rank": rank})
+        return pd.DataFrame({"file": names, "rank": rank / UNIT})
 
-    rows = edges.select("src", "dst", "w").unionByName(files.select(F.col("file").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(None).cast("double").alias("w")))
+    none = lambda t: F.lit(None).cast(t)
+    rows = files.select(F.lit(0).alias("side"), "file", none("string").alias("name"), none("double").alias("share"), none("boolean").alias("own"))
+    rows = rows.unionByName(out.select(F.lit(1).alias("side"), F.col("src").alias("file"), "name", "share", "own"))
+    rows = rows.unionByName(index.select(F.lit(2).alias("side"), F.col("dst").alias("file"), "name", none("double").alias("share"), none("boolean").alias("own")))
     return rows.groupBy(F.lit(0).alias("one")).applyInPandas(run, "file string, rank double")
 
 
-def pagerank_loop(edges: DataFrame, files: DataFrame, n: int, damping: float = 0.85, rounds: int = 50, tolerance: float = 1e-6, cut: int = 5) -> DataFrame:
-    total = edges.groupBy("src").agg(F.sum("w").alias("total"))
-    share = stored(edges.join(total, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("p")), "shares")
-    heads = share.select(F.col("src").alias("file")).distinct().withColumn("linked", F.lit(True))
-    rank = stored(files.join(heads, "file", "left").select("file", F.coalesce("linked", F.lit(False)).alias("linked"), F.lit(1.0 / n).alias("rank")), "rank")
-    for i in range(1, rounds + 1):
-        lost = rank.agg(F.sum(F.when(~F.col("linked"), F.col("rank")).otherwise(0.0)).alias("lost"))
-        flow = share.join(rank.select(F.col("file").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("file")).agg(F.sum(F.col("rank") * F.col("p")).alias("flow"))
+def _pagerank_loop(out: DataFrame, index: DataFrame, files: DataFrame, n: int, damping: float, rounds: int, tolerance: float) -> DataFrame:
+    heads = out.select(F.col("src").alias("file")).distinct().withColumn("linked", F.lit(True))
+    rank = stored(files.join(heads, "file", "left").select("file", F.coalesce("linked", F.lit(False)).alias("linked"), F.lit(int(UNIT) // n).alias("rank")), "rank")
+    for _ in range(rounds):
+        lost = rank.agg(F.coalesce(F.sum(F.when(~F.col("linked"), F.col("rank"))), F.lit(0)).alias("lost"))
+        given = out.join(rank.select(F.col("file").alias("src"), "rank"), "src").select("src", "name", "own", F.rint(F.col("rank") * F.col("share")).cast("long").alias("x"))
+        come = given.groupBy("name").agg(F.sum("x").alias("x")).join(index, "name").select(F.col("dst").alias("file"), "x")
+        back = given.where("own").select(F.col("src").alias("file"), (-F.col("x")).alias("x"))
+        flow = come.unionByName(back).groupBy("file").agg(F.sum("x").alias("flow"))
         new = rank.withColumnRenamed("rank", "old").join(flow, "file", "left").crossJoin(F.broadcast(lost))  # lost is one row
-        new = new.select("file", "linked", ((1 - damping) / n + damping * (F.coalesce("flow", F.lit(0.0)) + F.col("lost") / n)).alias("rank"), "old")
-        if i % cut == 0 or i == rounds:
-            new = stored(new, "rank")
-            if tolerance and new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] < tolerance:
-                return new.select("file", "rank")
+        new = new.select("file", "linked", F.rint(F.lit((1 - damping) * UNIT / n) + damping * (F.coalesce("flow", F.lit(0)) + F.col("lost") / F.lit(float(n)))).cast("long").alias("rank"), "old")
+        new = stored(new, "rank")
         rank = new.drop("old")
-    return rank.select("file", "rank")
+        if tolerance and new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] / UNIT < tolerance:
+            break
+    return rank.select("file", (F.col("rank") / F.lit(UNIT)).alias("rank"))
 
 
 def blast_direct(E: DataFrame, R: DataFrame) -> DataFrame:
@@ -126,18 +150,25 @@ def blast_direct(E: DataFrame, R: DataFrame) -> DataFrame:
 def blast_transitive(E: DataFrame, R: DataFrame, depth: int = 3) -> DataFrame:
     """(name, transitive_callers): distinct callers within ``depth`` hops, the name itself never counted.
 
-    Once for each distinct name. Frontiers are distinct (seed, caller) pairs; what was seen before drops out by an anti
-    join, so each hop only carries news. Hops are written to the shared folder, since each is read twice.
+    Names get numbers, and what reaches a name is kept in blocks of 64 callers, a bit each: (at, block, bits). A hop joins
+    the calls with their callers' blocks and combines them by bitwise OR, before the shuffle as well. A row holds up to
+    64 pairs and never less than one, so dense neighbourhoods cost 1/64 of their pairs and sparse ones no more than them.
     """
-    back = stored(R.where("caller is not null").select(F.col("name").alias("at"), "caller").distinct(), "calls")
-    seeds = E.select("name").distinct()
-    front = seeds.select(F.col("name").alias("seed"), F.col("name").alias("at"))
-    seen = front
-    for _ in range(depth):
-        front = stored(front.join(back, "at").select("seed", F.col("caller").alias("at")).distinct().join(seen, ["seed", "at"], "left_anti"), "hop")
-        seen = seen.unionByName(front)
-    n = seen.groupBy("seed").agg((F.count("*") - 1).cast("long").alias("transitive_callers"))
-    return n.select(F.col("seed").alias("name"), "transitive_callers")
+    pairs = R.where("caller is not null").select("name", "caller").distinct()
+    names = E.select("name").union(pairs.select("name")).union(pairs.select("caller")).distinct()
+    ids = stored(names.repartitionByRange("name").sortWithinPartitions("name").withColumn("id", F.monotonically_increasing_id()), "names")
+    to = lambda c, new: ids.select(F.col("name").alias(c), F.col("id").alias(new))
+    calls = stored(pairs.join(to("name", "at"), "name").join(to("caller", "by"), "caller").select("at", "by"), "calls")
+    one = lambda c: F.expr(f"shiftleft(1L, cast({c} & 63 as int))")
+    direct = calls.select("at", F.shiftright("by", 6).alias("block"), one("`by`").alias("bits")).groupBy("at", "block").agg(F.bit_or("bits").alias("bits"))
+    direct = reach = stored(direct, "hop") if depth else direct.where("false")
+    for _ in range(depth - 1):
+        further = calls.join(reach.withColumnRenamed("at", "by"), "by").select("at", "block", "bits")
+        reach = stored(further.unionByName(direct).groupBy("at", "block").agg(F.bit_or("bits").alias("bits")), "hop")
+    others = F.when(F.shiftright("at", 6) == F.col("block"), F.col("bits").bitwiseAND(F.bitwise_not(one("at")))).otherwise(F.col("bits"))
+    n = reach.groupBy("at").agg(F.sum(F.bit_count(others)).alias("transitive_callers"))
+    seeds = E.select("name").distinct().join(ids, "name").join(n.withColumnRenamed("at", "id"), "id", "left")
+    return seeds.select("name", F.coalesce("transitive_callers", F.lit(0)).cast("long").alias("transitive_callers"))
 
 
 def blast(E: DataFrame, R: DataFrame, depth: int = 3) -> DataFrame:

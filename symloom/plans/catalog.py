@@ -105,7 +105,7 @@ def _(s, d):
 
 
 @reg("q07_search_all", f"""WITH {P.E}, h AS (
-SELECT 0 AS ord, 'symbol' AS hit, file, name, kind AS entity_kind, line_start AS line, NULL AS lang, NULL AS entity_count, seq FROM E WHERE contains(lower(name), 'r') AND file LIKE 'src/Brand#1%' AND seq % 1 = 0
+SELECT 0 AS ord, 'symbol' AS hit, file, name, kind AS entity_kind, line_start AS line, NULL AS lang, NULL AS entity_count, seq FROM E WHERE contains(lower(name), 'r') AND file LIKE 'src/Brand#1%'
 UNION ALL SELECT 1, 'file', file, NULL, NULL, NULL, {LANG}, count(*), NULL FROM E WHERE contains(lower(file), 'r') AND file LIKE 'src/Brand#1%' GROUP BY file)
 SELECT hit, file, name, entity_kind, line, lang, CAST(entity_count AS BIGINT) AS entity_count FROM h""")
 def _(s, d):
@@ -194,9 +194,9 @@ def _(s, d):
     return graph.name_index(P.entities(s, d))
 
 
-@reg("g02_file_edges", f"WITH {P.E}, {P.SPARSE}, {_EDGES} SELECT src, dst, round(w, 6) AS w FROM W")
+@reg("g02_file_edges", f"WITH {P.E}, {P.R}, {_EDGES} SELECT src, dst, round(w, 6) AS w FROM W")
 def _(s, d):
-    return _ROUND6(graph.file_edges(P.entities(s, d), P.sparse_refs(s, d)), "w")
+    return _ROUND6(graph.file_edges(P.entities(s, d), P.refs(s, d)), "w")
 
 
 def _pagerank_oracle(rounds: int = 20) -> str:
@@ -212,7 +212,7 @@ tot AS MATERIALIZED (SELECT src, sum(w) AS t FROM W GROUP BY src), {", ".join(st
 
 @reg("g03_pagerank", _pagerank_oracle())
 def _(s, d):
-    return _ROUND6(graph.pagerank(P.entities(s, d), graph.stored(P.refs(s, d), "refs"), rounds=20, tolerance=0), "rank")
+    return _ROUND6(graph.pagerank(P.entities(s, d), P.refs(s, d), rounds=20, tolerance=0), "rank")
 
 
 @reg("g04_blast_direct", f"WITH {P.E}, {P.R} SELECT e.name, count(R.name) AS direct_callers, count(DISTINCT R.file) AS direct_files FROM (SELECT DISTINCT name FROM E) e LEFT JOIN R ON R.name = e.name GROUP BY e.name")
@@ -226,27 +226,27 @@ s3 AS (SELECT DISTINCT seed, caller AS node FROM s2 JOIN b USING (node)), reach
 T AS MATERIALIZED (SELECT s0.seed AS name, count(reach.node) AS transitive_callers FROM s0 LEFT JOIN reach ON reach.seed = s0.seed AND reach.node <> s0.seed GROUP BY s0.seed)"""
 
 
-@reg("g05_blast_transitive", f"WITH {P.E}, {P.SPARSE}, {_BFS} SELECT name, transitive_callers FROM T")
+@reg("g05_blast_transitive", f"WITH {P.E}, {P.R}, {_BFS} SELECT name, transitive_callers FROM T")
 def _(s, d):
-    return graph.blast_transitive(P.entities(s, d), P.sparse_refs(s, d))
+    return graph.blast_transitive(P.entities(s, d), P.refs(s, d))
 
 
 _BLAST = f"{_BFS}, D AS MATERIALIZED (SELECT e.name, count(R.name) AS dc, count(DISTINCT R.file) AS df FROM (SELECT DISTINCT name FROM E) e LEFT JOIN R ON R.name = e.name GROUP BY e.name)"
 
 
-def _with_blast(s, d, refs=P.sparse_refs):
+def _with_blast(s, d):
     e = P.entities(s, d)
-    return graph.apply_blast(e, graph.blast(e, graph.stored(refs(s, d), "refs")))  # read twice
+    return graph.apply_blast(e, graph.blast(e, P.refs(s, d)))
 
 
-@reg("g06_blast_applied", f"WITH {P.E}, {P.SPARSE}, {_BLAST} SELECT file, E.name, seq, dc AS direct_callers, df AS direct_files, transitive_callers FROM E JOIN D ON D.name = E.name JOIN T ON T.name = E.name")
+@reg("g06_blast_applied", f"WITH {P.E}, {P.R}, {_BLAST} SELECT file, E.name, seq, dc AS direct_callers, df AS direct_files, transitive_callers FROM E JOIN D ON D.name = E.name JOIN T ON T.name = E.name")
 def _(s, d):
     return _with_blast(s, d).select("file", "name", "seq", "blast_radius.*")
 
 
-@reg("g07_undirected_edges", f"WITH {P.E}, {P.SPARSE}, {_EDGES} SELECT least(src, dst) AS lo, greatest(src, dst) AS hi, round(sum(w), 6) AS w FROM W GROUP BY 1, 2")
+@reg("g07_undirected_edges", f"WITH {P.E}, {P.R}, {_EDGES} SELECT least(src, dst) AS lo, greatest(src, dst) AS hi, round(sum(w), 6) AS w FROM W GROUP BY 1, 2")
 def _(s, d):
-    return _ROUND6(graph.undirected_edges(P.entities(s, d), P.sparse_refs(s, d)), "w")
+    return _ROUND6(graph.undirected_edges(P.entities(s, d), P.refs(s, d)), "w")
 
 
 @reg("g08_communities")
@@ -290,29 +290,6 @@ def _(s, d):
     return graph.duplicates_totals(P.entities(s, d))
 
 
-# The queries whose SQL reads the sparse references, over all of them. The impact search has no SQL here.
-
-
-@reg("g02_file_edges_all", f"WITH {P.E}, {P.R}, {_EDGES} SELECT src, dst, round(w, 6) AS w FROM W")
-def _(s, d):
-    return _ROUND6(graph.file_edges(P.entities(s, d), P.refs(s, d)), "w")
-
-
-@reg("g05_blast_transitive_all")
-def _(s, d):
-    return graph.blast_transitive(P.entities(s, d), P.refs(s, d))
-
-
-@reg("g06_blast_applied_all")
-def _(s, d):
-    return _with_blast(s, d, P.refs).select("file", "name", "seq", "blast_radius.*")
-
-
-@reg("g07_undirected_edges_all", f"WITH {P.E}, {P.R}, {_EDGES} SELECT least(src, dst) AS lo, greatest(src, dst) AS hi, round(sum(w), 6) AS w FROM W GROUP BY 1, 2")
-def _(s, d):
-    return _ROUND6(graph.undirected_edges(P.entities(s, d), P.refs(s, d)), "w")
-
-
 # --- M: digests
 
 _RANKS = "RK AS (SELECT file, 1.0e0 / (1 + strlen(file) + count(*)) AS rank FROM E GROUP BY file)"
@@ -323,7 +300,7 @@ def _ranks(s, d):
     return P.entities(s, d).groupBy("file").agg((F.lit(1.0) / (1 + F.octet_length("file") + F.count("*"))).alias("rank"))
 
 
-@reg("m01_blast_candidates", f"WITH {P.E}, {P.SPARSE}, {_BLAST} SELECT file, E.name, line_start, CAST(row_number() OVER (ORDER BY df DESC, file, line_start, seq) - 1 AS INTEGER) AS place FROM E JOIN D ON D.name = E.name WHERE E.name = {_ANY} AND kind <> 'import' QUALIFY place <= 4")
+@reg("m01_blast_candidates", f"WITH {P.E}, {P.R}, {_BLAST} SELECT file, E.name, line_start, CAST(row_number() OVER (ORDER BY df DESC, file, line_start, seq) - 1 AS INTEGER) AS place FROM E JOIN D ON D.name = E.name WHERE E.name = {_ANY} AND kind <> 'import' QUALIFY place <= 4")
 def _(s, d):
     return digest.blast_candidates(_with_blast(s, d), _any(s, d)).select("file", "name", "line_start", "place")
 
@@ -335,11 +312,6 @@ def _(s, d):
     return _ROUND6(digest.ranked_callers(P.refs(s, d), _ranks(s, d), _any(s, d)).select("file", "line", "rank", "skipped"), "rank")
 
 
-@reg("m01_blast_candidates_all")
-def _(s, d):
-    return digest.blast_candidates(_with_blast(s, d, P.refs), _any(s, d)).select("file", "name", "line_start", "place")
-
-
 @reg("m02_resolve", f"WITH {P.E} SELECT file, name, line_start FROM E WHERE name = {_ANY} AND kind <> 'import'")
 def _(s, d):
     return digest.resolve(P.entities(s, d), _any(s, d)).select("file", "name", "line_start")
@@ -374,18 +346,13 @@ def _(s, d):
     return _ROUND6(digest.map_files(P.entities(s, d), _ranks(s, d), PREFIX), "score")
 
 
-@reg("m07_map_entities", f"""WITH {P.E}, {P.SPARSE}, {_BLAST}, v AS (SELECT file, E.name, line_start, seq,
+@reg("m07_map_entities", f"""WITH {P.E}, {P.R}, {_BLAST}, v AS (SELECT file, E.name, line_start, seq,
 (ln(df + 1.0e0) * 10 + dc) * CASE visibility WHEN 'public' THEN 1.5e0 ELSE 1.0e0 END * CASE WHEN starts_with(file, '{PREFIX}') THEN 2.0e0 ELSE 1.0e0 END AS score FROM E JOIN D ON D.name = E.name WHERE kind <> 'import')
 SELECT file, name, line_start, round(score, 6) AS score FROM v QUALIFY row_number() OVER (PARTITION BY file ORDER BY round(score, 9) DESC, line_start, seq) <= 5""")
 def _(s, d):
     return _ROUND6(digest.map_entities(_with_blast(s, d), PREFIX).select("file", "name", "line_start", "score"), "score")
 
 
-@reg("m07_map_entities_all")
-def _(s, d):
-    return _ROUND6(digest.map_entities(_with_blast(s, d, P.refs), PREFIX).select("file", "name", "line_start", "score"), "score")
-
-
 @reg("m08_map_packed", """WITH t AS (SELECT conv_id, turn, (strlen(text) + 3) // 4 AS tokens FROM conversations),
 r AS (SELECT conv_id, turn, tokens, 100 + sum(tokens) OVER w AS total, row_number() OVER w AS place FROM t WINDOW w AS (ORDER BY conv_id, turn, tokens))
 SELECT conv_id, turn, CAST(total AS BIGINT) AS total FROM r WHERE total <= 4000 OR place = 1""")
@@ -406,23 +373,22 @@ def _(s, d):
     return P.table(s, d, "documents").select("doc_id", S.token_estimate(F.col("text")).alias("tokens"))
 
 
-@reg("m12_median_ratio", "SELECT round(quantile_cont(p_retailprice / p_size, 0.5), 6) AS median_ratio FROM part WHERE p_partkey % 5 <> 0")
+@reg("m12_median_ratio", "SELECT round(quantile_cont(p_retailprice / p_size, 0.5), 6) AS median_ratio FROM part")
 def _(s, d):
-    pairs = P.table(s, d, "part").select(F.when(F.col("p_partkey") % 5 != 0, F.col("p_retailprice")).alias("control"), F.col("p_size").alias("treatment"))
+    pairs = P.table(s, d, "part").select(F.col("p_retailprice").alias("control"), F.col("p_size").alias("treatment"))
     return _ROUND6(digest.median_ratio(pairs), "median_ratio")
 
 
-@reg("m13_hot_symbol", f"WITH {P.E}, {P.SPARSE}, {_BLAST} SELECT file, E.name, line_start FROM E JOIN D ON D.name = E.name WHERE kind <> 'import' ORDER BY df DESC, file DESC, line_start DESC, seq DESC LIMIT 1")
+@reg("m13_hot_symbol", f"WITH {P.E}, {P.R}, {_BLAST} SELECT file, E.name, line_start FROM E JOIN D ON D.name = E.name WHERE kind <> 'import' ORDER BY df DESC, file DESC, line_start DESC, seq DESC LIMIT 1")
 def _(s, d):
     return digest.hot_symbol(_with_blast(s, d)).select("file", "name", "line_start")
 
 
-@reg("m13_hot_symbol_all")
-def _(s, d):
-    return digest.hot_symbol(_with_blast(s, d, P.refs)).select("file", "name", "line_start")
+# --- V: version diff
 
 
-# --- V: version diff
+#: Enough for the tables here: what is left of a file's kind and parent is a few names.
+FUZZY_ROUNDS = 8
 
 
 def _match_oracle() -> str:
@@ -435,8 +401,21 @@ def _match_oracle() -> str:
             f"eo{i} AS MATERIALIZED (SELECT * FROM {old} e WHERE NOT EXISTS (SELECT 1 FROM m{i} WHERE m{i}.old.seq = e.seq AND m{i}.old.file = e.file)), en{i} AS MATERIALIZED (SELECT * FROM {new} e WHERE NOT EXISTS (SELECT 1 FROM m{i} WHERE m{i}.new.seq = e.seq AND m{i}.new.file = e.file))"
         )
         old, new = f"eo{i}", f"en{i}"
-    return ", ".join(out) + """, M AS (SELECT * FROM m1 WHERE old.struct_hash <> new.struct_hash UNION ALL SELECT * FROM m2 UNION ALL SELECT * FROM m3
-UNION ALL SELECT 'removed', e, NULL FROM eo3 e UNION ALL SELECT 'added', NULL, e FROM en3 e),
+    # longest common subsequences in bit rows, then the best pairs of both sides, round by round
+    out.append(
+        "Q AS MATERIALIZED (SELECT o AS old, n AS new, o.seq AS x, n.seq AS y, o.name AS a, n.name AS b FROM eo3 o JOIN en3 n ON o.file = n.file AND o.kind = n.kind AND o.parent IS NOT DISTINCT FROM n.parent WHERE o.kind <> 'import'),"
+        "LC AS (SELECT x, y, a, b, 0 AS i, (CAST(1 AS BIGINT) << length(a)) - 1 AS v FROM Q UNION ALL SELECT x, y, a, b, i + 1, ((v + (v & m)) | (v - (v & m))) & ((CAST(1 AS BIGINT) << length(a)) - 1)"
+        " FROM (SELECT *, CAST(list_sum(list_transform(range(length(a)), lambda k: CASE WHEN a[k + 1] = b[i + 1] THEN CAST(1 AS BIGINT) << k ELSE 0 END)) AS BIGINT) AS m FROM LC WHERE i < length(b))),"
+        "G0 AS MATERIALIZED (SELECT x, y, s FROM (SELECT x, y, CAST(CAST(2 * (length(a) - bit_count(v)) AS FLOAT) / CAST(length(a) + length(b) AS FLOAT) AS DOUBLE) AS s FROM LC WHERE i = length(b)) WHERE s >= 0.6)"
+    )
+    for i in range(1, FUZZY_ROUNDS + 1):
+        out.append(
+            f"T{i} AS MATERIALIZED (SELECT * FROM G{i - 1} QUALIFY row_number() OVER (PARTITION BY x ORDER BY s DESC, y) = 1 AND row_number() OVER (PARTITION BY y ORDER BY s DESC, x) = 1),"
+            f"G{i} AS MATERIALIZED (SELECT * FROM G{i - 1} WHERE x NOT IN (SELECT x FROM T{i}) AND y NOT IN (SELECT y FROM T{i}))"
+        )
+    out.append(f"FZ AS ({' UNION ALL '.join(f'SELECT * FROM T{i}' for i in range(1, FUZZY_ROUNDS + 1))}), m4 AS MATERIALIZED (SELECT 'renamed' AS match, old, new, s FROM FZ JOIN Q USING (x, y))")
+    return ", ".join(out) + """, M AS (SELECT *, 1.0e0 AS confidence FROM m1 WHERE old.struct_hash <> new.struct_hash UNION ALL SELECT *, 1.0e0 FROM m2 UNION ALL SELECT *, 1.0e0 FROM m3 UNION ALL SELECT * FROM m4
+UNION ALL SELECT 'removed', e, NULL, 1.0e0 FROM eo3 e WHERE seq NOT IN (SELECT x FROM FZ) UNION ALL SELECT 'added', NULL, e, 1.0e0 FROM en3 e WHERE seq NOT IN (SELECT y FROM FZ)),
 F1 AS (SELECT *, old.sig_hash IS DISTINCT FROM new.sig_hash AS sc, old.body_hash IS DISTINCT FROM new.body_hash AS bc, coalesce(old.parent IS NULL AND old.kind <> 'import', false) AS pub FROM M),
 DF AS MATERIALIZED (SELECT CASE WHEN match = 'exact' THEN CASE WHEN sc OR bc THEN 'modified' ELSE 'formatting_only' END ELSE match END AS change,
 coalesce(new.name, old.name) AS name, coalesce(new.kind, old.kind) AS kind, coalesce(new.file, old.file) AS file, CASE WHEN match = 'moved' OR (match = 'renamed' AND old.file <> new.file) THEN old.file END AS old_file,
@@ -447,16 +426,16 @@ SH AS MATERIALIZED (SELECT *, change = 'moved' AND coalesce(old_file <> file, fa
 SV AS MATERIALIZED (SELECT * EXCLUDE (change), CASE WHEN change = 'moved' AND NOT cross_file_move THEN 'modified' ELSE change END AS change, change AS as_change FROM SH)"""
 
 
-_DIFF = f"WITH {P.VERSIONS}, {_match_oracle()}"
+_DIFF = f"WITH RECURSIVE {P.VERSIONS}, {_match_oracle()}"
 
 
-def _diffs(s, d, fuzzy=False):
-    return diff.classify(diff.match(P.entities(s, d), P.newer(s, d), fuzzy=fuzzy))
+def _diffs(s, d):
+    return diff.classify(diff.match(P.entities(s, d), P.newer(s, d)))
 
 
 @reg("v05_entity_match", _DIFF + " SELECT match, old.file AS old_file, old.seq AS old_seq, new.file AS new_file, new.seq AS new_seq FROM M")
 def _(s, d):
-    m = diff.match(P.entities(s, d), P.newer(s, d), fuzzy=False)
+    m = diff.match(P.entities(s, d), P.newer(s, d))
     return m.select("match", F.col("old.file").alias("old_file"), F.col("old.seq").alias("old_seq"), F.col("new.file").alias("new_file"), F.col("new.seq").alias("new_seq"))
 
 
@@ -492,7 +471,7 @@ def _(s, d):
     return diff.moves(diff.visible(_diffs(s, d)))
 
 
-@reg("v21_breaking_callers", f"""WITH {P.VERSIONS}, {_match_oracle()}, {P.R}, u AS (SELECT R.name, R.file IN (SELECT file FROM SV) AS inside FROM R WHERE R.name IN (SELECT name FROM SV WHERE breaking) QUALIFY row_number() OVER (PARTITION BY R.name ORDER BY R.file, line, seq) <= 100),
+@reg("v21_breaking_callers", f"""WITH RECURSIVE {P.VERSIONS}, {_match_oracle()}, {P.R}, u AS (SELECT R.name, R.file IN (SELECT file FROM SV) AS inside FROM R WHERE R.name IN (SELECT name FROM SV WHERE breaking) QUALIFY row_number() OVER (PARTITION BY R.name ORDER BY R.file, line, seq) <= 100),
 c AS (SELECT name, count(*) FILTER (WHERE inside) AS i, count(*) FILTER (WHERE NOT inside) AS x FROM u GROUP BY name)
 SELECT SV.name, kind, file, line, reason, coalesce(i, 0) AS callers_in_diff, coalesce(x, 0) AS external_callers FROM SV LEFT JOIN c ON c.name = SV.name WHERE breaking""")
 def _(s, d):
@@ -507,57 +486,12 @@ def _(s, d):
     return diff.groups(diff.visible(d_), diff.patterns(d_))
 
 
-@reg("v04_fuzzy_renames")
+@reg("v04_fuzzy_renames", _DIFF + " SELECT old.name AS old_name, new.name AS new_name, round(confidence, 6) AS confidence FROM M WHERE match = 'renamed'")
 def _(s, d):
     m = diff.match(P.entities(s, d), P.newer(s, d))
     return m.where("match = 'renamed'").select(F.col("old.name").alias("old_name"), F.col("new.name").alias("new_name"), F.round("confidence", 6).alias("confidence"))
 
 
-# The queries above without the fuzzy pass are those that SQL can say; these run the matching whole.
-
-
-@reg("v05_entity_match_fuzzy")
-def _(s, d):
-    m = diff.match(P.entities(s, d), P.newer(s, d))
-    return m.select("match", F.col("old.file").alias("old_file"), F.col("old.seq").alias("old_seq"), F.col("new.file").alias("new_file"), F.col("new.seq").alias("new_seq"))
-
-
-@reg("v07_classified_fuzzy")
-def _(s, d):
-    return _diffs(s, d, True).select(*_CLASS)
-
-
-@reg("v09_summary_fuzzy")
-def _(s, d):
-    return diff.summary(_diffs(s, d, True))
-
-
-@reg("v10_patterns_fuzzy")
-def _(s, d):
-    return diff.patterns(_diffs(s, d, True))
-
-
-@reg("v16_file_sections_fuzzy")
-def _(s, d):
-    return diff.file_sections(diff.visible(_diffs(s, d, True)))
-
-
-@reg("v16_moves_fuzzy")
-def _(s, d):
-    return diff.moves(diff.visible(_diffs(s, d, True)))
-
-
-@reg("v21_breaking_callers_fuzzy")
-def _(s, d):
-    return diff.breaking_callers(diff.visible(_diffs(s, d, True)), P.refs(s, d))
-
-
-@reg("v22_groups_fuzzy")
-def _(s, d):
-    d_ = _diffs(s, d, True)
-    return diff.groups(diff.visible(d_), diff.patterns(d_))
-
-
 def _versions_of_text(s, d):
     """Documents as a file each, and an edited copy of them."""
     old = P.table(s, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id")).alias("file"), F.replace("text", F.lit(". "), F.lit(".\n")).alias("text"))
@@ -582,11 +516,11 @@ def _(s, d):
 # --- W: review
 
 
-def _enriched(s, d, fuzzy=False, refs=P.sparse_refs):
-    return review.enrich(diff.visible(_diffs(s, d, fuzzy)), _ranks(s, d), _with_blast(s, d, refs))
+def _enriched(s, d):
+    return review.enrich(diff.visible(_diffs(s, d)), _ranks(s, d), _with_blast(s, d))
 
 
-_ENRICH = f"""WITH {P.VERSIONS}, {_match_oracle()}, {P.SPARSE}, {_BLAST}, {_RANKS}, bk AS MATERIALIZED (SELECT file, E.name, parent, any_value(dc) AS dc, any_value(df) AS df FROM E JOIN D ON D.name = E.name GROUP BY 1, 2, 3),
+_ENRICH = f"""WITH RECURSIVE {P.VERSIONS}, {_match_oracle()}, {P.R}, {_BLAST}, {_RANKS}, bk AS MATERIALIZED (SELECT file, E.name, parent, any_value(dc) AS dc, any_value(df) AS df FROM E JOIN D ON D.name = E.name GROUP BY 1, 2, 3),
 EN AS MATERIALIZED (SELECT SV.*, coalesce(b.df, c.df, 0) AS direct_files, coalesce(b.dc, c.dc, 0) AS direct_callers, coalesce(rank, 0) AS rank,
 coalesce(rank, 0) * (ln(1 + coalesce(b.df, c.df, 0)) + 1) * CASE WHEN breaking THEN 3.0e0 ELSE 1.0e0 END AS impact
 FROM SV LEFT JOIN RK ON RK.file = SV.file LEFT JOIN bk b ON b.file = new.file AND b.name = new.name AND b.parent IS NOT DISTINCT FROM new.parent
@@ -608,21 +542,6 @@ def _(s, d):
     return _ROUND6(review.file_deltas(_enriched(s, d)), "rank")
 
 
-@reg("w01_review_enriched_all")
-def _(s, d):
-    return _ROUND6(_enriched(s, d, True, P.refs).select("change", "name", "file", "line", "direct_files", "direct_callers", "impact"), "impact")
-
-
-@reg("w02_most_impactful_all")
-def _(s, d):
-    return _ROUND6(review.most_impactful(_enriched(s, d, True, P.refs)).select("change", "name", "file", "line", "impact"), "impact")
-
-
-@reg("w03_file_deltas_all")
-def _(s, d):
-    return _ROUND6(review.file_deltas(_enriched(s, d, True, P.refs)), "rank")
-
-
 @reg("w04_cochange_misses", f"""WITH {P.COMMITS}, {_pairs_sql(30)}, t AS (SELECT DISTINCT file FROM C WHERE CAST(substr(file, 2) AS BIGINT) % 3 = 0),
 b AS (SELECT a AS file, b AS partner, weight, support FROM PW UNION ALL SELECT b, a, weight, support FROM PW),
 top AS (SELECT * FROM b WHERE file IN (SELECT file FROM t) QUALIFY row_number() OVER (PARTITION BY file ORDER BY round(weight, 12) DESC, partner) <= 3)
@@ -643,21 +562,21 @@ def _(s, d):
     return P.table(s, d, "documents").select("doc_id", fingerprint.body_hash_raw(F.col("text")).alias("body_hash"))
 
 
+# A line's number of triple quotes at its start decides the fold: a recursion over the lines of texts that hold any.
 _H2 = (
-    r"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '%s', ' ', 'g'))), lambda x: x <> '' AND NOT regexp_matches(x, '^(//|#|/\*|\*)')) AS l
-FROM documents WHERE NOT contains(text, repeat(chr(34), 3)) AND NOT contains(text, repeat(chr(39), 3)))
-SELECT doc_id, CASE WHEN len(l) > 0 THEN substr(sha256(array_to_string(l, chr(10))), 1, 16) END AS body_hash FROM l"""
+    r"""WITH RECURSIVE l AS (SELECT doc_id, list_transform(string_split(regexp_replace(text, '\r\n', chr(10), 'g'), chr(10)), lambda x: trim(regexp_replace(x, '%s', ' ', 'g'))) AS l FROM documents),
+p AS (SELECT *, contains(array_to_string(l, chr(10)), repeat(chr(34), 3)) OR contains(array_to_string(l, chr(10)), repeat(chr(39), 3)) AS quoted FROM l),
+f AS (SELECT doc_id, l, 0 AS i, '' AS o, CAST([] AS VARCHAR[]) AS kept FROM p WHERE quoted
+UNION ALL SELECT doc_id, l, i + 1, CASE WHEN o <> '' THEN CASE WHEN contains(x, o) THEN '' ELSE o END WHEN q <> '' AND contains(substr(x, 4), q) THEN '' ELSE q END,
+CASE WHEN o <> '' OR q <> '' OR x = '' OR regexp_matches(x, '^(//|#|/\*|\*)') THEN kept ELSE list_append(kept, x) END
+FROM (SELECT *, l[i + 1] AS x, CASE WHEN starts_with(l[i + 1], repeat(chr(34), 3)) THEN repeat(chr(34), 3) WHEN starts_with(l[i + 1], repeat(chr(39), 3)) THEN repeat(chr(39), 3) ELSE '' END AS q FROM f WHERE i < len(l))),
+k AS (SELECT doc_id, kept FROM f WHERE i = len(l) UNION ALL SELECT doc_id, list_filter(l, lambda x: x <> '' AND NOT regexp_matches(x, '^(//|#|/\*|\*)')) FROM p WHERE quoted IS DISTINCT FROM true)
+SELECT doc_id, CASE WHEN len(kept) > 0 THEN substr(sha256(array_to_string(kept, chr(10))), 1, 16) END AS body_hash FROM k"""
     % _WS
 )
 
 
 @reg("h02_body_hash", _H2)
-def _(s, d):
-    plain = ~F.col("text").contains('"""') & ~F.col("text").contains("'''")
-    return P.table(s, d, "documents").where(plain).select("doc_id", fingerprint.body_hash(F.col("text")).alias("body_hash"))
-
-
-@reg("h02_body_hash_all")
 def _(s, d):
     return P.table(s, d, "documents").select("doc_id", fingerprint.body_hash(F.col("text")).alias("body_hash"))
 
@@ -702,13 +621,13 @@ def _(s, d):
     return extract.entities(src).select("file", "name", "kind", "line_start")
 
 
-@reg("x11_script_blocks", "SELECT page_id, CAST((strlen(html) - strlen(replace(html, '<script', ''))) // 7 AS BIGINT) AS blocks FROM pages")
-def _(s, d):
-    src = P.table(s, d, "pages").select("page_id", F.concat(F.lit("p"), F.col("page_id"), F.lit(".html")).alias("file"), F.col("html").alias("text"))
-    return src.select("page_id", F.coalesce(F.regexp_count("text", F.lit("<script")), F.lit(0)).cast("long").alias("blocks"))
+_X11 = r"""WITH p AS (SELECT page_id, string_split(regexp_replace(coalesce(html, ''), '(?is)(<script\b[^>]*>.*?</script\s*>)', chr(1) || '\1' || chr(1), 'g'), chr(1)) AS s FROM pages),
+m AS (SELECT page_id, s[2 * i] AS t, array_to_string(s[1 : 2 * i - 1], '') AS before FROM (SELECT page_id, s, unnest(range(1, len(s) // 2 + 1)) AS i FROM p)),
+h AS (SELECT page_id, before || regexp_extract(t, '(?i)^<script\b[^>]*>') AS upto, regexp_extract(t, '(?i)^<script\b[^>]*>') AS tag FROM m)
+SELECT page_id, CASE WHEN regexp_matches(tag, '(?i)lang\s*=\s*[\x22\x27]?(ts|tsx|typescript)\b') THEN 'typescript' ELSE 'javascript' END AS language, CAST(1 + length(upto) - length(replace(upto, chr(10), '')) AS BIGINT) AS line FROM h"""
 
 
-@reg("x11_script_blocks_all")
+@reg("x11_script_blocks", _X11)
 def _(s, d):
     def run(batches):
         for b in batches:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symloom.schema import ENTITY_SCHEMA, REF_SCHEMA, conform
+from symloom.storage import stored
 
 _NAME = "replace(p_name, ' ', '_') || '_' || CAST(p_partkey % 10 AS STRING)"
 _FILE = "'src/' || p_brand || '/' || replace(p_type, ' ', '_') || CASE WHEN p_partkey % 4 = 0 THEN '.py' ELSE '.rs' END"
@@ -37,7 +38,6 @@ REF = {
     "kind": "CASE l_returnflag WHEN 'R' THEN 'call' WHEN 'A' THEN 'type_annotation' ELSE 'instantiation' END",
     "line": "CAST(l_linenumber AS BIGINT)",
     "seq": "l_orderkey * 100000000 + l_partkey * 100 + l_linenumber",
-    "quantity": "l_quantity",
 }
 #: The newer version: by key some rows go, others are renamed, moved, changed or reformatted.
 NEWER = {
@@ -80,21 +80,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_store: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+    """The relation as an index keeps it: written once by an application, then only read."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _store:
+        _store[key] = stored(make(), name)
+    return _store[key]
+
+
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conform(table(spark, sf_dir, "part").selectExpr(*_spark(ENTITY)), ENTITY_SCHEMA)
+    """Sorted by file."""
+    make = lambda: conform(table(spark, sf_dir, "part").selectExpr(*_spark(ENTITY)), ENTITY_SCHEMA)
+    return _once(spark, sf_dir, "entities", lambda: make().repartitionByRange("file", "seq").sortWithinPartitions("file", "seq"))
 
 
 def _refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
-    return table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).selectExpr(*_spark(REF))
+    rows = table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).selectExpr(*_spark(REF))
+    return conform(rows, REF_SCHEMA)
 
 
 def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conform(_refs(spark, sf_dir), REF_SCHEMA)
-
-
-def sparse_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conform(_refs(spark, sf_dir).where("kind = 'call' AND quantity > 40"), REF_SCHEMA)
+    """Sorted by name, so a lookup reads few row groups; a name that fills many rows is split over partitions."""
+    return _once(spark, sf_dir, "refs", lambda: _refs(spark, sf_dir).repartitionByRange("name", "file", "seq").sortWithinPartitions("name", "file", "seq"))
 
 
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,9 +125,7 @@ def newer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 E = f"E AS (SELECT {', '.join(_sql(ENTITY, 'sha256'))} FROM part)"
 _JOINED = "(SELECT l.*, p.p_partkey, p.p_name, p.p_brand, p.p_type FROM lineitem l JOIN part p ON l_partkey = p_partkey)"
-RALL = f"RALL AS (SELECT {', '.join(_sql(REF, 'sha256'))} FROM {_JOINED})"
-R = f"{RALL}, R AS (SELECT * EXCLUDE (quantity) FROM RALL)"
-SPARSE = f"{RALL}, R AS (SELECT * EXCLUDE (quantity) FROM RALL WHERE kind = 'call' AND quantity > 40)"
+R = f"R AS (SELECT {', '.join(_sql(REF, 'sha256'))} FROM {_JOINED})"
 COMMITS = "C AS (SELECT DISTINCT CAST(l_orderkey AS STRING) AS commit, printf('p%05d', l_partkey) AS file FROM lineitem)"
 FILE_COMMITS = f"C AS (SELECT DISTINCT CAST(l_orderkey AS STRING) AS commit, {_FILE} AS file FROM lineitem JOIN part ON l_partkey = p_partkey)"
 VERSIONS = f"{E}, N AS (SELECT {', '.join(_sql(NEWER, 'sha256'))} FROM E WHERE seq % 7 <> 0 UNION ALL SELECT {', '.join(_sql(ADDED, 'sha256'))} FROM E WHERE seq % 29 = 0)"

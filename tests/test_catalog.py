@@ -4,7 +4,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from symloom.operators import fingerprint
+from symloom.operators import diff, fingerprint
 from symloom.plans import catalog
 from symloom.plans import project as P
 
@@ -27,33 +27,44 @@ def test_graph_queries_read_all_references(spark):
             front = set().union(*(callers[x] for x in front))
             seen |= front
         want[n] = (count[n], len(files[n]), len(seen - {n}))
-    got = {r["name"]: (r["direct_callers"], r["direct_files"], r["transitive_callers"]) for r in catalog.QUERIES["g06_blast_applied_all"](spark, DATA).collect()}
+    got = {r["name"]: (r["direct_callers"], r["direct_files"], r["transitive_callers"]) for r in catalog.QUERIES["g06_blast_applied"](spark, DATA).collect()}
     assert got == want and sum(count.values()) == P.table(spark, DATA, "lineitem").count()
-    assert {r["name"]: r["transitive_callers"] for r in catalog.QUERIES["g05_blast_transitive_all"](spark, DATA).collect()} == {n: x[2] for n, x in want.items()}
+    assert {r["name"]: r["transitive_callers"] for r in catalog.QUERIES["g05_blast_transitive"](spark, DATA).collect()} == {n: x[2] for n, x in want.items()}
 
 
 def test_version_queries_run_the_fuzzy_pass(spark):
     fuzzy = sorted((r["old_name"], r["new_name"]) for r in catalog.QUERIES["v04_fuzzy_renames"](spark, DATA).collect())
-    classified = catalog.QUERIES["v07_classified_fuzzy"](spark, DATA).collect()
+    classified = catalog.QUERIES["v07_classified"](spark, DATA).collect()
     renamed = sorted((r["old_name"], r["name"]) for r in classified if r["change"] == "renamed")
-    plain = [r for r in catalog.QUERIES["v07_classified"](spark, DATA).collect() if r["change"] == "renamed"]
-    assert renamed == fuzzy and len(plain) < len(fuzzy)
-    summary = catalog.QUERIES["v09_summary_fuzzy"](spark, DATA).first()
+    plain = diff.match(P.entities(spark, DATA), P.newer(spark, DATA), fuzzy=False).where("match = 'renamed'").count()
+    assert renamed == fuzzy and plain < len(fuzzy)
+    summary = catalog.QUERIES["v09_summary"](spark, DATA).first()
     for kind in ("added", "removed", "modified", "moved", "renamed", "formatting_only"):
         assert summary[kind] == sum(r["change"] == kind for r in classified)
-    assert {r["name"] for r in catalog.QUERIES["w01_review_enriched_all"](spark, DATA).collect() if r["change"] == "renamed"} == {n for _, n in fuzzy}
+    assert {r["name"] for r in catalog.QUERIES["w01_review_enriched"](spark, DATA).collect() if r["change"] == "renamed"} == {n for _, n in fuzzy}
+
+
+def test_body_hash_sql_folds_docstrings(spark, tmp_path):
+    import duckdb
+
+    texts = [(1, 'a = 1\n"""doc\nstring"""\nb = 2'), (2, "a = 1\n# c\n\nb = 2"), (3, "x ''' y"), (4, None), (5, "'''one'''\n  z\r\n'''open\nq"), (6, "")]
+    spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted(map(tuple, catalog.QUERIES["h02_body_hash"](spark, str(tmp_path)).collect()))
+    assert got == sorted(duck.execute(catalog.ORACLES["h02_body_hash"]).fetchall()) and len(got) == 6
 
 
 def test_no_document_is_left_out_of_the_body_hash(spark, tmp_path):
     texts = [(1, 'a = 1\n"""doc\nstring"""\nb = 2'), (2, "a = 1\nb = 2"), (3, "x '\'\'' y")]
     df = spark.createDataFrame(texts, "doc_id long, text string")
     df.write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["doc_id"]: r["body_hash"] for r in catalog.QUERIES["h02_body_hash_all"](spark, str(tmp_path)).collect()}
+    got = {r["doc_id"]: r["body_hash"] for r in catalog.QUERIES["h02_body_hash"](spark, str(tmp_path)).collect()}
     assert got == {r[0]: r[1] for r in df.select("doc_id", fingerprint.body_hash(F.col("text"))).collect()} and sorted(got) == [1, 2, 3] and got[1] == got[2]
 
 
 def test_script_blocks_are_the_extractors(spark, tmp_path):
     pages = [(1, "<p>\n<SCRIPT lang='ts'>\nlet a\n</SCRIPT>\n<script>b()</script>"), (2, "<scripted>no</scripted>"), (3, None)]
     spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
-    got = sorted(map(tuple, catalog.QUERIES["x11_script_blocks_all"](spark, str(tmp_path)).collect()))
+    got = sorted(map(tuple, catalog.QUERIES["x11_script_blocks"](spark, str(tmp_path)).collect()))
     assert got == [(1, "javascript", 5), (1, "typescript", 2)]
