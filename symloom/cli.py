@@ -95,7 +95,7 @@ def run(args: argparse.Namespace, spark: SparkSession) -> tuple[int, str]:
         bundle = p.context(args.symbol, args.tokens, args.depth)
         return (2, f"{args.symbol} isn't defined here") if bundle is None else (0, json.dumps(bundle, default=str, indent=1))
     if c == "map":
-        return 0, render.map_markdown(*p.map(args.tokens, args.depth, args.focus), graph.subsystem_label)
+        return 0, render.map_markdown(*p.map(args.tokens, args.depth, args.focus))
     try:
         if c == "diff":
             shown = diff.visible(p.diff(args.spec))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,26 +125,45 @@ def pack(rows: DataFrame, tokens: Column, order: list[Column | str], budget: int
 
 
 def subsystems(communities: DataFrame, shown: DataFrame, top: int = 5) -> DataFrame:
-    """M9: shown files by community: (community, file_count, files by rank, all files for the label)."""
-    rows = shown.join(communities, "file")
-    f = F.struct((-F.col("score")).alias("minus"), "file")
-    g = rows.groupBy("community").agg(F.count("*").alias("file_count"), F.array_sort(F.collect_list(f)).alias("files"))
-    names = F.transform("files", lambda x: x["file"])
-    return g.select("community", "file_count", F.slice(names, 1, top).alias("top"), F.array_sort(names).alias("files"))
+    """Shown files by community: (community, file_count, top files by score, label).
 
+    The label is the directory that all files share, which is what the first and the last directory share; one file is
+    labelled by its directory or itself, files without a common directory as cross-cutting. Only ``top`` rows of a
+    community are gathered.
+    """
+    rows = shown.join(communities, "file").withColumn("dir", S.parent_dir(F.col("file")))
+    n = F.row_number().over(Window.partitionBy("community").orderBy(F.desc("score"), "file"))
+    best = rows.withColumn("n", n).where(F.col("n") <= top).groupBy("community").agg(F.array_sort(F.collect_list(F.struct("n", "file"))).alias("best"))
+    parts = F.split("dir", "/")
+    g = rows.groupBy("community").agg(F.count("*").alias("file_count"), F.min(parts).alias("lo"), F.max(parts).alias("hi"), F.min("dir").alias("dir"), F.min("file").alias("file"))
+    same = F.size(F.filter(F.sequence(F.lit(1), F.size("lo")), lambda i: F.slice("lo", 1, i) == F.slice("hi", 1, i)))
+    shared = F.array_join(F.slice("lo", F.lit(1), same), "/")
+    label = F.when(F.col("file_count") == 1, F.when(F.col("dir") == "", F.col("file")).otherwise(F.col("dir"))).otherwise(F.when(shared == "", "cross-cutting").otherwise(shared))
+    return g.join(best, "community").select("community", "file_count", F.transform("best", lambda x: x["file"]).alias("top"), label.alias("label"))
 
-def bpe_tokens(texts: DataFrame, column: str, ranks_path: str, pattern: str) -> DataFrame:
-    """``tokens`` by byte-level BPE over a rank file (base64 token, rank)."""
-    import pandas as pd
 
-    @F.pandas_udf("long")
-    def count(s: pd.Series) -> pd.Series:
+_encoders: dict[tuple[str, str], object] = {}
+
+
+def _encoder(ranks_path: str, pattern: str):
+    """One encoder of a rank file in a process."""
+    if (ranks_path, pattern) not in _encoders:
         import base64
 
         import tiktoken
 
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks_path, "rb"))}
-        e = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        with open(ranks_path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        _encoders[ranks_path, pattern] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return _encoders[ranks_path, pattern]
+
+
+def bpe_tokens(texts: DataFrame, column: str, ranks_path: str, pattern: str) -> DataFrame:
+    """``tokens`` by byte-level BPE over a rank file (base64 token, rank); null counts as empty."""
+
+    @F.pandas_udf("long")
+    def count(s: pd.Series) -> pd.Series:
+        e = _encoder(ranks_path, pattern)
         return s.fillna("").map(lambda t: len(e.encode_ordinary(t)))
 
     return texts.withColumn("tokens", count(F.col(column)))

@@ -213,21 +213,6 @@ def communities(E: DataFrame, R: DataFrame, rounds: int = 30) -> DataFrame:
     return rows.groupBy(F.lit(0).alias("one")).applyInPandas(run, "file string, community long")
 
 
-def subsystem_label(files: list[str]) -> str:
-    """G10"""
-    if not files:
-        return "(empty)"
-    dirs = [f.rpartition("/")[0] for f in files]
-    if len(files) == 1:
-        return dirs[0] or files[0]
-    common = []
-    for parts in zip(*(d.split("/") if d else [] for d in dirs)):
-        if len(set(parts)) > 1:
-            break
-        common.append(parts[0])
-    return "/".join(common) or "cross-cutting"
-
-
 def kept_commits(commits: DataFrame, max_files: int = 30) -> DataFrame:
     """(commit, file), distinct, of commits that touch at most ``max_files`` files."""
     rows = commits.select("commit", "file").distinct()

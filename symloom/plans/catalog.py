@@ -365,7 +365,7 @@ def _(s, d):
 def _(s, d):
     e = P.entities(s, d)
     shown = digest.pack(digest.map_files(e, _ranks(s, d)), S.token_estimate(F.col("file")) + 40, [F.desc("score"), "file"])
-    return digest.subsystems(graph.communities(e, P.refs(s, d)), shown).select("community", "file_count", F.array_join("top", ",").alias("top"))
+    return digest.subsystems(graph.communities(e, P.refs(s, d)), shown).select("community", "file_count", F.array_join("top", ",").alias("top"), "label")
 
 
 @reg("m10_token_estimate", "SELECT doc_id, CAST((strlen(text) + 3) // 4 AS BIGINT) AS tokens FROM documents")

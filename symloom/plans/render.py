@@ -59,13 +59,13 @@ def diff_text(sections: DataFrame, diffs: DataFrame) -> str:
     return "\n".join(out)
 
 
-def map_markdown(files: DataFrame, entities: DataFrame, subsystems: DataFrame, label: object) -> str:
+def map_markdown(files: DataFrame, entities: DataFrame, subsystems: DataFrame) -> str:
     """K4, K9: the digest of ``digest.map_*`` as Markdown."""
     own: dict[str, list] = {}
     for r in entities.orderBy("file", "place").collect():
         own.setdefault(r["file"], []).append(r)
     out = ["# Map", "", "## Subsystems", ""]
-    out += [f"- **{label(r['files'])}** ({r['file_count']} files)" for r in subsystems.orderBy("file_count", ascending=False).collect()]
+    out += [f"- **{r['label']}** ({r['file_count']} files)" for r in subsystems.orderBy("file_count", ascending=False).collect()]
     out += ["", "## Files", ""]
     for f in files.collect():
         out.append(f"### {f['file']} ({f['score']:.4f})")

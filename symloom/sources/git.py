@@ -111,11 +111,22 @@ def blobs(spark: SparkSession, repo: str, ref: str, paths: list[str]) -> DataFra
     return spark.read.format("git").options(repo=repo, what="blobs", ref=ref, paths="\n".join(paths)).load().select("file", "text")
 
 
+#: Lines of a stored log that one task numbers.
+LOG_BLOCK = 100_000
+
+
 def log_lines(lines: DataFrame) -> DataFrame:
-    """S11 over a stored log (value, position): the marker above a line by a running maximum of marker positions."""
+    """S11 over a stored log (value, position): each line belongs to the last marker above it.
+
+    The marker is looked for inside a block of positions; what a block starts with comes from the last marker of the
+    blocks before it, and only one row a block is put in one order.
+    """
     from pyspark.sql import Window
 
-    w = Window.orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.withColumn("value", F.trim("value"))
-    rows = rows.withColumn("commit", F.last(F.when(F.col("value").startswith("---"), F.substring("value", 4, 1 << 20)), ignorenulls=True).over(w))
-    return rows.where("value <> '' and not startswith(value, '---') and commit is not null").select("commit", F.col("value").alias("file")).distinct()
+    rows = lines.select("position", F.trim("value").alias("value"), F.floor(F.col("position") / LOG_BLOCK).alias("block"))
+    rows = rows.withColumn("marker", F.when(F.col("value").startswith("---"), F.substring("value", 4, 1 << 20)))
+    heads = rows.groupBy("block").agg(F.max_by("marker", F.when(F.col("marker").isNotNull(), F.col("position"))).alias("last"))
+    before = heads.select("block", F.last("last", ignorenulls=True).over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    above = F.last("marker", ignorenulls=True).over(Window.partitionBy("block").orderBy("position").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("above", above).join(before, "block").withColumn("commit", F.coalesce("above", "carried"))
+    return rows.where("value <> '' and marker is null and commit is not null").select("commit", F.col("value").alias("file")).distinct()

@@ -208,8 +208,15 @@ def test_communities(spark):
     e = [(f"x{i}", f"f{i}") for i in "123"] + [(f"y{i}", f"g{i}") for i in "123"]
     ring = [("x1", None, "f2"), ("x2", None, "f3"), ("x3", None, "f1"), ("y1", None, "g2"), ("y2", None, "g3"), ("y3", None, "g1")]
     assert sorted(map(sorted, groups(spark, e, ring).values())) == [["x1", "x2", "x3"], ["y1", "y2", "y3"]]
-    assert graph.subsystem_label([]) == "(empty)" and graph.subsystem_label(["top.rs"]) == "top.rs" and graph.subsystem_label(["a/b.rs"]) == "a"
-    assert graph.subsystem_label(["src/p/a.rs", "src/p/q/b.rs"]) == "src/p" and graph.subsystem_label(["top.rs", "else/x.rs"]) == "cross-cutting"
+
+
+def test_subsystems(spark):
+    sets = [["top.rs"], ["a/b.rs"], ["src/p/a.rs", "src/p/q/b.rs"], ["top.rs", "else/x.rs"], [f"s/x{i}/f.rs" for i in range(8)], ["ab/x", "abc/y"]]
+    own = spark.createDataFrame([(f"{f}#{c}" if "/" not in f else f, c) for c, fs in enumerate(sets) for f in fs], "file string, community long")
+    shown = own.select("file", F.length("file").cast("double").alias("score"))
+    got = {r["community"]: r for r in digest.subsystems(own, shown).collect()}
+    assert [got[c]["label"] for c in range(6)] == ["top.rs#0", "a", "src/p", "cross-cutting", "s", "cross-cutting"]
+    assert got[4]["file_count"] == 8 and got[4]["top"] == [f"s/x{i}/f.rs" for i in range(5)] and got[2]["top"] == ["src/p/q/b.rs", "src/p/a.rs"]
 
 
 def test_cochange(spark):
@@ -262,6 +269,10 @@ def test_map(spark):
     rows = spark.createDataFrame([(1, 50), (2, 60), (3, 1)], "i int, t long")
     assert col(digest.pack(rows, F.col("t"), ["i"], 200), "i") == [1] and col(digest.pack(rows, F.col("t"), ["i"], 10), "i") == [1]
     assert col(digest.pack(rows, F.col("t"), ["i"], 211), "i") == [1, 2, 3]
+    import public_tokenizers
+
+    counted = digest.bpe_tokens(spark.createDataFrame([("hello world",), (None,), ("x" * 5000,)], "t string"), "t", public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert [r["tokens"] for r in counted.collect()][:2] == [2, 0] and counted.agg(F.max("tokens")).first()[0] > 100
     pairs = spark.createDataFrame([(10.0, 1.0), (30.0, 1.0), (None, 1.0), (4.0, 2.0), (8.0, 2.0)], "control double, treatment double")
     assert digest.median_ratio(pairs).first()[0] == 7.0
 
@@ -415,11 +426,13 @@ def test_json_lines_round_trip(spark, tmp_path):
     assert "struct_hash" not in jsonl.hits_json(e).first()[0] and "struct_hash" in jsonl.hits_json(e, True).first()[0]
 
 
-def test_log_parsing(spark):
+def test_log_parsing(spark, monkeypatch):
     text = "---abc\n\na.rs\nb.rs\n---def\na.rs\n"
     assert list(git.parse_log(text)) == [("abc", "a.rs"), ("abc", "b.rs"), ("def", "a.rs")]
     lines = spark.createDataFrame(list(enumerate(text.split("\n"))), "position long, value string")
-    assert sorted(col(git.log_lines(lines), "commit", "file")) == [("abc", "a.rs"), ("abc", "b.rs"), ("def", "a.rs")]
+    for size in (git.LOG_BLOCK, 2, 1):
+        monkeypatch.setattr(git, "LOG_BLOCK", size)
+        assert sorted(col(git.log_lines(lines), "commit", "file")) == [("abc", "a.rs"), ("abc", "b.rs"), ("def", "a.rs")]
     assert git.parse_spec("a...b") == ("a", "b") and git.parse_spec("a..b") == ("a", "b") and git.parse_spec("x") == ("x", "HEAD")
 
 
@@ -444,7 +457,7 @@ def test_project_end_to_end(spark, tmp_path):
     p.index()
     assert sorted(col(p.tables()[0], "name")) == ["audit", "execute", "helper2", "total"] and p.sql("select count(*) from refs").first()[0] == 2
     files, entities, subsystems = p.map()
-    assert files.count() == 2 and "# Map" in render.map_markdown(files, entities, subsystems, graph.subsystem_label)
+    assert files.count() == 2 and "# Map" in render.map_markdown(files, entities, subsystems)
 
 
 def test_streaming_ingest(spark, tmp_path):
