@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
@@ -13,7 +12,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of at most this many bytes (rows times a stated row width) is broadcast; a larger one is shuffled.
+from symloom.storage import drop_at_exit, fresh_path, shared_dir
+from symloom.storage import stored as materialize
+
+__all__ = ["drop_at_exit", "fresh_path", "materialize", "shared_dir"]
+
+#: A side of at most this many bytes is broadcast; a larger one is shuffled. Bytes are counted rows times the bytes that
+#: a row takes in a hashed relation: its key and its row (8 for each column, strings and binaries besides, rounded up to
+#: 8, and 8 of null bits), and 32 for the map's entry.
 BROADCAST_BYTES = 32 << 20
 #: Rows of text that one Arrow batch carries to a Python worker.
 BATCH_ROWS = 512
@@ -21,26 +27,6 @@ BATCH_ROWS = 512
 BATCH_BYTES = 32 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; only where it is unset (tests), a folder of our own."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not conf:
-        conf = "file://" + tempfile.mkdtemp(prefix="symloom-shared-")
-        spark.conf.set("spark.checkpoint.dir", conf)
-    return conf.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and rereads it: the lineage is cut and no executor's loss can undo it."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def prepare(spark: SparkSession) -> None:
     """Small Arrow batches, and this package on the workers' path where the environment doesn't put it there."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -69,11 +55,32 @@ def small(side: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame
 
 
 def sample_per_class(rows: DataFrame, label: str, per_class: int) -> DataFrame:
-    """At most ``per_class`` ids of each value of ``label``, those with the smallest hash: (doc_id, label). Only ids move."""
+    """At most ``per_class`` ids of each value of ``label``, those with the smallest hash: (doc_id, label).
+
+    Rows are counted for each label; the counts give a limit of the hash that lets a little more than ``per_class``
+    through, and only what is below it is made distinct, put in order and cut. Where too few ids come through (ids that
+    repeat often), the limit is raised and the pass is made again. So no task sees more than the sample of a label.
+    """
     from pyspark.sql import Window
 
-    order = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
-    return rows.select("doc_id", label).where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).distinct().withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_class).drop("_n")
+    spark = rows.sparkSession
+    rows = rows.select("doc_id", label).where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
+    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
+    if not counts:
+        return rows.limit(0)
+    unit = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53)
+    limits = {k: min(1.0, (per_class + 8 * per_class**0.5 + 64) / n) for k, n in counts.items()}
+    while True:
+        most = spark.createDataFrame([(k, x) for k, x in limits.items()], rows.select(F.col(label).alias("_label"), F.lit(0.0).alias("_most")).schema)
+        below = rows.join(F.broadcast(most), rows[label] == F.col("_label")).where(unit <= F.col("_most")).select("doc_id", label).distinct()  # a row for each label
+        below = materialize(below, "sample")
+        got = {r[0]: r[1] for r in below.groupBy(label).count().collect()}
+        again = [k for k, x in limits.items() if x < 1 and got.get(k, 0) < per_class]
+        if not again:
+            break
+        limits |= {k: min(1.0, 4 * limits[k]) for k in again}
+    order = Window.partitionBy(label).orderBy(F.shiftrightunsigned(F.xxhash64("doc_id"), 11), "doc_id")
+    return below.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_class).drop("_n")
 
 
 _classes: np.ndarray | None = None

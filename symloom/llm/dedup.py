@@ -8,9 +8,10 @@ pair is a link if the similarity that the whole signatures estimate is SIMILARIT
 error 0.03). Classes are the connected components of all links; nothing is capped.
 
 A signature is kept as one byte a coordinate, of which the keys are made too. Copies of a text collapse first (a
-combinable minimum). The members of each key come sorted to one task, which compares every pair of them and ties each
-member to the smallest one that links lead to; so pairs aren't written, but the comparisons grow with the square of
-a key's members. Components come from alternating large-star and small-star steps; both are combinable minima plus a
+combinable minimum). The members of a key come sorted to one task, which compares every pair of them and ties each
+member to the smallest one that links lead to, so pairs aren't written. A key with more than PART members is cut into
+parts of about that size, and each two of its parts meet in a group of their own: no task holds more than two parts,
+and the comparisons, which grow with the square of a key's members, are spread over all tasks. Components come from alternating large-star and small-star steps; both are combinable minima plus a
 join, each round is written to the shared folder, and rounds grow with the logarithm of the longest chain.
 
 Defined results: a null text counts as empty; texts without any word are linked only to equal texts. Documents with
@@ -20,6 +21,7 @@ several texts is judged by each text. Only ``doc_id`` and ``text`` are read.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +35,8 @@ from symloom.llm.dartminhash import signatures
 BANDS, ROWS = 32, 8  # of neighbouring coordinates; as many again go across
 #: Estimated similarity from which a candidate pair is a link.
 SIMILARITY = 0.6
-#: Rows of key members that are compared together (whole keys, so more where one key has more), and pairs in one step.
-MEMBERS, PAIRS = 8192, 16_384
+#: Rows of key members that are compared together, pairs in one step, and members in one part of a key.
+MEMBERS, PAIRS, PART = 8192, 16_384, 4096
 
 
 def elements(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -77,9 +79,10 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     return rows_.mapInArrow(run, "doc_id long, text_key binary, keys array<long>, sketch binary")
 
 
-def compare(key: np.ndarray, group: np.ndarray, sketch: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
+def compare(key: np.ndarray, group: np.ndarray, part: np.ndarray, apart: np.ndarray, sketch: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
     """For each row of ``sketch`` (rows of equal ``key`` are neighbours) the first row of its key that links lead to, and
-    the number of its links. A pair counts in the first of the keys that it shares, which ``group`` says."""
+    the number of its links. A pair counts in the first of the keys that it shares, which ``group`` says. Rows that are
+    ``apart`` only meet rows of another ``part``."""
     start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     size = np.diff(np.append(start, len(key)))
     first = np.repeat(start, size)
@@ -87,8 +90,9 @@ def compare(key: np.ndarray, group: np.ndarray, sketch: np.ndarray, bands: int =
     least, lag, links = SIMILARITY * sketch.shape[1], 1, np.zeros(len(key), np.int64)
     late = np.flatnonzero(place >= lag)
     while len(late):
-        for i in range(0, len(late), PAIRS):
-            b = late[i : i + PAIRS]
+        meets = late[~apart[late] | (part[late] != part[late - lag])]
+        for i in range(0, len(meets), PAIRS):
+            b = meets[i : i + PAIRS]
             same = sketch[b] == sketch[b - lag]
             near = same.sum(1) >= least
             b, same = b[near], same[near]
@@ -106,14 +110,18 @@ def compare(key: np.ndarray, group: np.ndarray, sketch: np.ndarray, bands: int =
 
 
 def linked(members: DataFrame, bands: int, rows: int) -> DataFrame:
-    """node, text_key, head_node, head_key, n: the members (key, group, node, text_key, sketch) that have links in a key,
-    the smallest member of that key which their links lead to, and how many links count there."""
+    """node, text_key, head_node, head_key, n: the members (key, n, group, node, text_key, sketch) that have links in a key,
+    the smallest member of that key (or of two of its parts) which their links lead to, and how many links count there."""
     prepare(members.sparkSession)
+    parts = F.ceil(F.col("n") / PART).cast("int")
+    split = members.withColumn("part", F.pmod(F.xxhash64("key", "text_key"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    # two parts meet in one cell, and each part meets itself
+    split = split.withColumns({"cell": F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")), "apart": F.col("part") != F.col("other")}).drop("n", "other", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def of(t: pa.Table) -> pa.RecordBatch:
             sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(t), -1)
-            root, n = compare(t.column("key").to_numpy(), t.column("group").to_numpy(), sketch, bands, rows)
+            root, n = compare(*(t.column(c).to_numpy() for c in ("cell", "group", "part", "apart")), sketch, bands, rows)
             at = np.flatnonzero((root != np.arange(len(t))) | (n > 0))
             ids = [t.column(c).combine_chunks() for c in ("node", "text_key")]
             return pa.RecordBatch.from_arrays([*(c.take(pa.array(x, pa.int64())) for x in (at, root[at]) for c in ids), pa.array(n[at])], ["node", "text_key", "head_node", "head_key", "n"])
@@ -122,10 +130,10 @@ def linked(members: DataFrame, bands: int, rows: int) -> DataFrame:
         for b in batches:
             if not len(b):
                 continue
-            key = b.column("key").to_numpy()
+            key = b.column("cell").to_numpy()
             n += len(b)
             held.append(b)
-            if n >= MEMBERS and (key[0] != key[-1] or held[:-1] and held[-2].column("key")[-1].as_py() != key[0]):
+            if n >= MEMBERS and (key[0] != key[-1] or held[:-1] and held[-2].column("cell")[-1].as_py() != key[0]):
                 cut = int(np.searchsorted(key, key[-1]))  # the last key may go on
                 held[-1] = b.slice(0, cut)
                 t = pa.Table.from_batches(held)
@@ -134,7 +142,7 @@ def linked(members: DataFrame, bands: int, rows: int) -> DataFrame:
         if held:
             yield of(pa.Table.from_batches(held))
 
-    sorted_ = members.repartition("key").sortWithinPartitions("key", "node", "text_key")
+    sorted_ = split.repartition("cell").sortWithinPartitions("cell", "node", "text_key")
     return sorted_.mapInArrow(run, "node long, text_key binary, head_node long, head_key binary, n long")
 
 
@@ -170,7 +178,7 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> tuple[Data
     texts = materialize(s.groupBy("text_key").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.any_value(F.struct("keys", "sketch")).alias("signed")).select("text_key", "node", "copies", "signed.*"), "texts")
     # one id may stand for several texts, so a node is (smallest id, text)
     pairs = texts.select(F.posexplode("keys").alias("group", "key"), "node", "text_key")
-    shared = pairs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    shared = pairs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = materialize(pairs.join(shared, "key"), "members")
     shares = members.groupBy("text_key").agg(F.count("*").alias("n_shared_keys"))
     tied = materialize(linked(members.join(texts.select("text_key", "sketch"), "text_key"), bands, rows), "tied")
@@ -194,20 +202,25 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> Da
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class, that of the smallest id; rows without an id stay. All columns stay.
 
-    Texts aren't shuffled while the list of dropped (id, text) pairs fits a broadcast; beyond that the join shuffles.
+    Of rows that repeat the kept id and text, the one stays whose other columns come first as JSON text; the smallest is
+    found by a combinable aggregate. Texts aren't shuffled while the list of dropped (id, text) pairs fits a broadcast;
+    beyond that the join shuffles. Columns of any name may be there.
     """
     s, texts = classes(docs)
     rows = s.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).join(texts, "text_key")
     out = (F.col("doc_id") != F.col("class_id")) | (F.col("text_key") != F.col("class_key"))
-    rows = rows.select("doc_id", "text_key", "n", out.alias("out"))
-    rows = materialize(rows, "verdicts")
-    gone = rows.where("out").select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_key"))
-    many = rows.where("not out and n > 1").select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_key"))
-    on = (docs["doc_id"].cast("long") == F.col("_gone")) & (text_key() == F.col("_key"))
-    kept = docs.join(small(gone, 48), on, "left_anti")
+    rows = materialize(rows.select("doc_id", "text_key", "n", out.alias("out")), "verdicts")
+    own = uuid.uuid4().hex
+    gone, many = (rows.where(which).select(F.col("doc_id").alias(f"id_{own}"), F.col("text_key").alias(f"key_{own}")) for which in ("out", "not out and n > 1"))
+
+    on = (F.col("doc_id").cast("long") == F.col(f"id_{own}")) & (text_key() == F.col(f"key_{own}"))
+    kept = docs.join(small(gone, 112), on, "left_anti")
     n = many.count()
     if not n:
         return kept
-    on = (kept["doc_id"].cast("long") == F.col("_gone")) & (text_key() == F.col("_key"))
-    once = kept.join(small(many, 48, n), on, "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(small(many, 48, n), on, "left_anti").unionByName(once)
+    names = [f"`{c.replace('`', '``')}`" for c in docs.columns]
+    rest = [c for c in names if c not in ("`doc_id`", "`text`")]
+    again = kept.join(small(many, 112, n), on)
+    whole, order = F.struct(*(F.col(c) for c in names)), F.to_json(F.struct(*(F.col(c) for c in rest)), {"ignoreNullFields": "false"}) if rest else F.lit("")
+    once = again.groupBy(f"id_{own}", f"key_{own}").agg(F.min_by(whole, order).alias(own)).select(f"{own}.*")
+    return kept.join(small(many, 112, n), on, "left_anti").unionByName(once)

@@ -159,6 +159,36 @@ def test_links_are_counted_as_texts(spark):
     assert got[0]["n_links"] > 64 and got[500]["n_links"] == 1 < got[500]["n_shared_keys"] <= 64 and got[502]["n_links"] == 0
 
 
+def test_parts_of_a_hot_key_lose_no_link(spark, monkeypatch):
+    rng = random.Random(17)
+    base = prose(rng, 120)
+    rows = docs(spark, [(i, edited(rng, base, 0.03), None) for i in range(60)] + [(100 + i, prose(rng, 50), None) for i in range(5)])
+    found = []
+    for part in (4096, 7, 1):
+        monkeypatch.setattr(dedup, "PART", part)
+        found.append(sorted(map(tuple, dedup.near_duplicates(rows).collect())))
+    assert found[0] == found[1] == found[2] and max(r[2] for r in found[0]) > 30
+
+
+def test_recall_on_the_corpus(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = {r["doc_id"]: r["class_id"] for r in dedup.near_duplicates(d).collect()}
+    sets = {}
+    for r in d.collect():
+        sets.setdefault(r["text"] or "", (r["doc_id"], dict(zip(*(x.tolist() for x in dedup.elements(r["text"] or ""))))))
+    holders = {}
+    for n, (i, x) in enumerate(sets.values()):
+        for e in x:
+            holders.setdefault(e, []).append(n)
+    every, near, kept = list(sets.values()), 0, 0
+    for a, b in {p for h in holders.values() for p in itertools.combinations(h, 2)}:
+        (i, x), (j, y) = every[a], every[b]
+        low = sum(min(n, y.get(e, 0)) for e, n in x.items())
+        if low >= 0.7 * (sum(x.values()) + sum(y.values()) - low):
+            near, kept = near + 1, kept + (got[i] == got[j])
+    assert near > 20 and kept / near >= 0.97
+
+
 def test_components_of_a_long_chain(spark):
     pairs = [(i, i + 1) for i in range(60) if i != 30] + [(90, 80), (80, 85)]
     random.Random(1).shuffle(pairs)
@@ -177,6 +207,17 @@ def test_dedup_awkward_rows(spark):
     assert dedup.near_duplicates(empty(spark)).count() == 0 and dedup.keep_one(empty(spark)).count() == 0
 
 
+def test_keeping_one_of_repeated_ids(spark):
+    kind = "doc_id long, text string, _gone string, _key string, n int, `a.b` string, out map<string,int>"
+    rows = [(1, "A a", "z", None, 1, "x", {}), (1, "A a", "y", None, 2, "x", {"k": 1}), (1, "B b", "q", "k", 3, None, {}), (1, "B b", "q", "k", 3, None, {}), (2, "A a", "a", None, 0, "x", {}), (None, "A a", None, None, 0, None, {})]
+    df = spark.createDataFrame(rows, kind)
+    kept = dedup.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"], r["_gone"], r["n"]) for r in kept.collect()), key=str) == sorted([(1, "A a", "y", 2), (1, "B b", "q", 3), (None, "A a", None, 0)], key=str)
+    two = dedup.keep_one(df.select("doc_id", "text"))
+    assert sorted(map(tuple, two.collect()), key=str) == [(1, "A a"), (1, "B b"), (None, "A a")]
+
+
 def test_one_id_with_two_texts(spark):
     rows = [(1, "alpha beta gamma delta", None), (1, "entirely other words here", None), (2, "alpha beta gamma delta", None)]
     assert sorted(r["text"] for r in dedup.keep_one(docs(spark, rows)).collect()) == sorted({t for _, t, _ in rows})
@@ -517,6 +558,17 @@ def test_reader_finds_damage():
 # --- 9 and 10 classifiers
 
 
+def test_sample_has_the_smallest_hashes(spark):
+    ids = [*range(6000), *[5] * 3000, *range(9000, 9020), None]
+    rows = spark.createDataFrame([(i, None if i is None else "rare" if i >= 9000 else "many", "clash") for i in ids], "doc_id long, lang string, _label string")
+    got = {}
+    for r in common.sample_per_class(rows, "lang", 50).collect():
+        got.setdefault(r["lang"], []).append(r["doc_id"])
+    order = [r[0] for r in spark.range(6000).select("id").orderBy(F.shiftrightunsigned(F.xxhash64("id"), 11)).limit(50).collect()]
+    assert sorted(got["rare"]) == list(range(9000, 9020)) and sorted(got["many"]) == sorted(order)
+    assert common.sample_per_class(rows.where("false"), "lang", 50).count() == 0
+
+
 def test_factorisation_machine_identity():
     rng = np.random.default_rng(0)
     m = quality.Model(0.3, rng.normal(size=quality.WIDTH).astype(np.float32), rng.normal(size=(quality.WIDTH, 8)).astype(np.float32) * 0.1, np.zeros(quality.STATS), np.ones(quality.STATS))
@@ -594,14 +646,15 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
     df = spark.createDataFrame(rows, d.select(cols).schema)
     model = quality.fit(df, labels)
     rows = [r for r, s in zip(rows, model.score([r[1] or "" for r in rows])) if s >= 0.5]
-    keys = [set(dedup.band_keys(s, dedup.BANDS, dedup.ROWS).tolist()) if s is not None else {r[1]} for r, s in zip(rows, dartminhash.signatures([dedup.elements(r[1]) for r in rows], dedup.BANDS * dedup.ROWS))]
+    sketch = [None if s is None else s.astype(np.uint8) for s in dartminhash.signatures([dedup.elements(r[1]) for r in rows], dedup.BANDS * dedup.ROWS)]
+    keys = [set(dedup.band_keys(s.astype(np.uint64), dedup.BANDS, dedup.ROWS).tolist()) if s is not None else set() for s in sketch]
     root = list(range(len(rows)))
 
     def find(i):
         return i if root[i] == i else find(root[i])
 
     for i, j in itertools.combinations(range(len(rows)), 2):
-        if keys[i] & keys[j] or rows[i][1] == rows[j][1]:
+        if rows[i][1] == rows[j][1] or keys[i] & keys[j] and (sketch[i] == sketch[j]).mean() >= dedup.SIMILARITY:
             root[max(find(i), find(j))] = min(find(i), find(j))
     rows = [r for i, r in enumerate(rows) if find(i) == i]
     out = corpus_pipeline.run(spark, DATA).collect()
