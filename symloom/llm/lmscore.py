@@ -9,14 +9,20 @@ and P(w | h) = P(w) after an unseen h. The background is all of ``documents``; t
 label marks as good. A document's score is its loss per token under the target model less that under the background
 model: the lower, the more like the target. Every text starts after the begin piece.
 
+The models match in vocabulary, order and smoothing, not in size: the background counts all documents, since what is
+gathered has to grow with the corpus. The smaller target model leans more on its unigrams; that shifts the scores of
+all documents alike and keeps their order. A target document is scored by a model that has counted it.
+
 Every token of every document counts. Tasks count sparse pairs and the sums are combined before and after one shuffle
-whose size follows the corpus; the table has a row for each pair that occurs. Up to TABLE_ROWS rows each worker reads
-the table from the shared folder; beyond that, each document's distinct pairs are joined with it by a shuffle. Both
-ways give the same scores.
+whose size follows the corpus; the table has a row for each pair that occurs. It is cut into parts of about TABLE_ROWS
+rows by a hash of the pair, files in the shared folder. With one part, tasks read it and score whole documents; with more,
+the tokens of a document are cut alike and meet their part, each part spread over many tasks whatever its share of
+tokens, and the sums are added up. Losses are whole multiples of 1 / UNIT, so sums are exact and the number of parts and
+tasks changes no score.
 
 Defined results: a null text counts as empty; documents without tokens have null losses and score. Rows that repeat
 count and are scored each by itself. Documents with contradicting labels are no target. Without any target the target
-model is the uniform one.
+model is the uniform one. Only doc_id and text are read; other columns, of any name, don't matter.
 """
 
 from __future__ import annotations
@@ -30,13 +36,15 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symloom.llm.common import fresh_path, materialize, prepare, small, texts_of
+from symloom.llm.common import drop_at_exit, fresh_path, materialize, mix, prepare, small, texts_of
 from symloom.llm.spieces import encoder
 
 BEGIN = 1
 DISCOUNT = 0.75
-#: Rows of the pair table that every worker may hold, 16 bytes each.
-TABLE_ROWS = 8_000_000
+#: Rows of a part of the pair table, which every worker process may hold: 24 bytes each, and twice that while it is read.
+TABLE_ROWS = 4_000_000
+#: A loss of 1 in the whole numbers that are added up; 2e8 tokens of a document still fit.
+UNIT = float(1 << 30)
 #: Distinct pairs that a counting task holds before it hands them on.
 HELD = 2_000_000
 
@@ -54,7 +62,7 @@ def tokenized(docs: DataFrame, target: DataFrame, model: bytes) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("target"), pa.array(ids, pa.binary())], ["doc_id", "target", "ids"])
 
     good = target.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("_good", F.lit(True))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(good, 16), "doc_id", "left").select("doc_id", F.coalesce("_good", F.lit(False)).alias("target"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(good, 72), "doc_id", "left").select("doc_id", F.coalesce("_good", F.lit(False)).alias("target"), "text")
     rows = rows.mapInArrow(run, "doc_id long, target boolean, ids binary")
     path = fresh_path(spark, "tokens")
     rows.write.option("compression", "zstd").parquet(path)
@@ -114,8 +122,12 @@ class Margins:
         return -np.log(np.where(c > 0, both, single))
 
 
-def table(counts: DataFrame, vocabulary: int) -> DataFrame:
-    """key, target, background: the losses of every pair. The driver gets two rows for each piece, no more."""
+def part_of(key: np.ndarray, parts: int) -> np.ndarray:
+    return (mix(key.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+
+
+def table(counts: DataFrame, vocabulary: int, parts: int = 1) -> DataFrame:
+    """key, part, target, background: the losses of every pair. The driver gets two rows for each piece, no more."""
     models = [Margins(vocabulary), Margins(vocabulary)]
     names = ("target", "background")
     h, w = F.floor(F.col("key") / vocabulary), F.col("key") % vocabulary
@@ -130,25 +142,36 @@ def table(counts: DataFrame, vocabulary: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             key = b.column("key").to_numpy()
-            losses = [m.loss(key, b.column(c).to_numpy()) for m, c in zip(sent.value, names)]
-            yield pa.RecordBatch.from_arrays([b.column("key"), *(pa.array(x) for x in losses)], ["key", *names])
+            losses = [pa.array(np.rint(m.loss(key, b.column(c).to_numpy()) * UNIT).astype(np.int64)) for m, c in zip(sent.value, names)]
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(part_of(key, parts)), *losses], ["key", "part", *names])
 
-    return counts.mapInArrow(run, "key long, target double, background double")
+    return counts.mapInArrow(run, "key long, part long, target long, background long")
 
 
-_read: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+_read: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _table_of(path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys and their two losses, read once in a process."""
-    if path not in _read:
+def _table_of(path: str, part: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and their two losses of one part; a process holds the last one it read."""
+    if (path, part) not in _read:
         _read.clear()
-        fs, at = pafs.FileSystem.from_uri(path)
-        t = ds.dataset(at, filesystem=fs, format="parquet").to_table()
+        fs, at = pafs.FileSystem.from_uri(f"{path}/part={part}")
+        t = ds.dataset(at, filesystem=fs, format="parquet").to_table(["key", "target", "background"])
         key = t["key"].to_numpy()
         order = np.argsort(key)
-        _read[path] = key[order], np.stack([t[c].to_numpy()[order].astype(np.float32) for c in ("target", "background")])
-    return _read[path]
+        _read[path, part] = key[order], np.stack([t[c].to_numpy()[order] for c in ("target", "background")])
+    return _read[path, part]
+
+
+def _sums(keys: list[np.ndarray], path: str, part: int) -> list[np.ndarray]:
+    """For each array of pairs the sums of their losses, which are in one part."""
+    n = np.array([len(k) for k in keys])
+    if not n.sum():
+        return [np.zeros(len(keys), np.int64)] * 2
+    key, loss = _table_of(path, part)
+    at, ends = np.searchsorted(key, np.concatenate(keys)), np.cumsum(n)
+    upto = [np.concatenate(([0], np.cumsum(x[at]))) for x in loss]
+    return [x[ends] - x[ends - n] for x in upto]
 
 
 def score(docs: DataFrame, target: DataFrame, model: bytes, table_rows: int = TABLE_ROWS) -> DataFrame:
@@ -157,37 +180,46 @@ def score(docs: DataFrame, target: DataFrame, model: bytes, table_rows: int = TA
     vocabulary = len(encoder(model).pieces)
     tokens = tokenized(docs, target, model)
     counts = materialize(pairs(tokens, vocabulary), "pairs")
+    parts = max(1, -(-counts.count() // table_rows))
     path = fresh_path(spark, "losses")
-    made = table(counts, vocabulary)
-    made.write.parquet(path)
-    losses = spark.read.schema(made.schema).parquet(path)
-    if losses.count() <= table_rows:
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            key, loss = _table_of(path)
-            for b in batches:
-                keys = [_keys(x, vocabulary) for x in b.column("ids").to_pylist()]
-                n = np.array([len(k) for k in keys])
-                at = np.searchsorted(key, np.concatenate(keys)) if n.sum() else np.zeros(0, np.int64)
-                ends = np.cumsum(n)
-                sums = []
-                for x in loss:
-                    run_ = np.concatenate(([0.0], np.cumsum(x[at], dtype=np.float64)))
-                    sums.append(run_[ends] - run_[ends - n])
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n.astype(np.int64)), *(pa.array(s) for s in sums)], ["doc_id", "n_tokens", "t", "b"])
-
-        sums = tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, t double, b double")
-    else:
+    table(counts, vocabulary, parts).write.partitionBy("part").parquet(path)
+    drop_at_exit(spark, path)
 
-        def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for row, doc, ids in zip(b.column("row").to_pylist(), b.column("doc_id").to_pylist(), b.column("ids").to_pylist()):
-                    k, n = np.unique(_keys(ids, vocabulary), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([row] * len(k), pa.int64()), pa.array([doc] * len(k), pa.int64()), pa.array(k), pa.array(n)], ["row", "doc_id", "key", "n"])
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = [_keys(x, vocabulary) for x in b.column("ids").to_pylist()]
+            sums = _sums(keys, path, 0)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(k) for k in keys], pa.int64()), *map(pa.array, sums)], ["doc_id", "n_tokens", "t", "b"])
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each part of each document; the first is there even if it has no token."""
+        for b in batches:
+            rows = []
+            for row, doc, ids in zip(*(b.column(c).to_pylist() for c in ("row", "doc_id", "ids"))):
+                key = _keys(ids, vocabulary)
+                part = part_of(key, parts)
+                order = np.argsort(part, kind="stable")
+                ends = np.searchsorted(part[order], np.arange(parts + 1))
+                rows += [(p, row, doc, key[order[a:e]].tobytes()) for p, (a, e) in enumerate(zip(ends[:-1], ends[1:])) if e > a or not p]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["part", "row", "doc_id", "pairs"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            part = b.column("part").to_numpy()
+            ends = [*(np.flatnonzero(np.diff(part)) + 1), len(part)]
+            for a, e in zip([0, *ends[:-1]], ends):
+                if e > a:
+                    own = b.slice(a, e - a)
+                    keys = [np.frombuffer(x, np.int64) for x in own.column("pairs").to_pylist()]
+                    yield pa.RecordBatch.from_arrays([own.column("row"), own.column("doc_id"), pa.array([len(k) for k in keys], pa.int64()), *map(pa.array, _sums(keys, path, int(part[a])))], ["row", "doc_id", "n_tokens", "t", "b"])
+
+    if parts == 1:
+        sums = tokens.select("doc_id", "ids").mapInArrow(whole, "doc_id long, n_tokens long, t long, b long")
+    else:
         numbered = materialize(tokens.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "ids"), "numbered")
-        own = numbered.mapInArrow(explode, "row long, doc_id long, key long, n long").join(losses, "key")
-        sums = own.groupBy("row", "doc_id").agg(F.sum("n").alias("n_tokens"), F.sum(F.col("n") * F.col("target")).alias("t"), F.sum(F.col("n") * F.col("background")).alias("b"))
-        sums = sums.drop("row").unionByName(numbered.where("length(ids) = 0").select("doc_id", F.lit(0).cast("long").alias("n_tokens"), F.lit(None).cast("double").alias("t"), F.lit(None).cast("double").alias("b")))
-    n = F.nullif(F.col("n_tokens"), F.lit(0))
+        own = numbered.mapInArrow(cut, "part long, row long, doc_id long, pairs binary")
+        # rows of a part go to as many tasks as their hashes give, and a task reads each of its parts once
+        own = own.repartition("part", F.pmod(F.xxhash64("row"), F.lit(256))).sortWithinPartitions("part")
+        sums = own.mapInArrow(meet, "row long, doc_id long, n_tokens long, t long, b long").groupBy("row", "doc_id").agg(*(F.sum(c).alias(c) for c in ("n_tokens", "t", "b")))
+    n = F.nullif(F.col("n_tokens"), F.lit(0)) * F.lit(UNIT)
     return sums.select("doc_id", "n_tokens", (F.col("t") / n).alias("loss_target"), (F.col("b") / n).alias("loss_background"), ((F.col("t") - F.col("b")) / n).alias("score"))
