@@ -3,17 +3,20 @@
 ``store`` keeps the UTF-8 bytes of a text, filled with bytes 255 to a positive multiple of 576, as the samples of a
 mono 8-bit PCM WAV file in a binary column. ``features`` reads the stored bytes back and computes
 
-* a rational resampling by UP / DOWN with a polyphase windowed-sinc filter (only the taps of an output's phase run),
+* a rational resampling by UP / DOWN (2 / 3) with a polyphase windowed-sinc filter (only the taps of an output's phase run),
 * log-mel energies of overlapped Hann windows (FRAME samples, every HOP), in hundredths and rounded,
 * segments by hysteresis: they begin where the frame energy exceeds the upper threshold and last while it stays above
   the lower one; both are offsets in dB from the clip's own mean energy.
 
 Energies are cut into fixed-shape tensors of PATCH frames x MELS (the last is filled with the floor value), each with
-its time span. In Spark a tensor is an array of PATCH * MELS shorts; ``write_tensors`` stores the same as Arrow
-fixed-shape tensor columns in Parquet files of the shared folder.
+its time span. ``write_tensors`` stores them in Parquet files of the shared folder: a row for each patch with an Arrow
+fixed-shape tensor column and its span; the first row of a clip also has the clip's values and its segments.
+``read_tensors`` reads them back, a row for each clip; in Spark a tensor is an array of PATCH * MELS shorts. The query
+stores media, reads them, stores tensors, reads those, and its ``feature`` digests what was read last.
 
 Defined results: a null text counts as empty and becomes 576 bytes of 255. Equal texts give equal values. Frames are
-worked on BLOCK at a time, so the memory beyond the clip itself is bounded. Rows that repeat are treated each by itself.
+worked on BLOCK at a time, so the memory beyond the clip itself is bounded. Rows that repeat are treated each by itself,
+an empty table gives no rows. Only doc_id and text are read; other columns, of any name, don't matter.
 """
 
 from __future__ import annotations
@@ -32,11 +35,11 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symloom.llm.common import fresh_path, materialize, prepare, texts_of
+from symloom.llm.common import drop_at_exit, fresh_path, materialize, prepare, texts_of
 
 UNIT = 576
 RATE = 16_000
-UP, DOWN, TAPS = 1, 2, 16
+UP, DOWN, TAPS = 2, 3, 16
 FRAME, HOP, MELS, PATCH = 256, 128, 20, 32
 UPPER_DB, LOWER_DB = 1.0, -0.5
 BLOCK = 2048
@@ -137,8 +140,10 @@ class Features:
     segments: np.ndarray  # n x 2, seconds
 
     def digest(self) -> str:
+        """Counts, and a hash of tensors, spans and segments (times in microseconds)."""
         h = hashlib.sha256(self.tensors.tobytes())
-        h.update(np.rint(self.segments * 1e6).astype(np.int64).tobytes())
+        for times in (self.spans, self.segments):
+            h.update(np.rint(times * 1e6).astype("<i8").tobytes())
         return f"{len(self.tensors)}x{PATCH}x{MELS}:{len(self.segments)}:{h.hexdigest()}"
 
 
@@ -177,66 +182,152 @@ def store(docs: DataFrame) -> DataFrame:
     path = fresh_path(docs.sparkSession, "media")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
     rows.write.option("compression", "zstd").parquet(path)
+    drop_at_exit(docs.sparkSession, path)
     return docs.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def features(media: DataFrame) -> DataFrame:
-    """doc_id, segments and patches of every clip: the operator's whole output."""
-    prepare(media.sparkSession)
-    span = [("begin", pa.float64()), ("end", pa.float64())]
-    kinds = [pa.int64(), pa.list_(pa.struct(span)), pa.list_(pa.struct([*span, ("tensor", pa.list_(pa.int16()))]))]
+CLIP = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")
+_CLIP_KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
+_TENSOR = pa.fixed_shape_tensor(pa.int16(), (PATCH, MELS))
+_SCHEMA = pa.schema([("clip", pa.int64()), *zip(CLIP, _CLIP_KINDS), ("segments", pa.list_(pa.float64())), ("begin", pa.float64()), ("end", pa.float64()), ("tensor", _TENSOR)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for doc, data in zip(b.column("doc_id").to_pylist(), b.column("media")):
-                f = analyze(*samples_of(data.as_py()))
-                segments = [{"begin": x, "end": y} for x, y in f.segments.tolist()]
-                patches = [{"begin": x, "end": y, "tensor": t.ravel()} for (x, y), t in zip(f.spans.tolist(), f.tensors)]
-                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((doc, segments, patches), kinds)], ["doc_id", "segments", "patches"])
 
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, segments array<struct<begin double, end double>>, patches array<struct<begin double, end double, tensor array<short>>>")
+def _patches(first: int, clips: list[tuple], found: list[Features]) -> pa.Table:
+    """The rows of some clips; ``first`` is the number of the first one in its file."""
+    n = [len(f.spans) for f in found]
+    clip = np.repeat(np.arange(len(found)), n)
+    head = np.concatenate(([True], clip[1:] != clip[:-1]))
+    own = pa.array(np.where(head, clip, 0), mask=~head)  # the clip's values go to its first row
+    values = [pa.array(c, t).take(own) for c, t in zip(zip(*clips), _CLIP_KINDS)]
+    segments = pa.array([f.segments.ravel() for f in found], pa.list_(pa.float64())).take(own)
+    spans = np.concatenate([f.spans for f in found])
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([f.tensors for f in found]).ravel()), PATCH * MELS)
+    return pa.Table.from_arrays([pa.array(clip + first), *values, segments, pa.array(spans[:, 0]), pa.array(spans[:, 1]), pa.ExtensionArray.from_storage(_TENSOR, flat)], schema=_SCHEMA)
 
 
-def write_tensors(media: DataFrame) -> DataFrame:
-    """Stores the patches as Arrow fixed-shape tensors with their time spans: (path, rows) of each Parquet file."""
-    prepare(media.sparkSession)
-    home = fresh_path(media.sparkSession, "tensors")
-    kind = pa.fixed_shape_tensor(pa.int16(), (PATCH, MELS))
-    schema = pa.schema([("doc_id", pa.int64()), ("begin", pa.float64()), ("end", pa.float64()), ("tensor", kind)])
+#: Samples whose features are held before they are written.
+HELD = 8 << 20
+
+
+def write_tensors(media: DataFrame) -> tuple[DataFrame, str]:
+    """Reads ``store``'s column and writes the tensor files: (path, clips) of each, and their folder. Only files that finished
+    tasks list count, so tasks that were lost or made again leave no trace."""
+    spark = media.sparkSession
+    prepare(spark)
+    home = fresh_path(spark, "tensors")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, at = pafs.FileSystem.from_uri(home)
         fs.create_dir(at, recursive=True)
-        name, rows, writer = f"{at}/{uuid.uuid4().hex}.parquet", 0, None
+        name, writer, done, size = f"{at}/{uuid.uuid4().hex}.parquet", None, 0, 0
+        clips: list[tuple] = []
+        found: list[Features] = []
+
+        def flush() -> None:
+            nonlocal writer, done, size
+            if clips:
+                writer = writer or pq.ParquetWriter(name, _SCHEMA, filesystem=fs, compression="zstd")
+                writer.write_table(_patches(done, clips, found))
+                done, size = done + len(clips), 0
+                clips.clear()
+                found.clear()
+
         for b in batches:
-            for doc, data in zip(b.column("doc_id").to_pylist(), b.column("media")):
-                f = analyze(*samples_of(data.as_py()))
-                flat = pa.FixedSizeListArray.from_arrays(pa.array(f.tensors.ravel()), PATCH * MELS)
-                table = pa.Table.from_arrays([pa.array([doc] * len(f.spans), pa.int64()), pa.array(f.spans[:, 0]), pa.array(f.spans[:, 1]), pa.ExtensionArray.from_storage(kind, flat)], schema=schema)
-                writer = writer or pq.ParquetWriter(name, schema, filesystem=fs)
-                writer.write_table(table)
-                rows += len(table)
+            for doc, n, data in zip(b.column("doc_id").to_pylist(), b.column("n_bytes").to_pylist(), b.column("media")):
+                data = data.as_py()
+                payload, rate = samples_of(data)
+                clips.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest()))
+                found.append(analyze(payload, rate))
+                size += len(payload)
+                if size >= HELD:
+                    flush()
+        flush()
         if writer:
             writer.close()
-            yield pa.RecordBatch.from_pydict({"path": [name], "rows": [rows]})
+            yield pa.RecordBatch.from_pydict({"path": [name], "clips": [done]})
+
+    files = materialize(media.select("doc_id", "n_bytes", "media").mapInArrow(run, "path string, clips long"), "tensor-files")
+    if files.limit(1).count():
+        drop_at_exit(spark, home)
+    return files, home
+
+
+def _clips(fs: pafs.FileSystem, path: str, told: int) -> Iterator[tuple[dict, Features]]:
+    """The clips of one tensor file, patch rows put together again."""
+    seen, head, parts = 0, None, []
+
+    def made() -> tuple[dict, Features]:
+        tensors, spans = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        return head, Features(tensors, spans, np.array(head["segments"]).reshape(-1, 2))
+
+    with fs.open_input_file(path) as f:
+        for b in pq.ParquetFile(f).iter_batches(batch_size=1024):
+            clip = b.column("clip").to_numpy()
+            tensor = b.column("tensor").storage.flatten().to_numpy().reshape(-1, PATCH, MELS)
+            spans = np.stack([b.column("begin").to_numpy(), b.column("end").to_numpy()], 1)
+            starts = np.flatnonzero(np.concatenate(([True], clip[1:] != clip[:-1])))
+            for a, e in zip(starts.tolist(), [*starts[1:].tolist(), len(clip)]):
+                if clip[a] == seen:  # a new clip
+                    if head is not None:
+                        yield made()
+                    head, parts, seen = {c: b.column(c)[a].as_py() for c in (*CLIP, "segments")}, [], seen + 1
+                parts.append((tensor[a:e], spans[a:e]))
+    if head is not None:
+        yield made()
+    if seen != told:
+        raise ValueError(f"{path}: {seen} clips, {told} were written")
+
+
+def _read(files: DataFrame, home: str, schema: str, of) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = pafs.FileSystem.from_uri(home)
+        for b in batches:
+            for path, told in zip(b.column("path").to_pylist(), b.column("clips").to_pylist()):
+                held, size = [], 0
+                for clip in _clips(fs, path, told):
+                    held.append(clip)
+                    size += clip[0]["payload_bytes"]
+                    if size >= HELD or len(held) == 512:
+                        yield of(held)
+                        held, size = [], 0
+                if held:
+                    yield of(held)
+
+    n = files.count()
+    return files.repartitionByRange(max(1, min(n, 4096)), "path").mapInArrow(run, schema)
+
 
-    return materialize(media.select("doc_id", "media").mapInArrow(run, "path string, rows long"), "tensor-files")
+_CLIP_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
+
+
+def read_tensors(files: DataFrame, home: str) -> DataFrame:
+    """The clips of tensor files with their segments and patches: the operator's whole output."""
+    span = [("begin", pa.float64()), ("end", pa.float64())]
+    kinds = [*_CLIP_KINDS, pa.list_(pa.struct(span)), pa.list_(pa.struct([*span, ("tensor", pa.list_(pa.int16()))]))]
+
+    def of(clips: list[tuple[dict, Features]]) -> pa.RecordBatch:
+        rows = []
+        for head, f in clips:
+            segments = [{"begin": x, "end": y} for x, y in f.segments.tolist()]
+            patches = [{"begin": x, "end": y, "tensor": t.ravel()} for (x, y), t in zip(f.spans.tolist(), f.tensors)]
+            rows.append((*(head[c] for c in CLIP), segments, patches))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], [*CLIP, "segments", "patches"])
+
+    return _read(files, home, _CLIP_SCHEMA + ", segments array<struct<begin double, end double>>, patches array<struct<begin double, end double, tensor array<short>>>", of)
+
+
+def features(media: DataFrame) -> DataFrame:
+    """The clips of ``store``'s column with segments and patches, by way of tensor files."""
+    return read_tensors(*write_tensors(media))
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature of every row."""
-    media = store(docs)
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature of every row; n_patches
+    and n_segments as well. The features are those of the stored tensors."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[list] = [[] for _ in range(6)]
-            for data in b.column("media"):
-                data = data.as_py()
-                payload, rate = samples_of(data)
-                values = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), analyze(payload, rate).digest())
-                for o, v in zip(out, values):
-                    o.append(v)
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *(pa.array(o, k) for o, k in zip(out, kinds))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+    def of(clips: list[tuple[dict, Features]]) -> pa.RecordBatch:
+        rows = [(*(head[c] for c in CLIP), f.digest(), len(f.tensors), len(f.segments)) for head, f in clips]
+        kinds = (*_CLIP_KINDS, pa.string(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], [*CLIP, "feature", "n_patches", "n_segments"])
 
-    return media.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return _read(*write_tensors(store(docs)), _CLIP_SCHEMA + ", feature string, n_patches long, n_segments long", of)

@@ -6,20 +6,25 @@ d(q, p) from a pivot p is at least |d(q, p) - d(v, p)| from v. The index keys ev
 its distance to it, range-partitioned and sorted by (pivot, distance, id): a pivot that owns a third of all rows, or
 a vector that repeats as often, is split over many partitions. It is written to the shared folder.
 
-Each query first searches the annulus that holds it, which gives a score that its k best reach for sure. Then every
-run of ANNULUS index rows meets blocks of queries: nearest runs first, those beyond the bound are skipped,
-the bound tightens as better scores come in. Only scores that can be among a query's k best leave a task; a window
-that keeps k rows before it shuffles picks the best. Pivots come from a sample of PIVOT_SAMPLE rows (the smallest
-hashes of ids); the sample steers the speed only, results are exact.
+Each query first searches the batch of index rows that holds it, which gives a score that its k best reach for sure.
+Then every cell of a slab of the index meets blocks of queries, nearest cells first. In a cell a query starts at the
+annulus (ANNULUS sorted rows) of its own distance to the pivot and expands to both sides; a side stops at the first
+annulus whose bound is beyond the query's reach, since those behind it are farther still. The reach shrinks as better
+scores come in. Only scores that can be among a query's k best leave a task; a window that keeps k rows before it
+shuffles picks the best. Pivots come from a sample of PIVOT_SAMPLE rows (the smallest hashes of ids); the sample steers
+the speed only, results are exact. In many dimensions without clusters all distances are alike and no annulus is
+beyond the reach: then this is brute force in blocks.
 
 Defined results: vectors that are null or hold a null or non-finite component take no part. Shorter vectors count
 as padded with zeros. Rows that repeat an id count each by itself; a query skips all rows of its own id. Ties go to
-the smaller id. A query with fewer than k candidates returns them all. Sums beyond 2**53 are formed in int64.
+the smaller id. A query with fewer than k candidates returns them all. Sums beyond 2**53 are formed in int64; a vector
+whose squared length is 2**62 or more raises an error, so no sum wraps. Other columns, of any name, don't matter.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +33,13 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from symloom.llm.common import fresh_path, materialize, prepare
+from symloom.llm.common import drop_at_exit, fresh_path, materialize, prepare
 
 K = 5
 PIVOTS = 48
 PIVOT_SAMPLE = 4096
-#: Rows of one sorted run that is bounded as a whole, and queries that a task holds at once.
-ANNULUS = 256
+#: Rows of one annulus, which is bounded as a whole, and queries that a task holds at once.
+ANNULUS = 64
 QUERY_BLOCK = 2048
 #: Index rows of one partition, and of what a task holds at once.
 PARTITION_ROWS = 40_000
@@ -125,6 +130,76 @@ def _best(space: Space, q: np.ndarray, qid: np.ndarray, v: np.ndarray, vid: np.n
     return _merge(empty, np.full((len(q), k), np.iinfo(np.int64).max), s, ids, k)
 
 
+@dataclass
+class Cell:
+    """Index rows of one pivot, sorted by their distance to it."""
+
+    pivot: int
+    dist: np.ndarray
+    v: np.ndarray
+    vid: np.ndarray
+
+    def __post_init__(self) -> None:
+        self.starts = np.arange(0, len(self.dist), ANNULUS)
+        self.ends = np.minimum(self.starts + ANNULUS, len(self.dist))
+        self.lo, self.hi = self.dist[self.starts], self.dist[self.ends - 1]
+
+
+def cells(pivot: np.ndarray, dist: np.ndarray, v: np.ndarray, vid: np.ndarray) -> list[Cell]:
+    ends = [*(np.flatnonzero(np.diff(pivot)) + 1).tolist(), len(pivot)]
+    return [Cell(int(pivot[a]), dist[a:e], v[a:e], vid[a:e]) for a, e in zip([0, *ends[:-1]], ends) if e > a]
+
+
+@dataclass
+class Front:
+    """A block of queries: what they have found so far and how far they still have to look."""
+
+    space: Space
+    q: np.ndarray
+    qid: np.ndarray
+    floor: np.ndarray
+    k: int
+    touched: int = 0  # pairs of query and row that were multiplied
+
+    def __post_init__(self) -> None:
+        self.to_pivots, self.reach = self.space.query(self.q), self.space.reach(self.q, self.floor)
+        self.s, self.i = np.full((len(self.q), self.k), _NONE), np.full((len(self.q), self.k), np.iinfo(np.int64).max)
+
+    def visit(self, cell: Cell, run: int, go: np.ndarray) -> None:
+        """Queries ``go`` against one annulus."""
+        a, e = cell.starts[run], cell.ends[run]
+        self.touched += len(go) * int(e - a)
+        s, i = _best(self.space, self.q[go], self.qid[go], cell.v[a:e], cell.vid[a:e], self.k)
+        self.s[go], self.i[go] = _merge(self.s[go], self.i[go], s, i, self.k)
+        better = go[self.s[go, self.k - 1] > self.floor[go]]
+        if len(better):
+            self.floor[better] = self.s[better, self.k - 1]
+            self.reach[better] = self.space.reach(self.q[better], self.floor[better])
+
+    def expand(self, cell: Cell) -> None:
+        """All queries over one cell, from their own annuli outwards until each side stops."""
+        d = self.to_pivots[:, cell.pivot]
+        own = np.clip(np.searchsorted(cell.lo, d, "right") - 1, 0, len(cell.lo) - 1)
+        for step, first in ((1, own), (-1, own - 1)):
+            at, live = first.copy(), np.arange(len(d))
+            while True:
+                live = live[(at[live] >= 0) & (at[live] < len(cell.lo))]
+                low = np.maximum(0, np.maximum(cell.lo[at[live]] - d[live], d[live] - cell.hi[at[live]]))
+                live = live[low <= self.reach[live]]  # the others have stopped on this side
+                if not len(live):
+                    break
+                order = live[np.argsort(at[live], kind="stable")]
+                ends = np.flatnonzero(np.diff(at[order])) + 1
+                for go in np.split(order, ends):
+                    self.visit(cell, int(at[go[0]]), go)
+                at[live] += step
+
+    def search(self, found: list[Cell]) -> None:
+        low = np.array([np.maximum(0, np.maximum(c.lo[0] - (d := self.to_pivots[:, c.pivot]), d - c.hi[-1])).mean() for c in found])
+        for n in np.argsort(low, kind="stable"):
+            self.expand(found[n])
+
+
 def build(vectors: DataFrame) -> tuple[DataFrame, Space, int]:
     """The index (pivot, dist, vec_id, v) as written to the shared folder, its space, and its rows."""
     spark = vectors.sparkSession
@@ -132,6 +207,8 @@ def build(vectors: DataFrame) -> tuple[DataFrame, Space, int]:
     v = materialize(vectors, "vectors")
     sq = F.aggregate("v", F.lit(0.0), lambda a, e: a + e.cast("double") * e)
     n, dim, top, widest = v.agg(F.count("*"), F.max(F.size("v")), F.max(sq), F.max(F.array_max(F.transform("v", F.abs)))).first()
+    if (top or 0) >= 2.0**62:
+        raise ValueError("a vector is too long for 64-bit inner products")
     some = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOT_SAMPLE).toArrow()
     dim = dim or 0
     space = Space(farthest(_dense(some["v"], dim), PIVOTS) if n else np.zeros((0, 0)), dim, top or 0.0, widest or 0)
@@ -151,6 +228,14 @@ def build(vectors: DataFrame) -> tuple[DataFrame, Space, int]:
 
 def search(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows of ``vectors`` (as from ``integers``) for each query row."""
+    hits = scanned(vectors, is_query, k).where("query_id is not null").drop("work")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def scanned(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
+    """query_id, vec_id, score of what may be among the k best, and for each slab a row whose ``work`` is the number of pairs
+    (query, row) that it multiplied."""
     spark = vectors.sparkSession
     index, space, _ = build(vectors)
     sent, dim = spark.sparkContext.broadcast(space), space.dim
@@ -166,6 +251,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
 
     path = fresh_path(spark, "queries")
     index.select("vec_id", "v", is_query.alias("ask")).mapInArrow(first, "vec_id long, v array<long>, floor long").write.parquet(path)
+    drop_at_exit(spark, path)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -180,39 +266,21 @@ def search(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
 
     def meet(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         """A slab of the index against all queries."""
-        space = sent.value
-        v, vid = _dense(rows["v"], dim), rows["vec_id"].to_numpy()
-        pivot, dist = rows["pivot"].to_numpy(), rows["dist"].to_numpy()
-        cut = np.flatnonzero(np.diff(pivot)) + 1
-        starts = np.unique(np.concatenate([np.concatenate([np.arange(a, e, ANNULUS) for a, e in zip(np.append(0, cut), np.append(cut, len(v)))])]))
-        ends = np.append(starts[1:], len(v))
-        lo, hi, own = dist[starts], dist[ends - 1], pivot[starts]
+        own = cells(rows["pivot"].to_numpy(), rows["dist"].to_numpy(), _dense(rows["v"], dim), rows["vec_id"].to_numpy())
         fs, at = pafs.FileSystem.from_uri(path)
+        work = 0
         for q in ds.dataset(at, filesystem=fs, format="parquet").to_batches(batch_size=QUERY_BLOCK):
             if not len(q):
                 continue
-            qv, qid, floor = _dense(q.column("v"), dim), q.column("vec_id").to_numpy(), q.column("floor").to_numpy().copy()
-            d = space.query(qv)[:, own]
-            low = np.maximum(0, np.maximum(lo - d, d - hi))  # queries x runs
-            reach = space.reach(qv, floor)
-            s, i = np.full((len(qv), k), _NONE), np.full((len(qv), k), np.iinfo(np.int64).max)
-            for r in np.argsort(low.min(0), kind="stable"):
-                go = np.flatnonzero(low[:, r] <= reach)
-                if not len(go):
-                    continue
-                ns, ni = _best(space, qv[go], qid[go], v[starts[r] : ends[r]], vid[starts[r] : ends[r]], k)
-                s[go], i[go] = _merge(s[go], i[go], ns, ni, k)
-                better = s[go, k - 1] > floor[go]
-                if better.any():
-                    g = go[better]
-                    floor[g] = s[g, k - 1]
-                    reach[g] = space.reach(qv[g], floor[g])
-            good = (s > _NONE) & (s >= floor[:, None])
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, good.sum(1))), pa.array(i[good]), pa.array(s[good])], ["query_id", "vec_id", "score"])
-
-    found = index.mapInArrow(scan, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+            front = Front(sent.value, _dense(q.column("v"), dim), q.column("vec_id").to_numpy(), q.column("floor").to_numpy().copy(), k)
+            front.search(own)
+            work += front.touched
+            good = (front.s > _NONE) & (front.s >= front.floor[:, None])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(front.qid, good.sum(1))), pa.array(front.i[good]), pa.array(front.s[good]), pa.nulls(good.sum(), pa.int64())], names)
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (None, None, None, work)], names)
+
+    names = ["query_id", "vec_id", "score", "work"]
+    return index.mapInArrow(scan, "query_id long, vec_id long, score long, work long")
 
 
 ORACLE = """

@@ -63,14 +63,27 @@ def test_topk_small_and_empty(spark):
     assert topk.search(topk.integers(few.where("false")), F.col("vec_id") % 50 == 0).count() == 0
 
 
-def test_topk_prunes(monkeypatch):
+def test_topk_stops_early(spark):
+    """Rows that were multiplied, of all that could be: clusters are left out, and so are far annuli of the own cluster."""
     rng = np.random.default_rng(0)
-    v = np.concatenate([rng.integers(-9, 9, (50, 4)), rng.integers(-9, 9, (50, 4)) + 5000])
-    space = topk.Space(v[[0, 60]], 4, float((v * v).sum(1).max()), 5010)
-    d = space.to_pivots(space.lift(v))
-    q = v[:1]
-    far = space.reach(q, np.array([np.sort(v[1:] @ q[0])[-5]]))
-    assert np.abs(space.query(q)[0, 1] - d[50:, 1]).min() >= 0 and far.shape == (1,)
+    centre = rng.normal(size=(30, 6)) * 20
+    v = [(centre[i % 30] * (1 + 0.2 * rng.random()) + 0.02 * rng.normal(size=6)).tolist() for i in range(6000)]
+    df = topk.integers(spark.createDataFrame(list(enumerate(v)), "vec_id long, embedding array<double>"))
+    ask = F.col("vec_id") % 50 == 0
+    work = topk.scanned(df, ask, 5).agg(F.sum("work")).first()[0]
+    assert 0 < work < 0.1 * 120 * 6000
+    got = sorted(map(tuple, topk.search(df, ask, 5).collect()))
+    assert got == brute_topk(list(enumerate(v)), 50, 5)
+    space = topk.Space(np.array([[0, 0]]), 2, 1e6, 1000)
+    rows = np.stack([np.arange(1000), np.zeros(1000, int)], 1)  # a line: one cell, annuli far from the query are never seen
+    d = space.to_pivots(space.lift(rows))[:, 0]
+    order = np.argsort(d)
+    cell = topk.cells(np.zeros(1000, int), d[order], rows[order], order)
+    front = topk.Front(space, rows[[999]], np.array([999]), np.array([topk._NONE]), 3)
+    front.search(cell)
+    assert front.i.tolist() == [[998, 997, 996]] and front.touched < 500
+    with pytest.raises(ValueError):
+        topk.search(topk.integers(spark.createDataFrame([(0, [1e9, 1e9])], "vec_id long, embedding array<double>")), ask)
 
 
 # --- 2 near-duplicates
@@ -319,21 +332,73 @@ def test_hysteresis():
     assert len(media.hysteresis(np.zeros(3), 8, 4)) == 0
 
 
+def slow_features(payload):
+    """Tensors, spans and segments by the definitions, one frame and one sum at a time."""
+    x = [(v - 128) / 128 for v in payload]
+    bank = media.filter_bank().astype(float)
+    up, taps = bank.shape
+    y = [sum(bank[i * media.DOWN % up, k] * x[i * media.DOWN // up - k] for k in range(taps) if 0 <= i * media.DOWN // up - k < len(x)) for i in range(-(-len(x) * up // media.DOWN))]
+    rate = media.RATE * up / media.DOWN
+    n = max(1, -(-max(0, len(y) - media.FRAME) // media.HOP) + 1)
+    y += [0.0] * ((n - 1) * media.HOP + media.FRAME - len(y))
+    t = np.arange(media.FRAME)
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * t / media.FRAME)
+    waves = np.exp(-2j * np.pi * np.outer(np.arange(media.FRAME // 2 + 1), t) / media.FRAME)
+    hz = np.arange(media.FRAME // 2 + 1) * rate / media.FRAME
+    top = 2595 * np.log10(1 + rate / 2 / 700)
+    edge = [700 * (10 ** (top * i / (media.MELS + 1) / 2595) - 1) for i in range(media.MELS + 2)]
+    grid, energy = [], []
+    for i in range(n):
+        f = np.array(y[i * media.HOP : i * media.HOP + media.FRAME]) * window
+        power = abs(waves @ f) ** 2
+        mel = [sum(p * max(0, min((h - edge[m]) / (edge[m + 1] - edge[m]), (edge[m + 2] - h) / (edge[m + 2] - edge[m + 1]))) for p, h in zip(power, hz)) for m in range(media.MELS)]
+        grid.append([100 * np.log(v + media.FLOOR) for v in mel])
+        energy.append(10 * np.log10((f * f).mean() + media.FLOOR))
+    grid += [[round(100 * np.log(media.FLOOR))] * media.MELS] * (-n % media.PATCH)
+    mean, step, segments, begin, high = sum(energy) / n, media.HOP / rate, [], None, False
+    for i, e in enumerate([*energy, -1e9]):
+        if e >= mean + media.LOWER_DB:
+            begin, high = i if begin is None else begin, high or e >= mean + media.UPPER_DB
+        elif begin is not None:
+            segments += [(begin * step, i * step)] if high else []
+            begin, high = None, False
+    spans = [(a * step, (min(a + media.PATCH, n) - 1) * step + media.FRAME / rate) for a in range(0, n, media.PATCH)]
+    return np.array(grid).reshape(-1, media.PATCH, media.MELS), spans, segments
+
+
+def test_features_equal_the_definitions(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = [None, "", "short", prose(rng, 400), "~" * 700 + prose(rng, 300) + " " * 2500 + "Zz!" * 600, "é🙂" * 1200]
+    rows = docs(spark, [(i, t, None) for i, t in enumerate(texts)])
+    digests = {r["doc_id"]: r for r in media.digests(rows).collect()}
+    monkeypatch.setattr(media, "HELD", 1000)  # clips are written in several blocks
+    clips = {r["doc_id"]: r for r in media.features(media.store(rows)).collect()}
+    assert sorted(clips) == sorted(digests) == list(range(len(texts)))
+    for i, t in enumerate(texts):
+        r = clips[i]
+        payload = media.payload_of(t or "")[0]
+        tensors, spans, segments = slow_features(payload)
+        got = np.array([p["tensor"] for p in r["patches"]], np.int16).reshape(-1, media.PATCH, media.MELS)
+        assert got.shape == tensors.shape and np.abs(got - tensors).max() < 2  # single precision, hundredths
+        assert np.allclose([(p["begin"], p["end"]) for p in r["patches"]], spans) and np.allclose(np.array([(x["begin"], x["end"]) for x in r["segments"]]).reshape(-1, 2), np.array(segments).reshape(-1, 2))
+        f = media.Features(got, np.array(spans), np.array([(x["begin"], x["end"]) for x in r["segments"]]).reshape(-1, 2))
+        assert digests[i]["feature"] == f.digest() and (digests[i]["n_patches"], digests[i]["n_segments"]) == (len(spans), len(segments))
+    assert any(clips[i]["segments"] for i in clips) and len({r["feature"] for r in digests.values()}) == len(texts) - 1
+
+
 def test_tone_lands_in_its_band_and_tensors_are_stored(spark):
     import pyarrow.parquet as pq
 
     t = np.arange(16000) / media.RATE
     clip = (128 + 100 * np.sin(2 * np.pi * 1000 * t)).astype(np.uint8).tobytes()
     f = media.analyze(clip, media.RATE)
-    bank = media.mel_bank(media.RATE / 2)
-    want = bank[int(np.argmin(np.abs(np.fft.rfftfreq(media.FRAME, 2 / media.RATE) - 1000)))].argmax()
+    rate = media.RATE * media.UP / media.DOWN
+    want = media.mel_bank(rate)[int(np.argmin(np.abs(np.fft.rfftfreq(media.FRAME, 1 / rate) - 1000)))].argmax()
     assert f.tensors[0, 5].argmax() == want
-    stored = media.store(docs(spark, [(1, "hello " * 900, None), (2, None, None)]))
-    files = media.write_tensors(stored).collect()
-    tables = [pq.read_table(r["path"]) for r in files]
-    assert sum(r["rows"] for r in files) == sum(map(len, tables)) and str(tables[0].schema.field("tensor").type).startswith("extension<arrow.fixed_shape_tensor")
-    whole = media.features(stored).collect()
-    assert sum(len(r["patches"]) for r in whole) == sum(map(len, tables)) and all(len(p["tensor"]) == media.PATCH * media.MELS for r in whole for p in r["patches"])
+    files, _ = media.write_tensors(media.store(docs(spark, [(1, "hello " * 9000, None), (2, None, None)])))
+    tables = [pq.read_table(r["path"]) for r in files.collect()]
+    assert str(tables[0].schema.field("tensor").type).startswith("extension<arrow.fixed_shape_tensor") and sum(r["clips"] for r in files.collect()) == 2
+    assert sum(map(len, tables)) > 2 and media.features(media.store(empty(spark))).count() == 0
 
 
 # --- 5 URLs
