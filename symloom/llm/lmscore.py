@@ -50,7 +50,7 @@ HELD = 2_000_000
 
 
 def tokenized(docs: DataFrame, target: DataFrame, model: bytes) -> DataFrame:
-    """doc_id, target (boolean), ids (uint32 as bytes) of every row, written to the shared folder."""
+    """doc_id, target (boolean), ids (int32 as bytes) of every row, written to the shared folder."""
     spark = docs.sparkSession
     prepare(spark)
     sent = spark.sparkContext.broadcast(model)
@@ -58,8 +58,8 @@ def tokenized(docs: DataFrame, target: DataFrame, model: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(sent.value)
         for b in batches:
-            ids = [np.fromstring(e.ids_text(t), np.uint32, sep=",").tobytes() if t else b"" for t in texts_of(b)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("target"), pa.array(ids, pa.binary())], ["doc_id", "target", "ids"])
+            ids = pa.array([e.packed(t) for t in texts_of(b)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("target"), ids], ["doc_id", "target", "ids"])
 
     good = target.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("_good", F.lit(True))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(good, 72), "doc_id", "left").select("doc_id", F.coalesce("_good", F.lit(False)).alias("target"), "text")
@@ -71,7 +71,7 @@ def tokenized(docs: DataFrame, target: DataFrame, model: bytes) -> DataFrame:
 
 def _keys(ids: bytes, vocabulary: int) -> np.ndarray:
     """history x vocabulary + token of every token."""
-    t = np.frombuffer(ids, np.uint32).astype(np.int64)
+    t = np.frombuffer(ids, np.int32).astype(np.int64)
     return np.concatenate(([BEGIN], t[:-1])) * vocabulary + t if len(t) else t
 
 

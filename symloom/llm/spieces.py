@@ -7,7 +7,8 @@ pairs best score first (leftmost on ties), falls back to bytes, and projects eac
 A piece never reaches from a non-blank over a following blank symbol (checked when the model is read), nor over a
 character that no longer piece holds. So a text falls apart into chunks that are encoded alone, and a chunk's ids are
 remembered; the memory has two generations of CHUNKS chunks and is bounded. If a model breaks that rule, the whole
-text is one chunk.
+text is one chunk. Where every id tells its bytes (a piece by its length, a byte by itself), the spans of a text come
+from its ids and the alignment in a few array steps.
 
 Defined results: a null text counts as empty and has no ids. Rows that repeat are encoded each by itself.
 """
@@ -18,6 +19,7 @@ import hashlib
 import heapq
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,8 +31,9 @@ from pyspark.sql import functions as F
 from symloom.llm.common import prepare, texts_of
 
 SPACE = "▁"
-CHUNKS = 250_000
+CHUNKS = 400_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
+_NEVER = float("inf")
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -139,7 +142,6 @@ class Normalizer:
             del out[len(out) - len(space) :], source[-len(space) :]
         return out.decode("utf-8", "replace"), [*source, end]
 
-
     def aligned(self, text: str) -> tuple[str, np.ndarray]:
         """``normalize``; where the model's map is empty and nothing is squeezed, without a step for each character:
         all bytes of a character come from its first one."""
@@ -148,15 +150,20 @@ class Normalizer:
             norm, source = self.normalize(text)
             return norm, np.array(source, np.int64)
         b = np.frombuffer(data, np.uint8)
-        first = np.maximum.accumulate(np.where(b & 0xC0 != 0x80, np.arange(len(b)), 0))
-        source = np.repeat(first, np.where(b == 32, 3, 1))
+        kind = np.int32 if len(data) < 1 << 30 else np.int64
+        source = np.arange(len(b) + 1, dtype=kind)
+        if not data.isascii():
+            source[:-1] = np.maximum.accumulate(np.where(b & 0xC0 != 0x80, source[:-1], 0))
+        if b" " in data:
+            source = np.repeat(source, np.where(np.append(b, 0) == 32, 3, 1))
         norm = data.replace(b" ", SPACE.encode()).decode()
-        head = [0, 0, 0] if self.dummy_prefix else []
-        return SPACE * bool(head) + norm, np.concatenate([head, source, [len(data)]]).astype(np.int64)
+        if self.dummy_prefix:
+            return SPACE + norm, np.concatenate([np.zeros(3, kind), source])
+        return norm, source
 
 
 class _Memo(dict):
-    """chunk -> what ``make`` says, in two generations."""
+    """chunk -> its ids, packed, in two generations."""
 
     def __init__(self, make):
         self.make, self.old = make, {}
@@ -203,30 +210,35 @@ class Encoder:
         apart = all(SPACE not in p.lstrip(SPACE) for p in longer)
         line = "" if any("\n" in p for p in longer) else "\n"
         self.chunks = re.compile(f"{SPACE}*[^{SPACE}{line}]+|{SPACE}+" + (f"|{line}" if line else "") if apart else "(?s:.+)").findall
-        self.memo = _Memo(lambda chunk: ",".join(map(str, self._ids(chunk))))
-        self.placed_memo = _Memo(self._placed)
-        # decimal id -> its text; a byte above 127 is kept as a lone surrogate until all of its character is there
-        self.texts = {str(i): p.replace(SPACE, " ") if k == NORMAL else bytes([int(p[3:5], 16)]).decode("ascii", "surrogateescape") if k == BYTE else " ⁇ " if k == UNKNOWN else "" for i, (p, k) in enumerate(zip(self.pieces, self.types))}
+        self.memo = _Memo(lambda chunk: array("i", self._ids(chunk)).tobytes())
+        self.loss = {p: -x for p, x in self.score.items()}
+        # id -> its text; a byte above 127 is kept as a lone surrogate until all of its character is there
+        self.texts = [p.replace(SPACE, " ") if k == NORMAL else bytes([int(p[3:5], 16)]).decode("ascii", "surrogateescape") if k == BYTE else " ⁇ " if k == UNKNOWN else "" for p, k in zip(self.pieces, self.types)]
+        self.decimals = [str(i) for i in range(len(self.pieces))]
+        # id -> the normalised bytes that it stands for, and the byte of a byte piece (-1 for others)
+        self.sizes = np.array([1 if k == BYTE else len(p.encode()) for p, k in zip(self.pieces, self.types)], np.int32)
+        self.bytes = np.full(len(self.pieces), -1, np.int32)
+        for b, i in enumerate(self.byte_ids if fallback else ()):
+            self.bytes[i] = b
 
     def merge(self, chunk: str) -> list[str]:
         """The pieces of a chunk, each a normal piece or one character."""
-        s, score = list(chunk), self.score
+        s, loss = list(chunk), self.loss
         if len(s) > 40:
             return self._merge_long(s)
-        pairs = [score.get(a + b) for a, b in zip(s, s[1:])]
-        while True:
-            best, at = None, -1
-            for i, x in enumerate(pairs):
-                if x is not None and (best is None or x > best):
-                    best, at = x, i
-            if best is None:
+        pairs = [loss.get(a + b, _NEVER) for a, b in zip(s, s[1:])]
+        while pairs:
+            best = min(pairs)
+            if best == _NEVER:
                 return s
+            at = pairs.index(best)  # the leftmost
             s[at] += s.pop(at + 1)
             del pairs[at]
             if at:
-                pairs[at - 1] = score.get(s[at - 1] + s[at])
+                pairs[at - 1] = loss.get(s[at - 1] + s[at], _NEVER)
             if at < len(pairs):
-                pairs[at] = score.get(s[at] + s[at + 1])
+                pairs[at] = loss.get(s[at] + s[at + 1], _NEVER)
+        return s
 
     def _merge_long(self, s: list[str]) -> list[str]:
         """The same with a heap and a linked list, for chunks of any length."""
@@ -259,20 +271,27 @@ class Encoder:
         return [self.byte_ids[b] for b in piece.encode("utf-8", "replace")] if self.fallback else [self.unknown]
 
     def _ids(self, chunk: str) -> list[int]:
-        return [i for p in self.merge(chunk) for i in self._units(p)]
+        pieces = self.merge(chunk)
+        try:
+            return [self.id_of[p] for p in pieces]
+        except KeyError:
+            return [i for p in pieces for i in self._units(p)]
 
     def normalized(self, text: str) -> str:
         if self.normalizer.identity:
             return (SPACE if self.normalizer.dummy_prefix else "") + text.replace(" ", SPACE) if text else ""
         return self.normalizer.normalize(text)[0]
 
-    def ids_text(self, text: str) -> str:
-        """The ids as decimals with commas."""
-        return ",".join(map(self.memo.__getitem__, self.chunks(self.normalized(text))))
+    def packed(self, text: str) -> bytes:
+        """The ids as 32-bit numbers of the machine's order."""
+        return b"".join(map(self.memo.__getitem__, self.chunks(self.normalized(text))))
 
     def ids(self, text: str) -> list[int]:
-        out = self.ids_text(text)
-        return list(map(int, out.split(","))) if out else []
+        return array("i", self.packed(text)).tolist()
+
+    def ids_text(self, ids: list[int]) -> str:
+        """Decimals with commas."""
+        return ",".join(map(self.decimals.__getitem__, ids))
 
     def encode(self, text: str) -> list[tuple[int, str, int, int]]:
         """(id, piece, first and past-last source byte) of every piece. A character's byte pieces share its span."""
@@ -285,37 +304,31 @@ class Encoder:
                 at = end
         return out
 
-    def _placed(self, chunk: str) -> tuple[str, np.ndarray, np.ndarray, int]:
-        """The ids of a chunk as text, first and past-last byte of each piece inside it, and the chunk's bytes."""
-        ids, begin, end, at = [], [], [], 0
-        for p in self.merge(chunk):
-            to, units = at + len(p.encode("utf-8", "replace")), self._units(p)
-            ids += units
-            begin += [at] * len(units)
-            end += [to] * len(units)
-            at = to
-        return ",".join(map(str, ids)), np.array(begin, np.int64), np.array(end, np.int64), at
-
-    def placed(self, text: str) -> tuple[str, np.ndarray]:
-        """The ids of ``encode`` as decimals with commas, and its spans (pieces x 2), with the memory of chunks."""
+    def placed(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of ``encode`` and its spans (pieces x 2), with the memory of chunks."""
+        if not self.fallback:  # an unknown piece doesn't tell its bytes
+            found = self.encode(text)
+            return np.array([p[0] for p in found], np.int32), np.array([p[2:] for p in found], np.int64).reshape(-1, 2)
         norm, source = self.normalizer.aligned(text)
-        parts = list(map(self.placed_memo.__getitem__, self.chunks(norm)))
-        if not parts:
-            return "", np.zeros((0, 2), np.int64)
-        size = [len(p[1]) for p in parts]
-        base = np.repeat(np.cumsum([0, *(p[3] for p in parts[:-1])]), size)
-        at = np.stack([np.concatenate([p[k] for p in parts]) + base for k in (1, 2)], 1)
-        return ",".join(p[0] for p in parts), source[at]
-
-    def decode_text(self, ids: str) -> str:
-        """``decode`` of decimals with commas; text without broken characters takes the short way."""
+        ids = np.frombuffer(b"".join(map(self.memo.__getitem__, self.chunks(norm))), np.int32)
+        ends = np.cumsum(self.sizes[ids])
+        begins = ends - self.sizes[ids]
+        at = np.flatnonzero(self.bytes[ids] >= 0)
+        if len(at):  # the bytes of a character share its span
+            lead = self.bytes[ids[at]] & 0xC0 != 0x80
+            first = at[np.flatnonzero(lead)[np.cumsum(lead) - 1]]
+            head = self.bytes[ids[first]]
+            begins[at] = begins[first]
+            ends[at] = begins[first] + 1 + (head >= 0xC0) + (head >= 0xE0) + (head >= 0xF0)
+        return ids, np.stack([source[begins], source[ends]], 1)
+
+    def decode_fast(self, ids: list[int]) -> str:
+        """``decode``; text without broken characters takes the short way."""
         if not ids:
             return ""
-        parts = ids.split(",")
-        head = int(parts[0])
-        if not (self.types[head] == NORMAL and self.pieces[head].startswith(SPACE) and self.normalizer.dummy_prefix and not self.normalizer.squeeze):
-            return self.decode(list(map(int, parts)))
-        out = "".join(map(self.texts.__getitem__, parts))[1:]
+        if not (self.types[ids[0]] == NORMAL and self.pieces[ids[0]].startswith(SPACE) and self.normalizer.dummy_prefix and not self.normalizer.squeeze):
+            return self.decode(ids)
+        out = "".join(map(self.texts.__getitem__, ids))[1:]
         try:
             out.encode()
             return out
@@ -324,7 +337,7 @@ class Encoder:
         try:
             return out.encode("utf-8", "surrogateescape").decode()
         except UnicodeDecodeError:
-            return self.decode(list(map(int, parts)))
+            return self.decode(ids)
 
     def decode(self, ids: list[int]) -> str:
         out, run, first = [], bytearray(), True
@@ -407,9 +420,10 @@ def digests(docs: DataFrame, model: bytes, with_spans: bool = False) -> DataFram
             for t in texts_of(b):
                 x, at = e.placed(t)
                 spans_.append(hashlib.sha256(at.astype("<i8").tobytes()).hexdigest())
-                n.append(x.count(",") + 1 if x else 0)
-                ids.append(hashlib.sha256(x.encode()).hexdigest())
-                back.append(hashlib.sha256(e.decode_text(x).encode()).hexdigest())
+                x = x.tolist()
+                n.append(len(x))
+                ids.append(hashlib.sha256(e.ids_text(x).encode()).hexdigest())
+                back.append(hashlib.sha256(e.decode_fast(x).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids), pa.array(back), pa.array(spans_)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"])
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string")
