@@ -16,7 +16,8 @@ join, each round is written to the shared folder, and rounds grow with the logar
 
 Defined results: a null text counts as empty; texts without any word are linked only to equal texts. Documents with
 a null id take no part (class null, no links). Rows that repeat an id and a text are copies of each other. One id with
-several texts is judged by each text. Only ``doc_id`` and ``text`` are read.
+several texts is judged by each text. An empty table gives no rows. Only ``doc_id`` and ``text`` are read; other columns, of
+any name, don't matter.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from symloom.llm.common import DIGIT, OTHER, char_classes, codes, fresh_path, materialize, mix, prepare, small, texts_of, word_hashes
+from symloom.llm.common import DIGIT, OTHER, char_classes, codes, drop_at_exit, fresh_path, materialize, mix, prepare, small, texts_of, word_hashes
 from symloom.llm.dartminhash import signatures
 
 BANDS, ROWS = 32, 8  # of neighbouring coordinates; as many again go across
@@ -174,6 +175,7 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> tuple[Data
     spark = docs.sparkSession
     path = fresh_path(spark, "signed")
     signed(docs, bands, rows).write.parquet(path)
+    drop_at_exit(spark, path)
     s = spark.read.parquet(path)
     texts = materialize(s.groupBy("text_key").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.any_value(F.struct("keys", "sketch")).alias("signed")).select("text_key", "node", "copies", "signed.*"), "texts")
     # one id may stand for several texts, so a node is (smallest id, text)

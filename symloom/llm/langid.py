@@ -7,7 +7,8 @@ A batch of texts is scored by two matrix products: presence x landmarks, kernel
 
 Defined results: a null text, or one without any letter, is ``und`` with score 0; so is every text if there is
 nothing to learn from. Ties between languages go to the first in alphabetical order. Rows that repeat count and
-are answered each by itself; other columns are never read.
+are answered each by itself; other columns, of any name, are never read and are kept by the filter. An empty table
+gives no rows.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ row tells of the text's size in characters, bytes and lines.
 
 Defined results: a null text counts as empty, and an empty one is scored like any other (by the bias and zero
 features). With labels of one kind only the score is the share of label 1; with none it is 0.5. Labels that
-contradict each other for one document: the smallest counts. Rows that repeat are answered each by itself.
+contradict each other for one document: the smallest counts. Rows that repeat are answered each by itself. Only doc_id and
+text are read; other columns, of any name, don't matter and are kept by the filter. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,13 +24,18 @@ from pyspark.sql import functions as F
 from symloom.llm.common import OTHER, SPACE, char_classes, codes, prepare, remainder, sample_per_class, texts_of, word_hashes
 
 BITS = 12
-STATS = 16
+STATS = 17
 WIDTH = (1 << BITS) + STATS
 FACTORS = 8
 #: Bound of the learning sample: this many documents of each label.
 PER_LABEL = 2500
 
 
+def _bytes(c: np.ndarray) -> int:
+    """The length in UTF-8."""
+    return int(len(c) + (c > 0x7F).sum() + (c > 0x7FF).sum() + (c > 0xFFFF).sum())
+
+
 def features(text: str, out: np.ndarray) -> None:
     """Fills one row of WIDTH zeros."""
     if not text:
@@ -46,7 +52,7 @@ def features(text: str, out: np.ndarray) -> None:
     lines = text.count("\n") + 1
     out[1 << BITS :] = [
         *share, again, 1 - (count > 0).sum() / n, count.max() / n, min(2.0, len(c) / n / 10), np.log1p(len(c)) / 12,
-        np.log1p(lines) / 8, (c > 127).mean(), text.count("!") / n, text.count("|") / n,
+        np.log1p(lines) / 8, np.log1p(_bytes(c)) / 12, (c > 127).mean(), text.count("!") / n, text.count("|") / n,
     ]
 
 

@@ -10,7 +10,8 @@ remembered; the memory has two generations of CHUNKS chunks and is bounded. If a
 text is one chunk. Where every id tells its bytes (a piece by its length, a byte by itself), the spans of a text come
 from its ids and the alignment in a few array steps.
 
-Defined results: a null text counts as empty and has no ids. Rows that repeat are encoded each by itself.
+Defined results: a null text counts as empty and has no ids. Rows that repeat are encoded each by itself. Only doc_id
+and text are read; other columns, of any name, don't matter. An empty table gives no rows.
 """
 
 from __future__ import annotations

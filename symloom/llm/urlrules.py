@@ -10,7 +10,8 @@ expressions. An allowing pattern beats a blocking one; no match means allow.
 The corpus statistics are the counts of the rules' own tokens, so what reaches the driver is bounded by the rules.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path, fits no host rule and is allowed
-unless a pattern matches its text. Rows that repeat are judged each by itself. Of equal rules the first counts.
+unless a pattern matches its text. Rows that repeat are judged each by itself. Of equal rules the first counts. Only
+page_id and url are read; other columns, of any name, don't matter. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symloom.llm.common import prepare
+from symloom.llm.common import prepare, small
 
 #: (host, path prefix, verdict)
 HOST_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -93,8 +94,10 @@ def build(urls: DataFrame, patterns: list[str], column: str = "url") -> Index:
     wanted = sorted({t for p in patterns for t in literals(p)})
     rarity: dict[str, int] = dict.fromkeys(wanted, 0)
     if wanted:
-        found = F.array_intersect(F.split(F.translate(F.col(column), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z0-9]+"), F.array(*map(F.lit, wanted)))
-        rarity |= {r["t"]: r["count"] for r in urls.select(F.explode(found).alias("t")).groupBy("t").count().collect()}
+        low = F.translate(F.col(column), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+        held = urls.select(F.explode(F.array_distinct(F.split(low, "[^a-z0-9]+"))).alias("t"))
+        own = urls.sparkSession.createDataFrame([(t,) for t in wanted], "t string")
+        rarity |= {r["t"]: r["count"] for r in held.join(small(own, 96 + max(map(len, wanted)), len(wanted)), "t").groupBy("t").count().collect()}
     by_token: dict[str, list[int]] = {}
     always, rules = [], []
     for i, p in enumerate(patterns):

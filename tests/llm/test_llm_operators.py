@@ -423,6 +423,52 @@ def test_url_rules_equal_trying_all(spark):
     assert urlrules.judge(df.where("false")).count() == 0
 
 
+def fits(pattern, url):
+    """A matcher of its own: characters one by one, ``*`` by trying every place."""
+    url, p = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in url), "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in pattern.removeprefix("@@"))
+    anchor = "label" if p.startswith("||") else "start" if p.startswith("|") else ""
+    p = p.lstrip("|")
+    end = p.endswith("|")
+    p = p[:-1] if end else p
+
+    def at(i, j):
+        if j == len(p):
+            return i == len(url) or not end
+        if p[j] == "*":
+            return any(at(n, j + 1) for n in range(i, len(url) + 1))
+        if p[j] == "^":
+            if i == len(url):
+                return at(i, j + 1)
+            return not (url[i] in "abcdefghijklmnopqrstuvwxyz0123456789_.%-") and at(i + 1, j + 1)
+        return i < len(url) and url[i] == p[j] and at(i + 1, j + 1)
+
+    if anchor == "start":
+        return at(0, 0)
+    if not anchor:
+        return any(at(i, 0) for i in range(len(url) + 1))
+    head, sep, rest = url.partition("://")
+    if not sep or any(c in "/?#" for c in head):
+        return False
+    host = len(head) + 3
+    stop = next((i for i in range(host, len(url)) if url[i] in "/?#"), len(url))
+    return any(at(i, 0) for i in range(host, stop + 1) if i == host or url[i - 1] == ".")
+
+
+def test_generated_url_rules_equal_another_matcher(spark):
+    rng = random.Random(21)
+    words = ["ads", "track", "x1", "img", "a", "banner", "shop", "zz9"]
+    piece = lambda: rng.choice([*words, "*", "^", ".", "/", "?", "=", "-"])
+    rules = list(dict.fromkeys(rng.choice([*[""] * 8, "|", *["||"] * 3, "@@", "@@||"]) + piece() + rng.choice(words) + "".join(piece() for _ in range(rng.randrange(1, 5))) + rng.choice(["", "", "|", "^"]) for _ in range(400)))
+    rules = [r for r in rules if r.removeprefix("@@").strip("|")]
+    urls = [rng.choice(["http://", "https://", "", "HTTP://"]) + ".".join(rng.choice(words) for _ in range(rng.randrange(1, 4))) + "".join(rng.choice("/?=.-&") + rng.choice(words).upper() for _ in range(rng.randrange(0, 5))) for _ in range(250)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    out = urlrules.judge(df, [], rules).collect()
+    for r in out:
+        hits = [p.startswith("@@") for p in rules if fits(p, urls[r["page_id"]])]
+        assert r["verdict"] == ("allow" if not hits or any(hits) else "block"), urls[r["page_id"]]
+    assert {r["verdict"] for r in out} == {"allow", "block"} and max(r["candidates"] for r in out) < len(rules)
+
+
 # --- 6 SentencePiece
 
 
@@ -614,15 +660,48 @@ def test_warc_round_trip(spark):
     assert {r["record_type"] for r in warc.scan(*long).collect()} == {"response"}
 
 
-def test_reader_finds_damage():
+def test_many_repeats_are_salted(spark, monkeypatch):
+    html = ["", "a", "b"]
+    df = spark.createDataFrame([(i, None, html[min(i % 5, 2)]) for i in range(200)], "page_id long, url string, html string")
+    want = sorted(map(tuple, warc.round_trip(df).collect()))
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    assert sorted(map(tuple, warc.round_trip(df).collect())) == want and sum(r[3] == "response" for r in want) == 3
+
+
+def gz(data):
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return z.compress(data) + z.flush()
+
+
+@pytest.mark.parametrize("step", [1, 7, 1 << 16])
+def test_reader_goes_by_pieces(monkeypatch, step):
+    monkeypatch.setattr(warc, "BLOCK", step)
+    bodies = [b"", b"x", b"\r\n\r\n", bytes(range(256)) * (400 if step > 1 else 4)]
+    data = b"".join(warc.encode(i, "http://x", x, None, False) for i, x in enumerate(bodies))
+    sizes = [len(p) for m in warc.members(io.BytesIO(data)) for p in m]
+    assert max(sizes) <= step
+    assert [r.payload for r in warc.read(io.BytesIO(data))] == bodies
+    assert [(r.payload, r.length) for r in warc.read(io.BytesIO(data), bodies=False)] == [(None, len(x)) for x in bodies]
+
+
+def test_reader_finds_damage(spark):
     good = [warc.encode(i, "http://x", b"body %d" % i, None, False) for i in range(3)] + [warc.encode(9, "http://x", b"body 1", 1, True)]
     assert [r.payload for r in warc.read(io.BytesIO(b"".join(good)))] == [b"body 0", b"body 1", b"body 2", b""]
     with pytest.raises(ValueError):
         list(warc.read(io.BytesIO(b"".join(good)[:-5])))
     text = zlib.decompress(good[0], 31)
-    for broken in (text.replace(b"body 0", b"body X"), text.replace(b"Content-Length: 8", b"Content-Length: 9", 2), b"WARC/1.1\r\n"):
-        with pytest.raises((ValueError, KeyError)):
-            warc.parse(broken if broken != text else b"x")
+    length = text[text.rindex(b"Content-Length:", 0, text.index(b"\r\n\r\n")) :].split(b"\r\n")[0]
+    broken = [text.replace(b"body 0", b"body X"), text.replace(length, length[:-1] + b"%d" % ((int(length[-1:]) + 1) % 10)), text[:-1], text + b"x", b"WARC/1.1\r\n", text.replace(b"WARC/1.1", b"WARX/1.1"), text.replace(b"sha1:", b"sha1:A", 1)]
+    assert len({*broken, text}) == 8
+    for x in broken:
+        with pytest.raises(ValueError):
+            list(warc.read(io.BytesIO(gz(x))))
+    kind = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+    rows = [(1, 3, "D", "response", None), (2, 3, "D", "revisit", 1)]
+    assert warc.checked(spark.createDataFrame(rows, kind)).count() == 2
+    for bad in ((3, 3, "E", "revisit", 1), (3, 4, "D", "revisit", 1), (3, 3, "D", "revisit", 2)):
+        with pytest.raises(ValueError):
+            warc.checked(spark.createDataFrame([*rows, bad], kind))
 
 
 # --- 9 and 10 classifiers
@@ -665,6 +744,49 @@ def test_classifiers_on_held_out_rows(spark):
     assert np.mean([r["predicted"] == good[r["doc_id"]] for r in held]) > 0.96 and all(r["predicted"] == (r["score"] >= 0.5) for r in out)
 
 
+def test_language_kernel_equals_brute_force(spark, monkeypatch):
+    """Sets of n-grams, their kernel, and ridge regression on the landmarks in its dual form, without the map."""
+    monkeypatch.setattr(langid, "LANDMARKS", 30)
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    rows = [r for r in d.collect() if r["text"]]
+
+    def grams(text):
+        out, blank, keep = set(), True, " "
+        for c in text.lower():
+            k = common.char_classes()[ord(c)]
+            if k in (common.LOWER, common.UPPER):
+                keep, blank = keep + c, False
+            elif not blank:
+                keep, blank = keep + " ", True
+        keep += " "
+        for n in (1, 2, 3):
+            for i in range(len(keep) - n + 1):
+                h = (ord(keep[i]) * 40503 + 1) % 2**32
+                for c in keep[i + 1 : i + n]:
+                    h = h * 16777619 % 2**32 ^ ord(c)
+                out.add((h + (n if n > 1 else 0)) * 2654435761 % 2**32 >> 32 - langid.BITS)
+        return out
+
+    sets = {r["doc_id"]: grams(r["text"]) for r in rows}
+    k = lambda a, b: len(a & b) / (len(a) * len(b)) ** 0.5
+    learnt = sorted((r["lang"], r["doc_id"]) for r in rows if r["lang"] and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1 and any(c.isalpha() for c in r["text"]))
+    langs = sorted({x for x, _ in learnt})
+    marks = [i for x in langs for i in [i for y, i in learnt if y == x][: max(4, 30 // len(langs))]]
+    knm = np.array([[k(sets[i], sets[j]) for j in marks] for _, i in learnt])
+    kmm = np.array([[k(sets[i], sets[j]) for j in marks] for i in marks])
+    w = np.array([1 / sum(y == x for y, _ in learnt) for x, _ in learnt])
+    target = np.array([[1.0 if x == y else -1.0 for y in langs] for x, _ in learnt])
+    beta = np.linalg.solve((knm * w[:, None]).T @ knm + 1e-2 / len(langs) * kmm, (knm * w[:, None]).T @ target)
+    out = {r["doc_id"]: r for r in langid.predict(d, langid.fit(d)).collect()}
+    for r in rows:
+        s = np.array([k(sets[r["doc_id"]], sets[j]) for j in marks]) @ beta
+        p = np.exp(langid._SHARP * (s - s.max()))
+        got = out[r["doc_id"]]
+        if got["lang_pred"] != "und":
+            assert got["lang_pred"] == langs[int(s.argmax())] or np.sort(s)[-1] - np.sort(s)[-2] < 1e-3
+            assert abs(got["score"] - (p / p.sum()).max()) < 5e-3
+
+
 def test_classifiers_ignore_held_out_labels(spark):
     rows = [(i, "the and of that with this" if i % 2 else "der die und das mit nicht", "en" if i % 2 else "de") for i in range(60)]
     flip = [(i, t, "xx" if zlib.crc32(str(i).encode()) % 3 == 1 else lang) for i, t, lang in rows]
@@ -739,5 +861,24 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
         assert stage(spark, df, DATA).columns == df.columns
 
 
+def test_pipeline_stages_take_awkward_rows(spark):
+    import corpus_pipeline
+
+    rows = [*AWKWARD, *((100 + i, f"Das ist der Text und noch ein Wort {i}", "de") for i in range(8)), *((200 + i, f"This is the text and one more word {i}", "en") for i in range(8))]
+    d = docs(spark, rows).withColumns({"_gone": F.lit(1), "n": F.lit("x"), "quality": F.lit(0), "lang_pred": F.lit("z"), "bucket": F.lit(None).cast("int")})
+    got = {}
+    for name, stage in corpus_pipeline.STAGES:
+        for some in (d, d.where("false"), d.where("text is null"), d.where("doc_id = 5")):
+            out = stage(spark, some, DATA)
+            assert name == "packing" or out.columns == d.columns
+            got.setdefault(name, []).append(out.collect())
+        assert got[name][1] == []
+    ids = lambda name, k=0: sorted((r["doc_id"] for r in got[name][k]), key=str)
+    assert not {1, 2, 3} & set(ids("language")) and {*range(100, 108), *range(200, 208)} <= set(ids("language")) and ids("language", 2) == []
+    assert len(got["quality"][2]) in (0, 1) and len(got["quality"][3]) in (0, 2)
+    assert ids("near_duplicates").count(5) == 1 and 2 not in ids("near_duplicates") and ids("near_duplicates", 2) == [1] and ids("near_duplicates", 3) == [5] and None in ids("near_duplicates")
+    assert [(r["n_tokens"], r["bucket"]) for r in got["packing"][2]] == [(0, None)] and len(got["packing"][3]) == 2
+
+
 def test_shared_folder_is_the_configured_one(spark):
     assert common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
