@@ -13,22 +13,38 @@ from symloom.llm import common, dedup, langid, packing, quality
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language isn't recognised."""
+    """Drops documents whose language isn't recognised: null texts, those without a letter, and low scores.
+
+    Each row is judged by its text alone, so rows that repeat stay or go together. Without any row to learn from all go;
+    an empty table stays empty. Columns of any name are kept as they are.
+    """
     return langid.keep(docs, langid.fit(docs))
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the quality classifier takes for junk."""
+    """Drops documents that the quality classifier takes for junk.
+
+    Each row is judged by its text alone, a null text like an empty one; ties (a score of 0.5, as without any label) stay.
+    An empty table stays empty. Columns of any name are kept as they are.
+    """
     return quality.keep(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of near-duplicates."""
+    """Keeps one document of each class of near-duplicates: the smallest id, and of rows that repeat it the first by content.
+
+    Null texts count as empty and are copies of each other; rows without an id stay. An empty table stays empty. Columns of
+    any name are kept as they are.
+    """
     return dedup.keep_one(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts every remaining document into length buckets and batches."""
+    """Puts every remaining document into length buckets and batches, in the order of ids.
+
+    Rows that repeat are packed each by itself; texts without a token have a row without bucket. An empty table gives no
+    rows.
+    """
     return packing.pack(docs)
 
 
