@@ -1,4 +1,5 @@
-"""Command line: ``python -m symloom.cli COMMAND ...`` over the tree in --root. Text by default, --json for JSON.
+"""Command line: ``python -m symloom.cli COMMAND ...`` over the tree in --root. Text by default, --json for JSON, --markdown for
+Markdown where a command has a report.
 
 Exit codes: 2 for a symbol that isn't found, 3 for a comparison that can't be made, 1 for other errors.
 """
@@ -6,20 +7,24 @@ Exit codes: 2 for a symbol that isn't found, 3 for a comparison that can't be ma
 from __future__ import annotations
 
 import argparse
-import json
+import subprocess
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from symloom.operators import diff, graph, query
-from symloom.plans import render
-from symloom.project import Project
+from symloom.operators import diff, graph, query, review
+from symloom.plans import render, report
+from symloom.project import Project, diff_files
+from symloom.sources import git
+from symloom.storage import stored
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="symloom")
     p.add_argument("--root", default=".")
     p.add_argument("--json", action="store_true")
+    p.add_argument("--markdown", action="store_true")
     sub = p.add_subparsers(dest="command", required=True)
 
     def add(name: str, *positional: str, **options: object) -> None:
@@ -47,9 +52,11 @@ def parser() -> argparse.ArgumentParser:
     add("query", "sql", max_cell_width=80)
     add("cochange", commits=500, min_support=2, max_files=30)
     add("context", "symbol", tokens=1500, depth=10)
-    add("map", tokens=4000, depth=5, focus=None)
-    add("diff", "spec")
+    add("map", tokens=4000, depth=5, focus=None, write=False)
+    add("diff", "spec", context=0, lines=False, no_color=False, group=False, no_callers=False)
+    add("files", "old", "new", context=0, lines=False, no_color=False, group=False)
     add("review", "spec", top=5)
+    add("benchmark", spec="HEAD~1", symbol=None)
     return p
 
 
@@ -78,14 +85,16 @@ def run(args: argparse.Namespace, spark: SparkSession) -> tuple[int, str]:
     if c == "explore":
         return 0, "\n\n".join(map(show, p.explore(args.path, args.max_entries)))
     if c == "outline":
-        return 0, show(p.outline(args.path))
+        return 0, show(p.outline(args.path)) if args.json else report.outline_text(p.outline(args.path))
     if c == "where":
-        return 0, show(p.where(args.symbol, args.include_tests))
+        rows = p.where(args.symbol, args.include_tests)
+        return 0, show(rows) if args.json else report.where_text(args.symbol, rows)
     if c == "blast":
-        found, callers = p.blast(args.symbol, args.depth)
-        return (2, f"{args.symbol} isn't defined here") if found.isEmpty() else (0, show(found) + "\n\n" + show(callers))
+        told = report.blast_document(args.symbol, *p.blast(args.symbol, args.depth))
+        return (2, f"{args.symbol} isn't defined here") if told is None else (0, report.to_json(told) if args.json else report.blast_markdown(told))
     if c == "duplicates":
-        return 0, show(p.duplicates(args.min_lines, args.max_group))
+        rows = p.duplicates(args.min_lines, args.max_group)
+        return 0, show(rows) if args.json else report.duplicates_text(rows, graph.duplicates_totals(p.tables()[0], args.min_lines, args.max_group))
     if c == "query":
         rows: DataFrame = p.sql(args.sql)
         return 0, render.to_json(rows) if args.json else render.markdown(rows, args.max_cell_width)
@@ -93,17 +102,28 @@ def run(args: argparse.Namespace, spark: SparkSession) -> tuple[int, str]:
         return 0, show(p.cochange(args.commits, args.min_support, args.max_files))
     if c == "context":
         bundle = p.context(args.symbol, args.tokens, args.depth)
-        return (2, f"{args.symbol} isn't defined here") if bundle is None else (0, json.dumps(bundle, default=str, indent=1))
+        return (2, f"{args.symbol} isn't defined here") if bundle is None else (0, report.to_json(bundle, True) if args.json else report.context_markdown(bundle))
     if c == "map":
-        return 0, render.map_markdown(*p.map(args.tokens, args.depth, args.focus))
+        options = {"budget": args.tokens, "depth": args.depth, "focus": args.focus}
+        return 0, p.write_map(**options) if args.write else render.map_markdown(*p.map(**options))
+    if c == "benchmark":
+        rows, median = p.benchmark(args.spec, args.symbol)
+        return 0, report.to_json({"queries": rows, "median_ratio": median}) if args.json else report.benchmark_text(rows, median)
     try:
-        if c == "diff":
-            shown = diff.visible(p.diff(args.spec))
-            return 0, render.to_json(shown) if args.json else render.diff_text(diff.file_sections(shown), shown)
+        if c in ("diff", "files"):
+            context = args.context if args.lines or args.context else None
+            changes = p.diff(args.spec, context) if c == "diff" else diff_files(spark, args.old, args.new, context)
+            base, head = git.parse_spec(args.spec) if c == "diff" else (args.old, args.new)
+            shown, pats = stored(diff.visible(changes), "changes"), stored(diff.patterns(changes), "patterns")
+            callers = diff.breaking_callers(shown, p.tables()[1]) if c == "diff" and not args.no_callers and p.indexed() else None
+            told = report.diff_document(shown, pats, base, head, callers, diff.groups(shown, pats) if args.group else None)
+            return 0, report.to_json(told) if args.json else report.diff_markdown(told, args.lines) if args.markdown else report.diff_terminal(told, args.lines, not args.no_color and sys.stdout.isatty())
         changes, misses = p.review(args.spec)
-        top = changes.where("kind <> 'import'").select("change", "kind", "name", "file", "line", "breaking", "impact").limit(args.top)
-        return 0, show(top) + "\n\n" + show(misses)
-    except Exception as error:  # a ref or a repository that isn't there
+        changes = stored(changes, "changes")
+        order = [F.round("impact", 12).desc(), "file", "line", "name", "change"]
+        told = report.review_document(changes.orderBy(*order), review.file_deltas(changes), misses, args.spec, args.top)
+        return 0, report.to_json(told) if args.json else report.review_markdown(told)
+    except (subprocess.CalledProcessError, OSError, ValueError) as error:  # a ref, a file or a repository that isn't there
         return 3, f"{type(error).__name__}: {str(error).splitlines()[0] if str(error) else ''}"
 
 

@@ -163,42 +163,51 @@ def file_sections(shown: DataFrame) -> DataFrame:
 
 
 def breaking_callers(shown: DataFrame, R: DataFrame, limit: int = 100) -> DataFrame:
-    """Breaking entries with their first ``limit`` callers, split into those in changed files and others.
+    """Breaking entries with their first ``limit`` callers: how many are in changed files, and the list of the others
+    as (file, line, name).
 
     Callers match on the name or its ``::`` tail, which is an equi-join on the name as written or on that tail.
     """
-    bad = shown.where("breaking").select("name", "kind", "file", "line", "reason").withColumn("entry", F.xxhash64("name", "kind", "file", "line"))
+    bad = shown.where("breaking").select("name", "kind", "file", "line", "reason")
     touched = shown.select(F.col("file").alias("caller_file")).distinct().withColumn("in_diff", F.lit(True))
-    whole = R.select(F.col("name").alias("key"), F.col("file").alias("caller_file"), "line", "seq")
-    tails = R.where(F.col("name").contains("::")).select(S.qualified_tail(F.col("name")).alias("key"), F.col("file").alias("caller_file"), "line", "seq")
+    told = (F.col("file").alias("caller_file"), F.col("line").alias("at"), "seq", F.coalesce("caller", F.lit("")).alias("by"))
+    whole = R.select(F.col("name").alias("key"), *told)
+    tails = R.where(F.col("name").contains("::")).select(S.qualified_tail(F.col("name")).alias("key"), *told)
     uses = bad.select(F.col("name").alias("key")).distinct().join(whole.unionByName(tails), "key")
-    n = F.row_number().over(Window.partitionBy("key").orderBy("caller_file", "line", "seq"))
+    n = F.row_number().over(Window.partitionBy("key").orderBy("caller_file", "at", "seq"))
     uses = uses.withColumn("n", n).where(F.col("n") <= limit).join(touched, "caller_file", "left").groupBy("key")
-    uses = uses.agg(F.count_if("in_diff").alias("callers_in_diff"), F.count_if(F.col("in_diff").isNull()).alias("external_callers"))
-    zero = F.lit(0).cast("long")
+    other = F.when(F.col("in_diff").isNull(), F.struct("n", F.col("caller_file").alias("file"), F.col("at").alias("line"), F.col("by").alias("name")))
+    uses = uses.agg(F.count_if("in_diff").alias("callers_in_diff"), F.array_sort(F.collect_list(other)).alias("others"))
     out = bad.join(uses, bad.name == uses.key, "left")
-    return out.select("name", "kind", "file", "line", "reason", F.coalesce("callers_in_diff", zero).alias("callers_in_diff"), F.coalesce("external_callers", zero).alias("external_callers"))
+    external = F.transform(F.coalesce("others", F.array().cast("array<struct<n:int,file:string,line:bigint,name:string>>")), lambda x: F.struct(x["file"].alias("file"), x["line"].alias("line"), x["name"].alias("name")))
+    return out.select("name", "kind", "file", "line", "reason", F.coalesce("callers_in_diff", F.lit(0).cast("long")).alias("callers_in_diff"), F.size(external).cast("long").alias("external_callers"), external.alias("external"))
 
 
 def groups(shown: DataFrame, pats: DataFrame) -> DataFrame:
-    """(by, key, entities, files): members of patterns, then the rest by file; formatting drops out only there."""
+    """(by, key, entities, files, label): members of patterns, then the rest by file; formatting drops out only there.
+
+    A pattern is labelled by its name and files, a file by its first three entities.
+    """
     rows = shown.where("not cross_file_move").withColumn("base", S.base_name(F.col("name")))
     # a moved row that stays in its file is shown as modified, but its pattern is that of the move
     original = F.when((F.col("change") == "modified") & F.col("old_file").isNotNull(), "moved").otherwise(F.col("change"))
     rows = rows.withColumn("as_change", original).join(pats.select(F.col("change").alias("as_change"), "base", F.lit(True).alias("hit")), ["as_change", "base"], "left")
-    a = rows.where("hit").groupBy(F.concat_ws(":", "as_change", "base").alias("key")).agg(F.count("*").alias("entities"), F.count_distinct("file").alias("files"))
-    b = rows.where("hit is null and change <> 'formatting_only'").groupBy(F.col("file").alias("key")).agg(F.count("*").alias("entities"), F.lit(1).cast("long").alias("files"))
-    return a.select(F.lit("pattern").alias("by"), "*").unionByName(b.select(F.lit("file").alias("by"), "*")).orderBy(F.desc("entities"), "by", "key")
+    a = rows.where("hit").groupBy("as_change", "base").agg(F.count("*").alias("entities"), F.count_distinct("file").alias("files"))
+    a = a.select(F.lit("pattern").alias("by"), F.concat_ws(":", "as_change", "base").alias("key"), "entities", "files", F.format_string("%s (pattern across %d files)", "base", "files").alias("label"))
+    n = F.row_number().over(Window.partitionBy("file").orderBy("line", "name", "change"))
+    b = rows.where("hit is null and change <> 'formatting_only'").withColumn("n", n).groupBy("file")
+    b = b.agg(F.count("*").alias("entities"), F.array_sort(F.collect_list(F.when(F.col("n") <= 3, F.struct("n", "name")))).alias("first"))
+    names = F.array_join(F.transform("first", lambda x: x["name"]), ", ")
+    more = F.when(F.col("entities") > 3, F.format_string(" +%d more", F.col("entities") - 3)).otherwise("")
+    b = b.select(F.lit("file").alias("by"), F.col("file").alias("key"), "entities", F.lit(1).cast("long").alias("files"), F.concat(names, more, F.lit(" in "), "file").alias("label"))
+    return a.unionByName(b).orderBy(F.desc("entities"), "by", "key")
 
 
 _LINES = "array<struct<kind: string, text: string>>"
 
 
-def with_text_changes(diffs: DataFrame, old_sources: DataFrame, new_sources: DataFrame, context: int | None = None) -> DataFrame:
-    """Adds ``lines`` and ``details`` of each pair, from (file, text) of both versions.
-
-    Entity texts are cut out in the JVM; only they go to Python.
-    """
+def _with_texts(diffs: DataFrame, old_sources: DataFrame, new_sources: DataFrame) -> DataFrame:
+    """Adds the text of both entities as _a and _b, cut out in the JVM; null where a side is missing."""
 
     def cut(side: str) -> Column:
         lines = F.split(F.regexp_replace(F.col(f"{side}_text"), r"\r?\n$", ""), r"\r?\n")
@@ -209,7 +218,13 @@ def with_text_changes(diffs: DataFrame, old_sources: DataFrame, new_sources: Dat
     o = old_sources.select(F.col("file").alias("_of"), F.col("text").alias("old_text"))
     n = new_sources.select(F.col("file").alias("_nf"), F.col("text").alias("new_text"))
     rows = diffs.join(o, F.col("old.file") == F.col("_of"), "left").join(n, F.col("new.file") == F.col("_nf"), "left")
-    rows = rows.withColumns({"_a": cut("old"), "_b": cut("new")}).drop("_of", "_nf", "old_text", "new_text")
+    return rows.withColumns({"_a": cut("old"), "_b": cut("new")}).drop("_of", "_nf", "old_text", "new_text")
+
+
+def with_text_changes(diffs: DataFrame, old_sources: DataFrame, new_sources: DataFrame, context: int | None = None) -> DataFrame:
+    """Adds ``lines`` and ``details`` of each pair, from (file, text) of both versions; only the entities'
+    texts go to Python."""
+    rows = _with_texts(diffs, old_sources, new_sources)
 
     @F.pandas_udf(f"struct<lines: {_LINES}, details: {_LINES.replace('text', 'description')}>")
     def compare(a: pd.Series, b: pd.Series) -> pd.DataFrame:
@@ -224,6 +239,48 @@ def with_text_changes(diffs: DataFrame, old_sources: DataFrame, new_sources: Dat
     return rows.select(*diffs.columns, F.col("_c.lines").alias("lines"), F.col("_c.details").alias("details"))
 
 
+def with_snippets(diffs: DataFrame, old_sources: DataFrame, new_sources: DataFrame, context: int = 3) -> DataFrame:
+    """Adds ``snippet`` (base, head, language, kind, hunks) of every pair but those that differ in formatting only.
+
+    The kind says what to show: the signature, the hunks (diff), or both texts (full).
+    """
+    rows = _with_texts(diffs, old_sources, new_sources)
+
+    @F.pandas_udf(_LINES)
+    def hunks(a: pd.Series, b: pd.Series) -> pd.Series:
+        found = [textdiff.line_diff(x, y, context) for x, y in zip(a, b)]
+        return pd.Series([None if d is None else [{"kind": k, "text": t} for k, t in d] for d in found], dtype=object)
+
+    sig, body = F.coalesce("sig_changed", F.lit(False)), F.coalesce("body_changed", F.lit(False))
+    kind = F.when(sig & ~body, "signature").when(body & ~sig, "diff").otherwise("full")
+    language = F.coalesce(S.lang_for(F.col("new.file")), F.regexp_extract("new.file", "[^.]*$", 0))
+    there = F.col("_a").isNotNull() & F.col("_b").isNotNull() & (F.col("change") != "formatting_only")
+    snippet = F.struct(F.col("_a").alias("base"), F.col("_b").alias("head"), language.alias("language"), kind.alias("kind"), hunks("_a", "_b").alias("hunks"))
+    return rows.withColumn("snippet", F.when(there, snippet)).drop("_a", "_b")
+
+
 def token_changes(with_details: DataFrame) -> DataFrame:
     """Details without those about lines and comments."""
     return with_details.withColumn("token_changes", F.filter("details", lambda d: ~d["kind"].isin("line_added", "line_removed", "comment")))
+
+
+def report(shown: DataFrame, pats: DataFrame) -> DataFrame:
+    """One row of counts and the sentence that says them: patterns, moves, then changes by kind."""
+    kinds = (("added", "added"), ("modified", "modified"), ("removed", "removed"), ("renamed", "renamed"), ("formatting_only", "formatting only"))
+    here = ~F.col("cross_file_move")
+    n = shown.agg(*(F.count_if(here & (F.col("change") == k)).alias(k) for k, _ in kinds), F.count_if("cross_file_move").alias("moves"), F.count_distinct("file").alias("files_changed"), F.count_if("breaking").alias("breaking"))
+    n = n.crossJoin(pats.agg(F.count("*").alias("patterns")))  # one row each
+    some = lambda c, form: F.when(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.lit(form), F.when(F.col(c) == 1, "").otherwise("s") if form.startswith((" cross", " entity")) else F.lit("")))
+    counts = F.concat_ws(", ", some("patterns", " cross-file pattern"), some("moves", " entity move"), *(some(k, f" {w}") for k, w in kinds))
+    text = F.when(counts == "", "No structural changes.").otherwise(F.concat(counts, F.when(F.col("breaking") > 0, " with breaking changes").otherwise(""), F.lit(".")))
+    return n.withColumn("natural_language", text)
+
+
+def summary_line(pats: list, breaking: list, sections: list[tuple[str, list[str]]]) -> str | None:
+    """What matters most on one line, from collected rows: two patterns, two breaking entries, else names by file."""
+    parts = [f"{p['base']} {p['change']} across {p['file_count']} files" for p in pats[:2]]
+    parts += [f"{b['name']} ({b['reason']})" for b in breaking[:2]]
+    parts += [f"+{len(breaking) - 2} more breaking"] if len(breaking) > 2 else []
+    if not parts:
+        parts = [f"{', '.join(names[:3])} in {file}" for file, names in sections[:3] if names]
+    return "; ".join(parts) or None

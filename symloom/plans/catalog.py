@@ -471,21 +471,32 @@ def _(s, d):
     return diff.moves(diff.visible(_diffs(s, d)))
 
 
-@reg("v21_breaking_callers", f"""WITH RECURSIVE {P.VERSIONS}, {_match_oracle()}, {P.R}, u AS (SELECT R.name, R.file IN (SELECT file FROM SV) AS inside FROM R WHERE R.name IN (SELECT name FROM SV WHERE breaking) QUALIFY row_number() OVER (PARTITION BY R.name ORDER BY R.file, line, seq) <= 100),
-c AS (SELECT name, count(*) FILTER (WHERE inside) AS i, count(*) FILTER (WHERE NOT inside) AS x FROM u GROUP BY name)
-SELECT SV.name, kind, file, line, reason, coalesce(i, 0) AS callers_in_diff, coalesce(x, 0) AS external_callers FROM SV LEFT JOIN c ON c.name = SV.name WHERE breaking""")
+@reg("v21_breaking_callers", f"""WITH RECURSIVE {P.VERSIONS}, {_match_oracle()}, {P.R}, u AS (SELECT R.name, R.file, R.line, R.seq, coalesce(R.caller, '') AS who, R.file IN (SELECT file FROM SV) AS inside FROM R WHERE R.name IN (SELECT name FROM SV WHERE breaking) QUALIFY row_number() OVER (PARTITION BY R.name ORDER BY R.file, line, seq) <= 100),
+c AS (SELECT name, count(*) FILTER (WHERE inside) AS i, count(*) FILTER (WHERE NOT inside) AS x, string_agg(file || ':' || line || ':' || who, ',' ORDER BY file, line, seq) FILTER (WHERE NOT inside) AS l FROM u GROUP BY name)
+SELECT SV.name, kind, file, line, reason, coalesce(i, 0) AS callers_in_diff, coalesce(x, 0) AS external_callers, coalesce(l, '') AS external FROM SV LEFT JOIN c ON c.name = SV.name WHERE breaking""")
 def _(s, d):
-    return diff.breaking_callers(diff.visible(_diffs(s, d)), P.refs(s, d))
+    rows = diff.breaking_callers(diff.visible(_diffs(s, d)), P.refs(s, d))
+    return rows.withColumn("external", F.expr("array_join(transform(external, x -> x.file || ':' || x.line || ':' || x.name), ',')"))
 
 
 @reg("v22_groups", _DIFF + f""", {_PAT}, g AS (SELECT SV.*, regexp_extract(name, '[^.]*$') AS base, PT.change IS NOT NULL AS hit FROM SV LEFT JOIN PT ON PT.change = as_change AND PT.base = regexp_extract(name, '[^.]*$') WHERE NOT cross_file_move)
-SELECT 'pattern' AS by, as_change || ':' || base AS key, count(*) AS entities, count(DISTINCT file) AS files FROM g WHERE hit GROUP BY as_change, base
-UNION ALL SELECT 'file', file, count(*), 1 FROM g WHERE NOT hit AND change <> 'formatting_only' GROUP BY file""")
+SELECT 'pattern' AS by, as_change || ':' || base AS key, count(*) AS entities, count(DISTINCT file) AS files, base || ' (pattern across ' || count(DISTINCT file) || ' files)' AS label FROM g WHERE hit GROUP BY as_change, base
+UNION ALL SELECT 'file', file, count(*), 1, array_to_string(list(name ORDER BY line, name, change)[1:3], ', ') || CASE WHEN count(*) > 3 THEN ' +' || (count(*) - 3) || ' more' ELSE '' END || ' in ' || file FROM g WHERE NOT hit AND change <> 'formatting_only' GROUP BY file""")
 def _(s, d):
     d_ = _diffs(s, d)
     return diff.groups(diff.visible(d_), diff.patterns(d_))
 
 
+@reg("v20_report", _DIFF + f""", {_PAT}, cn AS (SELECT count(*) FILTER (WHERE NOT cross_file_move AND change = 'added') AS added, count(*) FILTER (WHERE NOT cross_file_move AND change = 'modified') AS modified, count(*) FILTER (WHERE NOT cross_file_move AND change = 'removed') AS removed,
+count(*) FILTER (WHERE NOT cross_file_move AND change = 'renamed') AS renamed, count(*) FILTER (WHERE NOT cross_file_move AND change = 'formatting_only') AS formatting_only, count(*) FILTER (WHERE cross_file_move) AS moves, count(DISTINCT file) AS files_changed, count(*) FILTER (WHERE breaking) AS breaking, (SELECT count(*) FROM PT) AS patterns FROM SV)
+SELECT *, CASE WHEN added + modified + removed + renamed + formatting_only + moves + patterns = 0 THEN 'No structural changes.' ELSE concat_ws(', ', CASE WHEN patterns > 0 THEN patterns || ' cross-file pattern' || CASE WHEN patterns = 1 THEN '' ELSE 's' END END,
+CASE WHEN moves > 0 THEN moves || ' entity move' || CASE WHEN moves = 1 THEN '' ELSE 's' END END, CASE WHEN added > 0 THEN added || ' added' END, CASE WHEN modified > 0 THEN modified || ' modified' END, CASE WHEN removed > 0 THEN removed || ' removed' END, CASE WHEN renamed > 0 THEN renamed || ' renamed' END,
+CASE WHEN formatting_only > 0 THEN formatting_only || ' formatting only' END) || CASE WHEN breaking > 0 THEN ' with breaking changes' ELSE '' END || '.' END AS natural_language FROM cn""")
+def _(s, d):
+    d_ = _diffs(s, d)
+    return diff.report(diff.visible(d_), diff.patterns(d_))
+
+
 @reg("v04_fuzzy_renames", _DIFF + " SELECT old.name AS old_name, new.name AS new_name, round(confidence, 6) AS confidence FROM M WHERE match = 'renamed'")
 def _(s, d):
     m = diff.match(P.entities(s, d), P.newer(s, d))
@@ -500,12 +511,39 @@ def _versions_of_text(s, d):
     return old.select(e.alias("old"), e.alias("new"), "file"), old, new
 
 
-@reg("v11_line_diff")
+# Each line with the word is removed and added again; no other line can match it.
+_V11 = r"""WITH l AS (SELECT 'd' || doc_id AS file, string_split(regexp_replace(regexp_replace(replace(text, '. ', '.' || chr(10)), '\r?\n$', ''), '\r\n', chr(10), 'g'), chr(10)) AS l FROM documents),
+c AS (SELECT file, list_filter(l, lambda x: regexp_matches(x, '\bthe\b')) AS gone FROM l)
+SELECT file, CASE WHEN len(gone) > 0 THEN len(gone) END AS removed, CASE WHEN len(gone) > 0 THEN len(gone) END AS added, CASE WHEN len(gone) > 0 THEN sha256(array_to_string(gone, chr(10))) END AS text FROM c"""
+
+
+@reg("v11_line_diff", _V11)
+def _(s, d):
+    rows, old, new = _versions_of_text(s, d)
+    lines = diff.with_text_changes(rows, old, new).select("file", "lines")
+    n = lambda k: F.size(F.filter("lines", lambda x: x["kind"] == k)).cast("long").alias(k)
+    gone = F.transform(F.filter("lines", lambda x: x["kind"] == "removed"), lambda x: x["text"])
+    return lines.select("file", n("removed"), n("added"), F.sha2(F.array_join(gone, "\n"), 256).alias("text"))
+
+
+@reg("v12_hunks")
 def _(s, d):
     rows, old, new = _versions_of_text(s, d)
     return diff.with_text_changes(rows, old, new, context=1).select("file", F.size("lines").alias("lines"))
 
 
+_V19 = r"""WITH l AS (SELECT 'd' || doc_id AS file, regexp_replace(regexp_replace(replace(text, '. ', '.' || chr(10)), '\r?\n$', ''), '\r\n', chr(10), 'g') AS base FROM documents)
+SELECT file, sha256(base) AS base, sha256(regexp_replace(base, '\bthe\b', 'The', 'g')) AS head, file AS language, 'diff' AS kind FROM l"""
+
+
+@reg("v19_snippets", _V19)
+def _(s, d):
+    rows, old, new = _versions_of_text(s, d)
+    rows = rows.withColumns({"sig_changed": F.lit(False), "body_changed": F.lit(True), "change": F.lit("modified")})
+    x = F.col("snippet")
+    return diff.with_snippets(rows, old, new).select("file", F.sha2(x["base"], 256).alias("base"), F.sha2(x["head"], 256).alias("head"), x["language"].alias("language"), x["kind"].alias("kind"))
+
+
 @reg("v15_change_details")
 def _(s, d):
     rows, old, new = _versions_of_text(s, d)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import shutil
+import subprocess
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,7 +43,7 @@ class Project:
 
     def index(self, rank: bool = True) -> None:
         """Extracts what changed, ranks files and fills the blast of every entity; each table is replaced as a whole."""
-        sources = extract.discover(self.spark, self.root, self._ignored())
+        sources = extract.discover(self.spark, self.root, extract.ignore_lines(self.root))
         old = [self._read(n) for n in ("hashes", "entities", "refs")] if self.indexed() else [None] * 3
         e, r, h = reindex(sources, *old)
         stage = {"entities": e, "refs": r, "hashes": h}
@@ -54,20 +56,17 @@ class Project:
         for name in (*stage, "rank"):
             made = self._at("blasted.new" if name == "entities" and rank else name + ".new")
             if os.path.exists(made):
-                import shutil
-
                 shutil.rmtree(self._at(name), ignore_errors=True)
                 os.rename(made, self._at(name))
+            elif name == "rank":
+                shutil.rmtree(self._at(name), ignore_errors=True)  # it would be that of another index
         jsonl.register(*self.tables(), self.ranks())
 
-    def _ignored(self) -> list[str]:
-        p = os.path.join(self.root, ".gitignore")
-        lines = open(p).read().splitlines() if os.path.exists(p) else []
-        return [x.strip() for x in lines if x.strip() and not x.startswith(("#", "!"))]
-
     def tables(self) -> tuple[DataFrame, DataFrame]:
-        """(entities, refs); a tree that wasn't indexed is indexed first."""
+        """(entities, refs); a tree that wasn't indexed is indexed first, unless SYMLOOM_AUTO_INDEX is 0."""
         if not self.indexed():
+            if os.environ.get("SYMLOOM_AUTO_INDEX") == "0":
+                raise ValueError(f"{self.root} isn't indexed")
             self.index()
         return self._read("entities"), self._read("refs")
 
@@ -149,14 +148,16 @@ class Project:
     def cochange(self, commits: int = 500, min_support: int = 2, max_files: int = 30) -> DataFrame:
         return graph.cochange_pairs(git.log(self.spark, self.root, commits), min_support, max_files)
 
-    def diff(self, spec: str) -> DataFrame:
-        """Classified changes between two refs, with text changes; only changed files are parsed."""
+    def _versions(self, spec: str) -> tuple[DataFrame, DataFrame]:
+        """(file, text) of the changed files of known languages at both ends."""
         base, head = (git.resolve(self.root, x) for x in git.parse_spec(spec))
         files = [(r["file"], r["status"]) for r in git.changes(self.spark, self.root, base, head).collect() if not r["file"].startswith(".symloom/")]
         known = [(f, s) for f, s in files if extract.language_of(f)]
-        old = git.blobs(self.spark, self.root, base, [f for f, s in known if s != "A"])
-        new = git.blobs(self.spark, self.root, head, [f for f, s in known if s != "D"])
-        return diff_sources(old, new)
+        return git.blobs(self.spark, self.root, base, [f for f, s in known if s != "A"]), git.blobs(self.spark, self.root, head, [f for f, s in known if s != "D"])
+
+    def diff(self, spec: str, context: int | None = None) -> DataFrame:
+        """Classified changes between two refs, with text changes; only changed files are parsed."""
+        return diff_sources(*self._versions(spec), context)
 
     def review(self, spec: str) -> tuple[DataFrame, DataFrame]:
         """(changes by impact, co-change misses)."""
@@ -164,11 +165,73 @@ class Project:
         touched = changes.select("file").union(changes.select(F.col("old_file").alias("file")).where("file is not null")).distinct()
         return review.enrich(diff.visible(changes), self.ranks(), self.tables()[0]), review.cochange_misses(touched, self.cochange())
 
+    def benchmark(self, spec: str = "HEAD~1", symbol: str | None = None, most: int = 100, first: int = 20) -> tuple[list[dict], float | None]:
+        """Tokens of reading everything (control) against the digest (treatment) for a review, one symbol's context
+        and an overview, and the median of their ratios; a control that can't be had is null and doesn't count.
+
+        The symbol is that of M13 unless one is given; its control are the first ``most`` files that define or use it,
+        the overview's the first ``first`` files by rank.
+        """
+        from symloom.plans import report
 
-def diff_sources(old: DataFrame, new: DataFrame) -> DataFrame:
+        e, r = self.tables()
+        size = lambda text: (len(text.encode()) + 3) // 4
+        out = []
+        try:
+            changes, misses = self.review(spec)
+            patch = git.patch(self.root, spec)
+            told = report.review_markdown(report.review_document(changes, review.file_deltas(changes), misses, spec))
+            out.append({"name": f"review of {spec}", "control": size(patch), "treatment": size(told)})
+        except subprocess.CalledProcessError:
+            out.append({"name": f"review of {spec}", "control": None, "treatment": 0})
+        hot = digest.hot_symbol(e).first()
+        symbol = symbol or (hot and hot["name"])
+
+        def read(files: list[str]) -> int:
+            n = 0
+            for f in files:
+                at = os.path.join(self.root, f)
+                n += os.path.getsize(at) if os.path.exists(at) else 0
+            return (n + 3) // 4
+
+        if symbol:
+            bundle = self.context(symbol)
+            own = r.where(query.names_match(F.col("name"), symbol)).select("file").union(e.where(F.col("name") == symbol).select("file")).distinct().orderBy("file").limit(most)
+            out.append({"name": f"context of {symbol}", "control": read([x["file"] for x in own.collect()]), "treatment": size(report.context_markdown(bundle)) if bundle else 0})
+        top = digest.map_files(e, self.ranks()).limit(first)
+        from symloom.plans import render
+
+        out.append({"name": "overview", "control": read([x["file"] for x in top.collect()]), "treatment": size(render.map_markdown(*self.map(2000)))})
+        pairs = self.spark.createDataFrame([(x["control"] and float(x["control"]), float(x["treatment"])) for x in out], "control double, treatment double")
+        return out, digest.median_ratio(pairs).first()[0]
+
+    def write_map(self, path: str | None = None, **options: object) -> str:
+        """K4: the map as a Markdown file; its path."""
+        from symloom.plans import render
+
+        path = path or os.path.join(self.root, "SYMLOOM_MAP.md")
+        with open(path, "w", encoding="utf-8") as f:
+            f.write(render.map_markdown(*self.map(**options)) + "\n")
+        return path
+
+
+def diff_sources(old: DataFrame, new: DataFrame, context: int | None = None) -> DataFrame:
     """S15, S16, V1-V18 over (file, text) of two versions."""
     changes = diff.classify(diff.match(extract.entities(old), extract.entities(new)))
-    return diff.token_changes(diff.with_text_changes(changes, old, new))
+    return diff.token_changes(diff.with_text_changes(changes, old, new, context))
+
+
+def diff_files(spark: SparkSession, old: str, new: str, context: int | None = None) -> DataFrame:
+    """Two files on disk as versions of one, under the new one's path; they must be of one known language."""
+    kinds = [extract.language_of(p) for p in (old, new)]
+    if None in kinds or kinds[0] != kinds[1]:
+        raise ValueError(f"can't compare {old} ({kinds[0]}) with {new} ({kinds[1]})")
+
+    def side(path: str) -> DataFrame:
+        with open(path, encoding="utf-8") as f:
+            return spark.createDataFrame([(new, f.read())], "file string, text string")
+
+    return diff_sources(side(old), side(new), context)
 
 
 def diff_texts(spark: SparkSession, old: str, new: str, path: str = "input.json") -> DataFrame:

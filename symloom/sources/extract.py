@@ -7,11 +7,12 @@ SHA-256 cut to 16 hex digits. A file that can't be parsed yields nothing.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symloom.functions import scalars as S
@@ -140,6 +141,7 @@ def rows_of(path: str, text: str) -> tuple[list[tuple], list[tuple]]:
                 while begin > 1 and begin - 2 < len(lines) and lang in ("rust", "java", "csharp", "typescript", "javascript") and kind != "import" and _decorator(lines[begin - 2], lang):
                     begin -= 1  # attributes above belong to it
                 own = lines[begin - 1 : last + shift]
+                # a script inside a page has neither a signature nor a body of its own: pages are no language with rules for them
                 whole_file = language not in ("html", "vue", "svelte", "astro")
                 sig, before = signature(own, lang) if whole_file else (None, len(own))
                 sig = None if kind == "import" else sig
@@ -182,22 +184,47 @@ def references(sources: DataFrame) -> DataFrame:
     return conform(_map(sources, 1, _R, "file string, caller string, name string, kind string, line long, seq long"), REF_SCHEMA)
 
 
-def discover(spark: SparkSession, root: str, ignore: list[str] | None = None) -> DataFrame:
-    """(file, text) of the known source files below ``root``; hidden paths and ignore patterns drop out, so does
-    what isn't UTF-8."""
+def discover(spark: SparkSession, root: str, ignore: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(file, text) of the known source files below ``root``; hidden paths and ignored ones drop out, so does what
+    isn't UTF-8. ``ignore`` has (directory, line) of ignore files, outer directories first."""
     base = root.rstrip("/")
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
     rel = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^" + re.escape(base.removeprefix("file://")) + "/", "")
     rows = rows.select(rel.alias("file"), F.try_validate_utf8(F.col("content").cast("string")).alias("text"))
     known = F.substring_index("file", ".", -1).isin(*S.EXTENSION_LANGUAGE, "mdx")
     rows = rows.where(known & F.col("text").isNotNull() & ~F.col("file").rlike(r"(^|/)\."))
-    for p in ignore or ():
-        rows = rows.where(~F.col("file").rlike(ignore_pattern(p)))
-    return rows
+    return rows.where(~ignored(F.col("file"), ignore)) if ignore else rows
 
 
-def ignore_pattern(line: str) -> str:
-    """A .gitignore line as a regular expression over relative paths."""
+def ignored(file: Column, ignore: list[tuple[str, str]]) -> Column:
+    """Whether the last line that fits ignores: ``!`` lines take files back, unless a directory above them is ignored."""
+    gone, out = F.lit(False), F.lit(False)
+    for where, line in ignore:
+        back = line.startswith("!")
+        p = ignore_pattern(line.removeprefix("!").removeprefix("\\"), where)
+        # a whole directory stays ignored whatever is said about files in it
+        inside, itself = file.rlike(p + "/"), file.rlike(p + "$") if not line.endswith("/") else F.lit(False)
+        gone = gone if back else gone | inside
+        out = F.when(itself, F.lit(not back)).otherwise(out)
+        gone = gone & ~inside if back else gone
+    return gone | out
+
+
+def ignore_lines(root: str) -> list[tuple[str, str]]:
+    """(directory, line) of all .gitignore files below ``root``, outer directories first."""
+    out = []
+    for folder, below, names in os.walk(root):
+        below[:] = sorted(b for b in below if not b.startswith("."))
+        if ".gitignore" in names:
+            with open(os.path.join(folder, ".gitignore"), encoding="utf-8", errors="replace") as f:
+                lines = [x.rstrip("\n").rstrip() for x in f]
+            own = os.path.relpath(folder, root).replace(os.sep, "/")
+            out += [("" if own == "." else own, x) for x in lines if x and not x.startswith("#")]
+    return out
+
+
+def ignore_pattern(line: str, where: str = "") -> str:
+    """The start of a regular expression over relative paths for an ignore line in directory ``where``."""
     anchored = "/" in line.strip("/") or line.startswith("/")
-    body = re.escape(line.strip("/")).replace(r"\*\*/", "(.*/)?").replace(r"\*\*", ".*").replace(r"\*", "[^/]*").replace(r"\?", "[^/]")
-    return ("^" if anchored else "(^|/)") + body + ("/" if line.endswith("/") else "(/|$)")
+    body = re.escape(line.strip("/")).replace(r"\*\*/", "(.*/)?").replace(r"/\*\*", "/.*").replace(r"\*", "[^/]*").replace(r"\?", "[^/]")
+    return "^" + (re.escape(where) + "/" if where else "") + ("" if anchored else "(.*/)?") + body

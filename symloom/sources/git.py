@@ -23,6 +23,11 @@ def resolve(repo: str, ref: str) -> str:
     return _git(repo, "rev-parse", "--verify", f"{ref}^{{commit}}").decode().strip()
 
 
+def patch(repo: str, spec: str) -> str:
+    """The textual patch with its statistics, as a reader would get it."""
+    return _git(repo, "diff", "--stat", "--patch", *([spec] if ".." in spec else [spec, "HEAD"])).decode("utf-8", "replace")
+
+
 def parse_spec(spec: str) -> tuple[str, str]:
     """``a...b`` and ``a..b``; one ref is compared with HEAD."""
     for dots in ("...", ".."):
@@ -84,13 +89,27 @@ class _Reader(DataSourceReader):
                 if status in ("A", "M", "D"):
                     yield file, status
         else:
-            for path in filter(None, partition.items):
-                got = subprocess.run(["git", "-C", self.repo, "show", f"{self.o['ref']}:{path}"], capture_output=True)
-                if got.returncode == 0:
-                    try:
-                        yield self.o["ref"], path, got.stdout.decode()
-                    except UnicodeDecodeError:
-                        continue
+            for path, data in _blobs(self.repo, self.o["ref"], [p for p in partition.items if p] if partition else []):  # without paths there is no part
+                try:
+                    yield self.o["ref"], path, data.decode()
+                except UnicodeDecodeError:
+                    continue
+
+
+def _blobs(repo: str, ref: str, paths: list[str]) -> Iterator[tuple[str, bytes]]:
+    """The contents of the paths that are files at ``ref``, by one process."""
+    if not paths:
+        return
+    ask = "".join(f"{ref}:{p}\n" for p in paths).encode()
+    out, at = subprocess.run(["git", "-C", repo, "cat-file", "--batch"], input=ask, check=True, capture_output=True).stdout, 0
+    for path in paths:
+        end = out.index(b"\n", at)
+        head, at = out[at:end].split(b" "), end + 1
+        if head[-1].isdigit():  # <id> <type> <size>; else it is missing
+            size = int(head[-1])
+            if head[-2] == b"blob":
+                yield path, out[at : at + size]
+            at += size + 1
 
 
 def log(spark: SparkSession, repo: str, commits: int = 500) -> DataFrame:

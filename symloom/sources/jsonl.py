@@ -72,7 +72,12 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_manifest(path: str, header: dict, name: str, rows: dict | list) -> None:
-    """K2, K3: a small manifest in one local file; for a store of any size write Parquet instead."""
+    """K2, K3: a small manifest in one local file; for a store of any size write Parquet instead. Without rows an old
+    manifest goes, so that none is left that doesn't fit its store."""
+    if not rows:
+        if os.path.exists(path):
+            os.remove(path)
+        return
     with open(path, "w") as f:
         json.dump(header | {name: rows}, f)
 

@@ -77,10 +77,22 @@ def test_distributed_extraction(spark, tmp_path):
     (tmp_path / "build").mkdir()
     (tmp_path / "build" / "y.py").write_text("b = 1\n")
     (tmp_path / "bad.py").write_bytes(b"\xff\xfe x = 1")
-    src = extract.discover(spark, str(tmp_path), ["build/"])
+    src = extract.discover(spark, str(tmp_path), [("", "build/")])
     assert {r["file"] for r in src.collect()} == set(SOURCES)
     e, r = extract.entities(src), extract.references(src)
     want = sum(len(extract.rows_of(n, t)[0]) for n, (t, _, _) in SOURCES.items())
     assert e.count() == want and r.where("name = 'helper'").count() >= 2
     assert e.where("file = 'a.py'").orderBy("seq").first()["name"] == "os"
     assert extract.entities(src.where("false")).count() == 0
+
+
+def test_ignore_files(spark, tmp_path):
+    for name in ("a.py", "gen/b.py", "gen/keep.py", "src/c.py", "src/out/d.py", "src/tmp_x.py", "lib/tmp_x.py", "deep/src/build/e.py", "keep.log.py"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x = 1\n")
+    (tmp_path / ".gitignore").write_text("# note\ngen/*\n!gen/keep.py\nbuild/\n*.log.py\n!keep.log.py\n")
+    (tmp_path / "src/.gitignore").write_text("out/\n!out/d.py\ntmp_*.py\n")
+    lines = extract.ignore_lines(str(tmp_path))
+    assert lines[0] == ("", "gen/*") and ("src", "tmp_*.py") in lines
+    got = sorted(r["file"] for r in extract.discover(spark, str(tmp_path), lines).collect())
+    assert got == ["a.py", "gen/keep.py", "keep.log.py", "lib/tmp_x.py", "src/c.py"]
