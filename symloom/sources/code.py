@@ -24,7 +24,7 @@ _SPACES = {
     "ruby": r"#[^\n]*|^=begin.*?^=end|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'",
     "csharp": _C_LIKE + r"|@\"(?:\"\"|[^\"])*\"",
 }
-_WORDS = "if for while switch return catch sizeof new delete throw else do match loop unsafe fn func def elif unless until in case when using lock fixed typeof await yield async function super this self".split()
+_WORDS = "pub import if for while switch return catch sizeof new delete throw else do match loop unsafe fn func def elif unless until in case when using lock fixed typeof await yield async function super this self".split()
 _CONTROL = "if for while switch return catch else do elif unless until case when using lock typeof".split()
 _NOT_A_TYPE = re.compile(r"\b(class|struct|interface|enum|record|namespace|return|new|using|package|import|else|throw|yield|await|goto|delegate)\b")
 #: Calls that are part of a language or of any program; the last ``::`` or first ``.`` segment decides.
@@ -347,11 +347,45 @@ class _Scanner:
                     out.entities.append(("import", x[1], None, at, at, None))
                     out.refs.append((None, x[1], "import", at))
             out.entities += self._go_fields(found)
+        if self.lang in ("c", "cpp"):
+            out.entities += self._members(found, {(e[1].rpartition(".")[2], e[3]) for e in out.entities})
         out.refs += self._uses(spans)
         out.entities.sort(key=lambda e: e[3])
         out.refs.sort(key=lambda r: r[3])
         return out
 
+    def _members(self, found: list, known: set[tuple[str, int]]) -> list[Entity]:
+        """Fields of structs and classes, and enumerators, with the type's name in front; bodies inside a body are left out."""
+        rows = []
+        for begin, last, kind, name, *_ in found:
+            at = self.plain.find("{", begin, last + 1)
+            if kind not in ("struct", "class", "enum") or at < 0:
+                continue
+            access, start, depth = "private" if kind == "class" else "public", at + 1, 0
+            for i in range(at + 1, last + 1):
+                c = self.plain[i]
+                depth += (c in _OPEN) - (c in _CLOSE)
+                if depth > 0 or not (c == "," and kind == "enum" or c in ";}" or c == ":" and kind != "enum"):
+                    continue
+                part, lead = self.plain[start:i], start
+                start = i + 1
+                if c == ":":
+                    if (word := part.split()[-1:]) and word[0] in ("public", "private", "protected"):
+                        access = "internal" if word[0] == "protected" else word[0]
+                    else:
+                        start = lead  # a bit field or a qualified name
+                    continue
+                if kind == "enum":
+                    if m := re.match(r"\s*(\w+)", part):
+                        line = self.line(lead + m.start(1))
+                        rows.append(("constant", f"{name}.{m[1]}", name, line, self.line(i - 1), "public"))
+                elif c == ";" and "(" not in part and "{" not in part and not re.match(r"\s*(typedef|using|friend|static_assert)\b", part):
+                    names = [m[1] for x in part.split(",") if (m := re.search(r"(\w+)\s*(?:\[[^\]]*\]\s*)*(?:=.*|:\s*\d+\s*)?$", x, re.S))]
+                    line = self.line(lead + len(part) - len(part.lstrip()))
+                    if len(part.split()) > 1 or "*" in part:
+                        rows += [("property", f"{name}.{n}", name, line, self.line(i), access) for n in names if (n, line) not in known]
+        return rows
+
     def _go_fields(self, found: list) -> list[Entity]:
         rows = []
         for begin, last, kind, name, *_ in found:
@@ -385,6 +419,8 @@ class _Scanner:
             tail = re.split(r"::|\.", name)[-1]
             first = re.split(r"::|\.", name)[0]
             before = self.plain[max(0, m.start() - 5) : m.start()]
+            if self.lang in ("c", "cpp") and re.match(r"[ \t]*#\s*define\s+$", self.plain[self.plain.rfind("\n", 0, m.start()) + 1 : m.start()]):
+                continue  # the head of a macro
             if tail in skip or first in skip and first not in ("self", "this", "super") or heads.get(line) == tail or re.search(r"\b(new|fn|func|def)\s$", before):
                 continue
             rows.append((caller(m.start()), name, "call", line))

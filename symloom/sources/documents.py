@@ -114,6 +114,7 @@ def yaml_items(text: str, parent: str | None = None, shift: int = 0) -> list[Ite
     except yaml.YAMLError:
         return []
     out: list[Item] = []
+    rows = [*text.split("\n"), ""]
     names = {"str": "string", "int": "number", "float": "number", "bool": "boolean", "null": "null"}
 
     def walk(node: object, above: str | None, depth: int) -> None:
@@ -124,7 +125,12 @@ def yaml_items(text: str, parent: str | None = None, shift: int = 0) -> list[Ite
             kind = "object" if isinstance(v, yaml.MappingNode) else "array" if isinstance(v, yaml.SequenceNode) else "property"
             told = kind if kind != "property" else names.get(v.tag.rpartition(":")[2], "string")
             first = k.start_mark.line + 1
-            last = max(first, v.end_mark.line + (1 if v.end_mark.column else 0))
+            end = v.end_mark.line  # of what comes next, where a block ends
+            if not rows[end][: v.end_mark.column].strip():
+                end -= 1
+                while end >= first and (not rows[end].strip() or rows[end].lstrip().startswith("#")):
+                    end -= 1
+            last = max(first, end + 1)
             out.append((kind, key, above, first + shift, last + shift, f"{key}: {told}", None))
             walk(v, key, depth + 1)
 

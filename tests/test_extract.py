@@ -13,7 +13,7 @@ SOURCES = {
     "a.ts": ("import { R } from 'express';\n\ninterface Conf {\n    host: string;\n}\n\nclass Svc {\n    private db: Db;\n    async get(id: number): Promise<User> {\n        return this.db.find(id);\n    }\n}\n\nconst handler = async (req: R) => {\n    send(req);\n};\n\nexport function check(p: number): boolean {\n    return new Thing(p).ok;\n}\nexport type Id = string;\nenum Color { Red }\n", {("import", "express", None, 1, 1), ("interface", "Conf", None, 3, 5), ("property", "Conf.host", "Conf", 4, 4), ("class", "Svc", None, 7, 12), ("property", "Svc.db", "Svc", 8, 8), ("method", "Svc.get", "Svc", 9, 11), ("function", "handler", None, 14, 16), ("function", "check", None, 18, 20), ("type_alias", "Id", None, 21, 21), ("enum", "Color", None, 22, 22)}, {("Svc.get", "this.db.find", "call", 10), ("handler", "send", "call", 15), ("check", "Thing", "instantiation", 19)}),
     "a.js": ("import x from './x';\nexport class A {\n  #hid() {\n    go();\n  }\n}\nconst LIMIT = 3;\n", {("class", "A", None, 2, 6), ("method", "A.#hid", "A", 3, 5), ("constant", "LIMIT", None, 7, 7)}, {("A.#hid", "go", "call", 4), (None, "./x", "import", 1)}),
     "A.java": ("package a.b;\nimport java.util.Map;\npublic class Foo extends Bar {\n    private static final int MAX = 3;\n    protected String name;\n    public Foo(String n) { helper(n); }\n    @Override\n    public int get(int a) throws X {\n        return new Baz(a).run();\n    }\n}\n", {("module", "a.b", None, 1, 1), ("import", "java.util.Map", None, 2, 2), ("class", "Foo", None, 3, 11), ("constant", "Foo.MAX", "Foo", 4, 4), ("property", "Foo.name", "Foo", 5, 5), ("constructor", "Foo.Foo", "Foo", 6, 6), ("method", "Foo.get", "Foo", 7, 10)}, {("Foo.Foo", "helper", "call", 6), ("Foo.get", "Baz", "instantiation", 9)}),
-    "a.c": ("#include <stdio.h>\n#define MAX 3\n#define SQ(x) ((x)*(x))\nstruct node { int a; };\nenum color { RED };\nstatic int helper(int a) {\n  return other(a);\n}\n/* int gone(void) { } */\n", {("import", "stdio.h", None, 1, 1), ("constant", "MAX", None, 2, 2), ("macro", "SQ", None, 3, 3), ("struct", "node", None, 4, 4), ("enum", "color", None, 5, 5), ("function", "helper", None, 6, 8)}, {("helper", "other", "call", 7)}),
+    "a.c": ("#include <stdio.h>\n#define MAX 3\n#define SQ(x) ((x)*(x))\nstruct node { int a; };\nenum color { RED };\nstatic int helper(int a) {\n  return other(a);\n}\n/* int gone(void) { } */\n", {("import", "stdio.h", None, 1, 1), ("constant", "MAX", None, 2, 2), ("macro", "SQ", None, 3, 3), ("struct", "node", None, 4, 4), ("property", "node.a", "node", 4, 4), ("enum", "color", None, 5, 5), ("constant", "color.RED", "color", 5, 5), ("function", "helper", None, 6, 8)}, {("helper", "other", "call", 7)}),
     "a.cpp": ("#include <vector>\nnamespace ns {\nclass A : public B {\n public:\n  int get() const {\n    return calc(1);\n  }\n};\n}\nint ns::A::other(int a) {\n  return helper(a);\n}\n", {("module", "ns", None, 2, 9), ("class", "A", None, 3, 8), ("method", "A.get", "A", 5, 7), ("method", "A.other", "A", 10, 12)}, {("A.get", "calc", "call", 6), ("A.other", "helper", "call", 11)}),
     "a.cs": ("using System;\nnamespace App {\n  public class Svc : Base {\n    private readonly Db db;\n    public const int Max = 4;\n    public string Name { get; set; }\n    public int Run(int a) {\n      return Other(a);\n    }\n  }\n}\n", {("import", "System", None, 1, 1), ("module", "App", None, 2, 11), ("class", "Svc", None, 3, 10), ("property", "Svc.db", "Svc", 4, 4), ("constant", "Svc.Max", "Svc", 5, 5), ("property", "Svc.Name", "Svc", 6, 6), ("method", "Svc.Run", "Svc", 7, 9)}, {("Svc.Run", "Other", "call", 8)}),
     "a.rb": ("require 'json'\nmodule M\n  class A < B\n    LIMIT = 3\n    def make(x)\n      build_it(x) if x\n    end\n  end\nend\n", {("import", "json", None, 1, 1), ("module", "M", None, 2, 9), ("class", "A", None, 3, 8), ("method", "A.make", "A", 5, 7)}, {("A.make", "build_it", "call", 6)}),
@@ -33,6 +33,15 @@ def test_code(path):
     assert all(len(e[10]) == 16 for e in entities) and extract.rows_of(path, text) == (entities, uses)
 
 
+def test_members_of_c_and_cpp():
+    e = {x[1]: (x[2], x[3], x[4], x[5], x[11]) for x in extract.rows_of("a.c", "struct s {\n  int a, *b;\n  char c[3];\n  int (*f)(int);\n  struct { int z; } in;\n};\nenum e {\n  A,\n  B = 3,\n  C\n};\n#define F(x) go(x)\n")[0]}
+    assert e["s.a"] == e["s.b"] == ("property", 2, 2, "s", "public") and e["s.c"][1] == 3 and e["e.A"] == ("constant", 8, 8, "e", "public") and e["e.B"][1] == 9 and e["e.C"][1] == 10 and "s.z" not in e
+    e = {x[1]: (x[2], x[11]) for x in extract.rows_of("a.cpp", "class T : public B {\n  int hid = 3;\npublic:\n  int shown;\n  int get() const { int local; return 1; }\nprotected:\n  std::vector<int> some;\n};\n")[0]}
+    assert e["T.hid"] == ("property", "private") and e["T.shown"] == ("property", "public") and e["T.some"] == ("property", "internal") and e["T.get"][0] == "method" and "T.local" not in e
+    calls = lambda p, t: {r[2] for r in extract.rows_of(p, t)[1] if r[3] == "call"}
+    assert calls("a.c", "#define F(x) go(x)\n") == {"go"} and calls("a.rs", "pub(crate) fn x() { y(); }\n") == {"y"} and calls("a.go", 'package m\n\nimport (\n\t"fmt"\n)\n') == set()
+
+
 def test_visibility_markers_signature():
     rows = {e[1]: e for e in extract.rows_of("a.rs", SOURCES["a.rs"][0])[0] if e[2] != "impl"}
     assert rows["Config"][7] == ["Clone"] and rows["Config"][11] == "public" and rows["Run"][11] == "internal" and rows["MAX"][11] == "private"
@@ -66,6 +75,8 @@ def test_yaml():
     pytest.importorskip("yaml")
     items = documents.yaml_items("name: x\nsettings:\n  debug: false\n  tags:\n    - a\n")
     assert [(k, n, p, a) for k, n, p, a, *_ in items] == [("property", "name", None, 1), ("object", "settings", None, 2), ("property", "debug", "settings", 3), ("array", "tags", "settings", 4)]
+    items = documents.yaml_items("a:\n  - x\n  - y\n\n# note\nb: |\n  one\n  two\n\nc:\n  d: 1\n")
+    assert [(n, a, b) for _, n, _, a, b, *_ in items] == [("a", 1, 3), ("b", 6, 8), ("c", 10, 11), ("d", 11, 11)]
     assert documents.markdown_items("---\ntitle: t\n---\n# H\n")[1][:3] == ("property", "title", "frontmatter")
 
 
