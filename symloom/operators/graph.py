@@ -21,8 +21,9 @@ def name_index(E: DataFrame) -> DataFrame:
     return E.select("name", "file").distinct()
 
 
-def file_edges(E: DataFrame, R: DataFrame) -> DataFrame:
-    """(src, dst, w). A reference spreads 1/N over the N other files that define its name.
+def file_edges(E: DataFrame, R: DataFrame, units: int = 0) -> DataFrame:
+    """(src, dst, w). A reference spreads 1/N over the N other files that define its name. With ``units`` weights are
+    whole numbers of 1 / units, which add up exactly in any order.
 
     Equal references collapse to (src, name, count) before they meet the index, so a name that a third of all rows use
     is one row a file.
@@ -33,12 +34,13 @@ def file_edges(E: DataFrame, R: DataFrame) -> DataFrame:
     own = index.select("name", F.col("file").alias("src"), F.lit(1).alias("own"))
     n = uses.join(owners, "name").join(own, ["name", "src"], "left").withColumn("n", F.col("owners") - F.coalesce("own", F.lit(0))).where("n > 0")
     edges = n.select("name", "src", (F.col("uses") / F.col("n")).alias("share")).join(index.withColumnRenamed("file", "dst"), "name").where("src <> dst")
-    return edges.groupBy("src", "dst").agg(F.sum("share").alias("w"))
+    share = F.rint(F.col("share") * F.lit(float(units))).cast("long") if units else F.col("share")
+    return edges.groupBy("src", "dst").agg(F.sum(share).alias("w"))
 
 
-def undirected_edges(E: DataFrame, R: DataFrame) -> DataFrame:
+def undirected_edges(E: DataFrame, R: DataFrame, units: int = 0) -> DataFrame:
     """(lo, hi, w): both directions summed."""
-    return file_edges(E, R).groupBy(F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi")).agg(F.sum("w").alias("w"))
+    return file_edges(E, R, units).groupBy(F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi")).agg(F.sum("w").alias("w"))
 
 
 def nodes(E: DataFrame, R: DataFrame) -> DataFrame:
@@ -183,12 +185,13 @@ def apply_blast(E: DataFrame, blasts: DataFrame) -> DataFrame:
 
 
 def communities(E: DataFrame, R: DataFrame, rounds: int = 30) -> DataFrame:
-    """(file, community). Labels change in place in the order of names, so one task runs the file graph."""
+    """(file, community). Labels change in place in the order of names, so one task runs the file graph. Weights are
+    exact, so ties between labels (the smaller one wins) don't depend on the order of sums."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         names = sorted(g.loc[g["hi"].isna(), "lo"])
         at = {f: i for i, f in enumerate(names)}
-        near: list[dict[int, float]] = [{} for _ in names]
+        near: list[dict[int, int]] = [{} for _ in names]
         for lo, hi, w in g.loc[g["hi"].notna(), ["lo", "hi", "w"]].sort_values(["lo", "hi"]).itertuples(index=False):
             near[at[lo]][at[hi]] = near[at[hi]][at[lo]] = w
         label = list(range(len(names)))
@@ -197,9 +200,9 @@ def communities(E: DataFrame, R: DataFrame, rounds: int = 30) -> DataFrame:
             for i, around in enumerate(near):
                 if not around:
                     continue
-                weight: dict[int, float] = {}
+                weight: dict[int, int] = {}
                 for j in sorted(around):
-                    weight[label[j]] = weight.get(label[j], 0.0) + around[j]
+                    weight[label[j]] = weight.get(label[j], 0) + around[j]
                 best = min(weight, key=lambda k: (-weight[k], k))
                 if best != label[i]:
                     label[i], changed = best, True
@@ -208,8 +211,8 @@ def communities(E: DataFrame, R: DataFrame, rounds: int = 30) -> DataFrame:
         compact: dict[int, int] = {}
         return pd.DataFrame({"file": names, "community": [compact.setdefault(x, len(compact)) for x in label]})
 
-    edges = undirected_edges(E, R).select("lo", "hi", "w")
-    rows = edges.unionByName(nodes(E, R).select(F.col("file").alias("lo"), F.lit(None).cast("string").alias("hi"), F.lit(None).cast("double").alias("w")))
+    edges = undirected_edges(E, R, 1 << 32).select("lo", "hi", "w")
+    rows = edges.unionByName(nodes(E, R).select(F.col("file").alias("lo"), F.lit(None).cast("string").alias("hi"), F.lit(0).cast("long").alias("w")))
     return rows.groupBy(F.lit(0).alias("one")).applyInPandas(run, "file string, community long")
 
 

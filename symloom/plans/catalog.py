@@ -35,10 +35,13 @@ def reg(name: str, oracle: str | None = None) -> Callable:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from symloom.plans import generated  # noqa: F401, its queries register themselves
+
     return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return ORACLES
 
 
@@ -249,7 +252,20 @@ def _(s, d):
     return _ROUND6(graph.undirected_edges(P.entities(s, d), P.refs(s, d)), "w")
 
 
-@reg("g08_communities")
+# One file a step: its neighbours' labels are weighed, the heaviest (then smallest) is taken, until a round changes nothing.
+_LABELS = """idx AS (SELECT DISTINCT name, file FROM E), uses AS (SELECT file AS src, name, count(*) AS u FROM R GROUP BY ALL),
+tgt AS (SELECT src, u, idx.file AS dst, count(*) OVER (PARTITION BY src, uses.name) AS n FROM uses JOIN idx ON uses.name = idx.name AND idx.file <> src),
+UE AS (SELECT least(src, dst) AS lo, greatest(src, dst) AS hi, CAST(sum(CAST(round_even(u * 1.0e0 / n * 4294967296, 0) AS BIGINT)) AS BIGINT) AS w FROM tgt GROUP BY 1, 2),
+nd AS MATERIALIZED (SELECT file, row_number() OVER (ORDER BY file) - 1 AS i FROM (SELECT file FROM E UNION SELECT file FROM R)), cnt AS MATERIALIZED (SELECT count(*) AS n FROM nd),
+nb AS MATERIALIZED (SELECT x.i, list({'j': y.i, 'w': w}) AS l FROM (SELECT lo, hi, w FROM UE UNION ALL SELECT hi, lo, w FROM UE) JOIN nd x ON x.file = lo JOIN nd y ON y.file = hi GROUP BY x.i),
+LP AS (SELECT 0 AS step, n, range(n) AS lab, true AS changed FROM cnt UNION ALL SELECT step + 1, n, CASE WHEN best = lab[i + 1] THEN lab ELSE list_concat(list_append(lab[1 : i], best), lab[i + 2 :]) END, (i > 0 AND changed) OR best <> lab[i + 1]
+FROM (SELECT step, n, i, lab, changed, coalesce((list_sort(list_transform(list_distinct(near), lambda y: {'w': -list_sum(list_transform(list_filter(l, lambda x: lab[x.j + 1] = y), lambda x: x.w)), 'y': y}))[1]).y, lab[i + 1]) AS best
+FROM (SELECT step, n, step % n AS i, lab, changed, nb.l, list_transform(nb.l, lambda x: lab[x.j + 1]) AS near FROM LP LEFT JOIN nb ON nb.i = step % n WHERE step < 30 * n AND NOT (step > 0 AND step % n = 0 AND NOT changed)))),
+fin AS (SELECT lab FROM LP ORDER BY step DESC LIMIT 1), lbl AS (SELECT file, i, lab[i + 1] AS label FROM nd, fin), fst AS (SELECT label, min(i) AS i0 FROM lbl GROUP BY label),
+CM AS MATERIALIZED (SELECT file, CAST(dense_rank() OVER (ORDER BY i0) - 1 AS BIGINT) AS community FROM lbl JOIN fst USING (label))"""
+
+
+@reg("g08_communities", f"WITH RECURSIVE {P.E}, {P.R}, {_LABELS} SELECT file, community FROM CM")
 def _(s, d):
     return graph.communities(P.entities(s, d), P.refs(s, d))
 
@@ -361,7 +377,14 @@ def _(s, d):
     return digest.pack(rows, F.col("tokens"), ["conv_id", "turn", "tokens"]).select("conv_id", "turn", "total")
 
 
-@reg("m09_subsystems")
+_M09 = f"""WITH RECURSIVE {P.E}, {P.R}, {_LABELS}, {_RANKS}, sc AS (SELECT file, rank AS score, (strlen(file) + 3) // 4 + 40 AS t FROM RK),
+run AS (SELECT *, 100 + sum(t) OVER w AS total, row_number() OVER w AS place FROM sc WINDOW w AS (ORDER BY score DESC, file)), shown AS (SELECT run.file, score, community, string_split(regexp_extract(run.file, '^(.*)/[^/]*$', 1), '/') AS dir FROM run JOIN CM ON CM.file = run.file WHERE total <= 4000 OR place = 1),
+g AS (SELECT community, count(*) AS n, min(dir) AS lo, max(dir) AS hi, min(file) AS one, list(file ORDER BY score DESC, file)[1:5] AS top FROM shown GROUP BY community),
+lb AS (SELECT *, array_to_string(lo[1 : len(list_filter(range(1, len(lo) + 1), lambda i: lo[1 : i] = hi[1 : i]))], '/') AS common FROM g)
+SELECT community, n AS file_count, array_to_string(top, ',') AS top, CASE WHEN n = 1 AND array_to_string(lo, '/') = '' THEN one WHEN n = 1 THEN array_to_string(lo, '/') WHEN common = '' THEN 'cross-cutting' ELSE common END AS label FROM lb"""
+
+
+@reg("m09_subsystems", _M09)
 def _(s, d):
     e = P.entities(s, d)
     shown = digest.pack(digest.map_files(e, _ranks(s, d)), S.token_estimate(F.col("file")) + 40, [F.desc("score"), "file"])
@@ -675,7 +698,13 @@ def _(s, d):
     return P.table(s, d, "pages").select(F.col("page_id").cast("long").alias("page_id"), "html").mapInArrow(run, "page_id long, language string, line long")
 
 
-@reg("x11_sfc_refs")
+_X11_CALLS = _X11[: _X11.index("SELECT page_id, CASE WHEN regexp_matches(tag")].rstrip().removesuffix(",") + r""",
+b AS (SELECT page_id, before || regexp_extract(t, '(?i)^<script\b[^>]*>') AS upto, string_split(regexp_replace(t, '(?is)(^<script\b[^>]*>|</script\s*>$)', '', 'g'), chr(10)) AS l FROM m),
+c AS (SELECT page_id, length(upto) - length(replace(upto, chr(10), '')) + i AS line, regexp_extract_all(l[i], '([A-Za-z_]\w*)\(', 1) AS names FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM b))
+SELECT 'p' || page_id || '.html' AS file, unnest(names) AS name, 'call' AS kind, CAST(line AS BIGINT) AS line FROM c"""
+
+
+@reg("x11_sfc_refs", _X11_CALLS)
 def _(s, d):
     src = P.table(s, d, "pages").select(F.concat(F.lit("p"), F.col("page_id"), F.lit(".html")).alias("file"), F.col("html").alias("text"))
     return extract.references(src).select("file", "name", "kind", "line")
