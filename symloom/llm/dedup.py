@@ -111,11 +111,11 @@ def compare(key: np.ndarray, group: np.ndarray, part: np.ndarray, apart: np.ndar
 
 
 def linked(members: DataFrame, bands: int, rows: int) -> DataFrame:
-    """node, text_key, head_node, head_key, n: the members (key, n, group, node, text_key, sketch) that have links in a key,
-    the smallest member of that key (or of two of its parts) which their links lead to, and how many links count there."""
+    """tid, head, n: the members (key, n, group, tid, sketch) that have links in a key, the smallest member of that key (or of
+    two of its parts) which their links lead to, and how many links count there."""
     prepare(members.sparkSession)
     parts = F.ceil(F.col("n") / PART).cast("int")
-    split = members.withColumn("part", F.pmod(F.xxhash64("key", "text_key"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    split = members.withColumn("part", F.pmod(F.xxhash64("key", "tid"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     # two parts meet in one cell, and each part meets itself
     split = split.withColumns({"cell": F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")), "apart": F.col("part") != F.col("other")}).drop("n", "other", "key")
 
@@ -124,8 +124,8 @@ def linked(members: DataFrame, bands: int, rows: int) -> DataFrame:
             sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(t), -1)
             root, n = compare(*(t.column(c).to_numpy() for c in ("cell", "group", "part", "apart")), sketch, bands, rows)
             at = np.flatnonzero((root != np.arange(len(t))) | (n > 0))
-            ids = [t.column(c).combine_chunks() for c in ("node", "text_key")]
-            return pa.RecordBatch.from_arrays([*(c.take(pa.array(x, pa.int64())) for x in (at, root[at]) for c in ids), pa.array(n[at])], ["node", "text_key", "head_node", "head_key", "n"])
+            tid = t.column("tid").to_numpy()
+            return pa.RecordBatch.from_arrays([pa.array(tid[at]), pa.array(tid[root[at]]), pa.array(n[at])], ["tid", "head", "n"])
 
         held, n = [], 0
         for b in batches:
@@ -143,8 +143,8 @@ def linked(members: DataFrame, bands: int, rows: int) -> DataFrame:
         if held:
             yield of(pa.Table.from_batches(held))
 
-    sorted_ = split.repartition("cell").sortWithinPartitions("cell", "node", "text_key")
-    return sorted_.mapInArrow(run, "node long, text_key binary, head_node long, head_key binary, n long")
+    sorted_ = split.repartition("cell").sortWithinPartitions("cell", "tid")
+    return sorted_.mapInArrow(run, "tid long, head long, n long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -177,17 +177,21 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> tuple[Data
     signed(docs, bands, rows).write.parquet(path)
     drop_at_exit(spark, path)
     s = spark.read.parquet(path)
-    texts = materialize(s.groupBy("text_key").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.any_value(F.struct("keys", "sketch")).alias("signed")).select("text_key", "node", "copies", "signed.*"), "texts")
-    # one id may stand for several texts, so a node is (smallest id, text)
-    pairs = texts.select(F.posexplode("keys").alias("group", "key"), "node", "text_key")
+    # a text goes by a number, so that keys and links move as whole numbers
+    texts = s.groupBy("text_key").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.any_value(F.struct("keys", "sketch")).alias("signed"))
+    texts = materialize(texts.select(F.monotonically_increasing_id().alias("tid"), "text_key", "node", "copies", "signed.*"), "texts")
+    pairs = texts.select(F.posexplode("keys").alias("group", "key"), "tid")
     shared = pairs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = materialize(pairs.join(shared, "key"), "members")
-    shares = members.groupBy("text_key").agg(F.count("*").alias("n_shared_keys"))
-    tied = materialize(linked(members.join(texts.select("text_key", "sketch"), "text_key"), bands, rows), "tied")
-    links = tied.groupBy("text_key").agg(F.sum("n").alias("n_links"))
-    edges = tied.select(F.struct("node", "text_key").alias("a"), F.struct(F.col("head_node").alias("node"), F.col("head_key").alias("text_key")).alias("b"))
-    found = components(edges).select(F.col("node.text_key").alias("text_key"), F.col("class.node").alias("class_id"), F.col("class.text_key").alias("class_key"))
-    out = texts.drop("keys", "sketch").join(shares, "text_key", "left").join(links, "text_key", "left").join(found, "text_key", "left")
+    shares = members.groupBy("tid").agg(F.count("*").alias("n_shared_keys"))
+    tied = materialize(linked(members.join(texts.select("tid", "sketch"), "tid"), bands, rows), "tied")
+    links = tied.groupBy("tid").agg(F.sum("n").alias("n_links"))
+    found = components(tied.select(F.col("tid").alias("a"), F.col("head").alias("b"))).select(F.col("node").alias("tid"), F.col("class").alias("component"))
+    found = materialize(found.join(texts.select("tid", "node", "text_key"), "tid"), "linked")
+    # one id may stand for several texts, so the first of a class is the smallest (id, text)
+    first = found.groupBy("component").agg(F.min(F.struct("node", "text_key")).alias("first"))
+    found = found.select("tid", "component").join(first, "component").select("tid", F.col("first.node").alias("class_id"), F.col("first.text_key").alias("class_key"))
+    out = texts.drop("keys", "sketch").join(shares, "tid", "left").join(links, "tid", "left").join(found, "tid", "left")
     out = out.select("text_key", "node", "copies", F.coalesce("class_id", "node").alias("class_id"), F.coalesce("class_key", "text_key").alias("class_key"), *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_links", "n_shared_keys")))
     return s.select("doc_id", "text_key"), materialize(out, "classes")
 
