@@ -130,22 +130,40 @@ def blobs(spark: SparkSession, repo: str, ref: str, paths: list[str]) -> DataFra
     return spark.read.format("git").options(repo=repo, what="blobs", ref=ref, paths="\n".join(paths)).load().select("file", "text")
 
 
-#: Lines of a stored log that one task numbers.
+#: Positions of a stored log in a block, blocks in a block of blocks, and so on.
 LOG_BLOCK = 100_000
+#: Levels of blocks; over three of them any 64-bit position leaves at most 18,448 rows for one task.
+LOG_LEVELS = 3
+
+
+def _above(heads: DataFrame, level: int = 1) -> DataFrame:
+    """(block, carried): the last marker of the blocks before each one, from (block, last), a row each.
+
+    Sparse positions make nearly as many blocks as lines, so blocks go into blocks until few are left for one order.
+    """
+    from pyspark.sql import Window
+
+    before = lambda w: F.last("last", ignorenulls=True).over(w.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    if level == LOG_LEVELS:
+        return heads.select("block", before(Window).alias("carried"))
+    heads = heads.withColumn("outer", F.expr(f"block div {LOG_BLOCK}L"))
+    tops = heads.groupBy(F.col("outer").alias("block")).agg(F.max_by("last", F.when(F.col("last").isNotNull(), F.col("block"))).alias("last"))
+    tops = _above(tops, level + 1).select(F.col("block").alias("outer"), F.col("carried").alias("start"))
+    inner = heads.select("outer", "block", before(Window.partitionBy("outer")).alias("inner"))
+    return inner.join(tops, "outer").select("block", F.coalesce("inner", "start").alias("carried"))
 
 
 def log_lines(lines: DataFrame) -> DataFrame:
     """S11 over a stored log (value, position): each line belongs to the last marker above it.
 
     The marker is looked for inside a block of positions; what a block starts with comes from the last marker of the
-    blocks before it, and only one row a block is put in one order.
+    blocks before it.
     """
     from pyspark.sql import Window
 
-    rows = lines.select("position", F.trim("value").alias("value"), F.floor(F.col("position") / LOG_BLOCK).alias("block"))
+    rows = lines.select("position", F.trim("value").alias("value"), F.expr(f"position div {LOG_BLOCK}L").alias("block"))
     rows = rows.withColumn("marker", F.when(F.col("value").startswith("---"), F.substring("value", 4, 1 << 20)))
     heads = rows.groupBy("block").agg(F.max_by("marker", F.when(F.col("marker").isNotNull(), F.col("position"))).alias("last"))
-    before = heads.select("block", F.last("last", ignorenulls=True).over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
     above = F.last("marker", ignorenulls=True).over(Window.partitionBy("block").orderBy("position").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("above", above).join(before, "block").withColumn("commit", F.coalesce("above", "carried"))
+    rows = rows.withColumn("above", above).join(_above(heads), "block").withColumn("commit", F.coalesce("above", "carried"))
     return rows.where("value <> '' and marker is null and commit is not null").select("commit", F.col("value").alias("file")).distinct()
