@@ -5,6 +5,8 @@ Each projection is a list of SQL expressions that Spark and DuckDB both understa
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,15 +99,45 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _once(spark, sf_dir, "entities", lambda: make().repartitionByRange("file", "seq").sortWithinPartitions("file", "seq"))
 
 
+#: Distinct names, or files, up to which references are ordered by numbers that stand for them.
+DICTIONARY = 10_000
+
+
 def _refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
     rows = table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).selectExpr(*_spark(REF))
     return conform(rows, REF_SCHEMA)
 
 
+def _texts(spark: SparkSession, sf_dir: str, expression: str) -> list[str] | None:
+    """The sorted texts of an expression over ``part``; none if there are more than ``DICTIONARY``."""
+    rows = table(spark, sf_dir, "part").selectExpr(f"{expression} AS x").where("x is not null").distinct()
+    texts = [r[0] for r in rows.limit(DICTIONARY + 1).collect()]
+    return sorted(texts, key=lambda x: x.encode()) if len(texts) <= DICTIONARY else None
+
+
+def _sorted_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References by (name, file, seq). Few names and files go through the shuffles and sorts as their places in the
+    sorted lists of them, which gives the same order in narrow rows."""
+    names, files = _texts(spark, sf_dir, _NAME), _texts(spark, sf_dir, _FILE)
+    if names is None or files is None:
+        return _refs(spark, sf_dir).repartitionByRange("name", "file", "seq").sortWithinPartitions("name", "file", "seq")
+    listed = lambda texts: F.from_json(F.lit(json.dumps(texts)), "array<string>")  # noqa: E731, a constant of the plan
+    numbers = lambda texts, x, n: F.broadcast(spark.range(1).select(F.posexplode(listed(texts)).alias(n, x)))  # noqa: E731, at most DICTIONARY rows
+    part = table(spark, sf_dir, "part").selectExpr("p_partkey", f"{_NAME} AS name", f"{_FILE} AS file")
+    part = part.join(numbers(names, "name", "n"), "name", "left").join(numbers(files, "file", "f"), "file", "left").select("p_partkey", "n", "f")
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_returnflag", "l_shipdate")
+    rows = line.join(part, F.col("l_partkey") == F.col("p_partkey"))
+    rows = rows.selectExpr(f"coalesce(lag(f) OVER ({_ORDER}), f) AS f", f"lag(n) OVER ({_ORDER}) AS c", "n", "l_returnflag", "l_linenumber", f"{REF['seq']} AS seq")
+    rows = rows.repartitionByRange("n", "f", "seq").sortWithinPartitions("n", "f", "seq")
+    text = lambda texts, x: F.get(listed(texts), F.col(x))
+    rows = rows.select(text(files, "f").alias("file"), text(names, "c").alias("caller"), text(names, "n").alias("name"), F.expr(REF["kind"]).alias("kind"), F.expr(REF["line"]).alias("line"), "seq")
+    return conform(rows, REF_SCHEMA)
+
+
 def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sorted by name, so a lookup reads few row groups; a name that fills many rows is split over partitions."""
-    return _once(spark, sf_dir, "refs", lambda: _refs(spark, sf_dir).repartitionByRange("name", "file", "seq").sortWithinPartitions("name", "file", "seq"))
+    return _once(spark, sf_dir, "refs", lambda: _sorted_refs(spark, sf_dir))
 
 
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
